@@ -39,10 +39,15 @@ def take_subset(df: DataFrame, p: float = 0.5, seed: int = 42) -> DataFrame:
     return df.randomSplit([p, 1 - p], seed=seed)[0]
 
 
-def key_bucket(key: Column) -> Column:
-    """A 0-99 bucket from an integer key, the same in any engine (no hash-function dependence)."""
+def key_hash(key: Column) -> Column:
+    """A pseudo-random order key from an integer key, the same in any engine."""
     return F.pmod(F.pmod(key.cast("long"), F.lit(BUCKET_MOD)) * BUCKET_MULT + BUCKET_ADD,
-                  F.lit(BUCKET_MOD)) % 100
+                  F.lit(BUCKET_MOD))
+
+
+def key_bucket(key: Column) -> Column:
+    """A 0-99 bucket from an integer key (no dependence on an engine's hash function)."""
+    return key_hash(key) % 100
 
 
 def take_subset_by_key(df: DataFrame, key: str, p: float = 0.5) -> DataFrame:
@@ -77,6 +82,13 @@ def undersample_majority(df: DataFrame, label: str, minority, majority,
     return minority_rows.unionByName(picked)
 
 
+def random_like(df: DataFrame, num_cols: int, low: float = 0.0, high: float = 100.0,
+                seed: int = 42) -> DataFrame:
+    """E7 over the rows of an existing table: same row count and partitioning."""
+    return df.select(*[(F.rand(seed + i) * (high - low) + low).alias(f"col-{i}")
+                       for i in range(1, num_cols + 1)])
+
+
 def random_table(spark: SparkSession, num_rows: int, num_cols: int,
                  low: float = 0.0, high: float = 100.0, seed: int = 42,
                  num_partitions: int | None = None) -> DataFrame:
