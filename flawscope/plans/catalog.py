@@ -1,3 +1,3 @@
 """Imports every query module so that all queries are registered."""
 
-from flawscope.plans import queries_features, queries_tables  # noqa: F401
+from flawscope.plans import queries_features, queries_models, queries_tables  # noqa: F401

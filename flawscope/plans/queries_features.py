@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from flawscope.operators import features as FE
 from flawscope.operators import sampling as E
-from flawscope.plans.flows import presence_pca
 from flawscope.plans.registry import query, r6, sql_r6
 from flawscope.sources import fixtures as X
 from flawscope.sources.tables import load_table
@@ -238,9 +237,3 @@ def index_label_q(spark, sf):
 def index_to_label_q(spark, sf):
     indexed, model = FE.index_label(X.classify(spark, sf).select("high_value"), "high_value", "label")
     return FE.index_to_label(indexed, model.labels, "label", target="high_value")
-
-
-@query("pca_components")
-def pca_components_q(spark, sf):
-    out, _, _ = presence_pca(X.wide(spark, sf), "id", "response", 50, 0.95)
-    return out.drop("features")
