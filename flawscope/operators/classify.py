@@ -30,6 +30,11 @@ class TreeSettings:
     min_leaf: int = 10
     num_trees: int = 100
     seed: int = 42
+    # execution only (the learned trees do not change): bigger node groups per pass over the
+    # data, node ids cached next to the rows instead of shipping trees to every task
+    max_memory_mb: int = 1024
+    cache_node_ids: bool = True
+    checkpoint_interval: int = 10
 
 
 # Defaults per classifier kind
@@ -48,7 +53,8 @@ def make_classifier(kind: str = "DT", label_col: str = "label", features_col: st
     s = settings or DEFAULTS[kind]
     common = dict(labelCol=label_col, featuresCol=features_col, predictionCol=prediction_col,
                   maxDepth=s.max_depth, maxBins=max_bins or s.max_bins,
-                  minInstancesPerNode=s.min_leaf, seed=s.seed)
+                  minInstancesPerNode=s.min_leaf, seed=s.seed, maxMemoryInMB=s.max_memory_mb,
+                  cacheNodeIds=s.cache_node_ids, checkpointInterval=s.checkpoint_interval)
     if kind == "DT":
         return DecisionTreeClassifier(impurity=s.impurity, **common)
     if kind == "RF":

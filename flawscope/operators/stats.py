@@ -108,9 +108,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     value in one buffer.  Each round is two aggregate passes over the data: an approximate
     bracket (``percentile_approx`` restricted to the current candidate range) and exact counts
     below / at / inside / at / above the bracket ends.  The candidate range shrinks by about
-    ``accuracy / 6`` per round; once it holds at most ``max_candidates`` values they are
-    fetched (a proven bound) and the answer is read off.  Heavy duplicates end the search at
-    once (the answer is a bracket end).
+    ``accuracy / 6`` per round; once the candidates of some targets fit the shared budget of
+    ``max_candidates`` values they are fetched together in one job (a proven bound) and the
+    answers are read off.  Heavy duplicates end the search at once (a bracket end is the answer).
     """
     probs = list(probs)
     vals = {c: F.col(f"`{c}`").cast("double") for c in columns}
@@ -132,11 +132,26 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 
     while True:
         active = [t for t in targets if not t.done]
-        small = [t for t in active if t.n <= max_candidates]
-        for t in small:
-            x = vals[t.col]
-            got = sorted(r[0] for r in df.select(x.alias("x")).where(t.in_range(x)).collect())
-            t.value, t.done = got[t.rank - 1], True
+        if not active:
+            break
+        # Fetch the candidates of every target that fits a shared budget, in ONE job: each row
+        # emits (target, value) for the targets whose range holds it.  Total <= max_candidates.
+        small, used = [], 0
+        for t in sorted(active, key=lambda t: t.n):
+            if used + t.n > max_candidates:
+                break
+            small.append(t)
+            used += t.n
+        if small:
+            pairs = F.array(*[F.when(t.in_range(vals[t.col]), F.struct(F.lit(j).alias("t"),
+                                                                        vals[t.col].alias("v")))
+                              for j, t in enumerate(small)])
+            got: dict[int, list] = {j: [] for j in range(len(small))}
+            for r in (df.select(F.explode(F.filter(pairs, lambda e: e.isNotNull())).alias("p"))
+                        .select("p.t", "p.v").collect()):
+                got[r[0]].append(r[1])
+            for j, t in enumerate(small):
+                t.value, t.done = sorted(got[j])[t.rank - 1], True
         active = [t for t in active if not t.done]
         if not active:
             break

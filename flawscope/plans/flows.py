@@ -34,6 +34,7 @@ from flawscope.operators.clean import (binary_conversion, drop_constant_columns,
 from flawscope.operators.features import (assemble, binning, pca, quantile_bins, standardize,
                                           vector_to_columns)
 from flawscope.operators.sampling import drop_duplicates, train_test_split
+from flawscope.session import materialize
 from flawscope.sources.tables import TableSpec
 
 # Census-flow bins
@@ -125,13 +126,19 @@ def common_prepare(df: DataFrame, id_col: str = "id", target: str = "response",
     return drop_constant_columns(df, approx=approx, exclude=[id_col, target])
 
 
+def presence_flags(df: DataFrame, id_col: str = "id", target: str = "response",
+                   carry: Sequence[str] = ()) -> DataFrame:
+    """B10 for the clustering step: ``_p_<c>`` = 1 when measurement c is present."""
+    measures = [c for c in df.columns if c not in (id_col, target)]
+    return df.select(*[q(c) for c in [id_col, target, *carry]],
+                     *[F.when(q(c).isNull(), 0).otherwise(1).alias(f"_p_{c}") for c in measures])
+
+
 def presence_pca(df: DataFrame, id_col: str = "id", target: str = "response",
                  max_components: int = 50, explained: float = 0.95, carry: Sequence[str] = ()):
     """Presence map -> PCA (not standardised, <= 50 comps, 95 %); keeps id, target and
     any ``carry`` columns (as their original values)."""
-    measures = [c for c in df.columns if c not in (id_col, target)]
-    flags = df.select(*[q(c) for c in [id_col, target, *carry]],
-                      *[F.when(q(c).isNull(), 0).otherwise(1).alias(f"_p_{c}") for c in measures])
+    flags = presence_flags(df, id_col, target, carry)
     return pca(flags, max_components, assemble_features=True, standardize_features=False,
                explained_variance=explained, exclude=[id_col, target, *carry])
 
@@ -170,13 +177,13 @@ def two_stage(df: DataFrame, id_col: str = "id", target: str = "response", k: in
     """J5 -> J6 -> k-means(k) -> inertia / silhouette -> per cluster: J7 -> fit -> test ->
     scores.  Returns (per-cluster score table, clustering summary, TwoStageModel)."""
     spark = df.sparkSession
-    common = common_prepare(df, id_col, target)
+    common = common_prepare(materialize(df), id_col, target)
     measures = [c for c in common.columns if c not in (id_col, target)]
     reduced, _, pstages = presence_pca(common, id_col, target, max_components, explained,
                                        carry=measures)
     km = G.kmeans_fit(reduced, k, seed=seed)
-    assigned = km.transform(reduced).withColumnRenamed("prediction", "cluster")
-    assigned = assigned.persist(StorageLevel.MEMORY_AND_DISK)
+    # every cluster's fit reads this table: cut its lineage (pivot, PCA) once
+    assigned = materialize(km.transform(reduced).withColumnRenamed("prediction", "cluster"))
     try:
         inertia = G.inertia_value(assigned, G.centers_of(km))
         sil = G.silhouette_value(assigned, "features", "cluster")
@@ -218,7 +225,7 @@ def two_stage(df: DataFrame, id_col: str = "id", target: str = "response", k: in
 def cluster_summary(df: DataFrame, id_col: str = "id", target: str = "response", k: int = 6,
                     max_components: int = 50, explained: float = 0.95, seed: int = 42) -> DataFrame:
     """Entry slice: J5 -> J6 -> k-means(k) -> rows and failure rate per cluster."""
-    common = common_prepare(df, id_col, target)
+    common = common_prepare(materialize(df), id_col, target)
     reduced, _, _ = presence_pca(common, id_col, target, max_components, explained)
     km = G.kmeans_fit(reduced, k, seed=seed)
     return (km.transform(reduced).groupBy(F.col("prediction").alias("cluster"))

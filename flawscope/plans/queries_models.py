@@ -342,7 +342,7 @@ def cross_validate_q(spark, sf):
     best = H.best_params(model)
     acc = M.accuracy(H.predict(model, test)).first()[0]
     return spark.createDataFrame([(best["maxDepth"], best["minInstancesPerNode"], acc,
-                                   max(model.avgMetrics))],
+                                   float(max(model.avgMetrics)))],
                                  "max_depth int, min_leaf int, test_accuracy double, cv_accuracy double")
 
 
@@ -413,3 +413,26 @@ def two_stage_score_new_q(spark, sf):
     seen, new = w.where(key_bucket(F.col("id")) < 80), w.where(key_bucket(F.col("id")) >= 80)
     _, _, model = J.two_stage(seen, "id", "response", k=6, kind="DT")
     return J.score_new(model, new)
+
+
+@query("gap_curve", heavy=True)
+def gap_curve_q(spark, sf):
+    """The gap statistic per k from real k-means fits (30 reference draws each)."""
+    prepared = _arrest_like(spark, sf).persist()
+    _, _, history = G.find_num_clusters(prepared, "features", 2, 10, 30, 42)
+    return spark.createDataFrame(history, "k int, gap double, s double, log_w double")
+
+
+_PRESENCE = [f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in X.WIDE_FEATURES]
+
+
+@query("feature_covariance", sql=X.with_fixture("wide", "SELECT " + ", ".join(
+    sql_r6(f"covar_samp({_PRESENCE[i]}, {_PRESENCE[j]})") + f" AS cov_{i}_{j}"
+    for i in range(len(_PRESENCE)) for j in range(i, len(_PRESENCE))) + " FROM wide"))
+def feature_covariance_q(spark, sf):
+    """F5's input check: sample covariance of the presence flags the clustering PCA uses
+    (upper triangle, one aggregate pass)."""
+    flags = J.presence_flags(X.wide(spark, sf))
+    names = [f"_p_{c}" for c in X.WIDE_FEATURES]
+    return flags.agg(*[r6(F.covar_samp(names[i], names[j])).alias(f"cov_{i}_{j}")
+                       for i in range(len(names)) for j in range(i, len(names))])

@@ -58,3 +58,18 @@ def scratch_dir(spark: SparkSession, tag: str = "scratch") -> str:
     """A fresh, unique folder under the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialize(df, mode: str = "checkpoint"):
+    """Cut the lineage of a table that several jobs reuse.
+
+    ``checkpoint`` writes it to the shared checkpoint folder: a lost executor costs a re-read,
+    not a re-run of every upstream shuffle.  ``persist`` keeps it in executor memory / disk
+    (cheaper when the lineage is short).
+    """
+    from pyspark import StorageLevel
+
+    if mode == "checkpoint":
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
