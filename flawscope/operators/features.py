@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import (PCA, Bucketizer, IndexToString, PCAModel, QuantileDiscretizer,
                                 StandardScaler, StandardScalerModel, StringIndexer,
                                 StringIndexerModel, VectorAssembler, VectorSlicer)
@@ -195,7 +196,6 @@ def project_fixed(df: DataFrame, array_col: str, loadings: Sequence[Sequence[flo
         comps = [linear_combination([x.getItem(i) for i in range(d)], w[:, j]).alias(f"{prefix}{j}")
                  for j in range(n)]
         return df.select(*[q(c) for c in keep], *comps)
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("array<double>")

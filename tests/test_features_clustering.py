@@ -39,7 +39,8 @@ def test_quantile_bins_exact_equals_spark_relative_error_zero(spark):
 
 
 @pytest.mark.parametrize("shares,limit,at_most,at_least", [
-    ([0.5, 0.3, 0.15, 0.05], 0.95, 3, 3),
+    ([0.5, 0.3, 0.1, 0.1], 0.95, 3, 4),
+    ([0.6, 0.4], 0.6, 1, 1),
     ([0.97, 0.03], 0.95, 2, 1),
     ([0.4, 0.3, 0.2, 0.1], 0.95, 3, 4),
 ])

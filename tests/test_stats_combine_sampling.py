@@ -38,7 +38,7 @@ def test_add_row_index_consecutive_across_partitions(spark):
     df = spark.range(0, 5000, numPartitions=7).select((F.col("id") * 7919 % 5003).alias("k"))
     out = C.add_row_index(df, ["k"], "index")
     rows = out.orderBy("k").collect()
-    assert [r.index for r in rows] == list(range(5000))
+    assert [r["index"] for r in rows] == list(range(5000))
 
 
 def test_positional_merge_requires_equal_counts(spark):
