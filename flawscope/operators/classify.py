@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 
@@ -77,16 +77,26 @@ def param_grid(estimator, kind: str, settings: TreeSettings | None = None):
 
 
 def label_stages(df: DataFrame, target: str, label_col: str = "label",
-                 prediction_col: str = "prediction"):
-    """Label indexer fitted on the table given, and its inverse for ``predicted-<target>``."""
+                 prediction_col: str = "prediction", positive_label: str | None = None):
+    """Label indexer fitted on the table given, and its inverse for ``predicted-<target>``.
+
+    Default: frequency order, like the reference - index 1 ("positive" for precision, recall,
+    AUROC) is then the rarer label of *this* table, which flips between clusters.
+    ``positive_label`` pins that label to index 1 (binary targets), whatever the counts.
+    """
     indexer = StringIndexer(inputCol=target, outputCol=label_col).fit(df)
+    if positive_label is not None:
+        labels = [v for v in indexer.labels if v != str(positive_label)]
+        labels.insert(min(1, len(labels)), str(positive_label))
+        indexer = StringIndexerModel.from_labels(labels, inputCol=target, outputCol=label_col)
     back = IndexToString(inputCol=prediction_col, outputCol=f"predicted-{target}",
                          labels=indexer.labels)
     return indexer, back
 
 
 def chain_raw(df: DataFrame, target: str, kind: str = "DT", features_col: str = "features",
-              settings: TreeSettings | None = None) -> tuple[Pipeline, object]:
+              settings: TreeSettings | None = None,
+              positive_label: str | None = None) -> tuple[Pipeline, object]:
     """H4: index every feature (as categories) -> index label -> assemble -> tree -> label text.
 
     Indexers are fitted on the whole table, like the reference.  ``maxBins`` is raised to the
@@ -94,7 +104,7 @@ def chain_raw(df: DataFrame, target: str, kind: str = "DT", features_col: str =
     """
     cols = [c for c in df.columns if c != target]
     feat_idx = StringIndexer(inputCols=cols, outputCols=[f"indexed-{c}" for c in cols]).fit(df)
-    lab_idx, back = label_stages(df, target)
+    lab_idx, back = label_stages(df, target, positive_label=positive_label)
     s = settings or DEFAULTS[kind.upper()]
     bins = max(s.max_bins, int(max_distinct_values(df, cols).first()[0] or 0))
     asm = VectorAssembler(inputCols=feat_idx.getOutputCols(), outputCol=features_col)
@@ -103,9 +113,10 @@ def chain_raw(df: DataFrame, target: str, kind: str = "DT", features_col: str =
 
 
 def chain_vector(df: DataFrame, target: str, kind: str = "DT", features_col: str = "features",
-                 settings: TreeSettings | None = None) -> tuple[Pipeline, object]:
+                 settings: TreeSettings | None = None,
+                 positive_label: str | None = None) -> tuple[Pipeline, object]:
     """H5: features already a vector: index label -> tree -> label text."""
-    lab_idx, back = label_stages(df, target)
+    lab_idx, back = label_stages(df, target, positive_label=positive_label)
     clf = make_classifier(kind, features_col=features_col, settings=settings)
     return Pipeline(stages=[lab_idx, clf, back]), clf
 

@@ -147,20 +147,50 @@ def auroc(df: DataFrame, score: str = "rawPrediction", label: str = "label",
     return spark.createDataFrame(rows, f"`{by}` {dtype}, auroc double")
 
 
+def _binary_weighted(tn: Column, fp: Column, fn: Column, tp: Column) -> tuple[Column, Column]:
+    """Accuracy and Spark's class-weighted F1 for 0/1 labels, from the four counts alone."""
+    n = tn + fp + fn + tp
+
+    def f_measure(hit, n_label, n_pred):
+        p = F.when(n_pred == 0, 0.0).otherwise(hit / n_pred)
+        r = F.when(n_label == 0, 0.0).otherwise(hit / n_label)
+        return F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
+
+    f1 = ((tn + fp) * f_measure(tn, tn + fp, tn + fn) + (fn + tp) * f_measure(tp, fn + tp, fp + tp)) / n
+    return (tn + tp) / n, f1
+
+
 def score_table(df: DataFrame, prediction: str = "prediction", label: str = "label",
                 score: str = "rawPrediction", by: str | None = None, num_bins: int = 1000,
                 ) -> DataFrame:
     """Accuracy, precision, recall, f1 (weighted), auroc, mcc - one row per group.
 
-    Counting metrics come from two grouped aggregates; AUROC per group uses the evaluator.
+    For 0/1 labels and predictions every counting metric follows from tn/fp/fn/tp, so they
+    all come from ONE aggregate; other label sets take the per-class tables.  AUROC per group
+    uses Spark's distributed evaluator, only where both classes are present.
     Persist ``df`` first when it is expensive (the caller owns that decision).
     """
-    if by is None:  # one group: a literal key, so the three parts join on it
+    spark = df.sparkSession
+    if by is None:  # one group: a literal key, so every part joins on it
         df, by, keys = df.withColumn("_all", F.lit(0)), "_all", []
     else:
         keys = [by]
-    cm = scores_from_counts(confusion_counts(df, prediction, label, [by]), keep=[by])
-    mc = multiclass_scores(df, prediction, label, [by]).select(by, "accuracy", "f1")
-    au = auroc(df, score, label, num_bins, by)
-    out = cm.join(mc, by, "left").join(au, by, "left")
+    p, y = q(prediction), q(label)
+    other = ~(y.isin(0.0, 1.0) & p.isin(0.0, 1.0))
+    counts = confusion_counts(df, prediction, label, [by]).join(
+        df.groupBy(q(by)).agg(F.count_if(other).alias("n_other")), by)
+    rows = counts.collect()  # one row per group (groups are few by contract)
+    cm = scores_from_counts(counts, keep=[by, "n_other"])
+    if all(r["n_other"] == 0 for r in rows):
+        tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
+        acc, f1 = _binary_weighted(tn, fp, fn, tp)
+        cm = cm.select("*", acc.alias("accuracy"), f1.alias("f1"))
+    else:
+        mc = multiclass_scores(df, prediction, label, [by]).select(by, "accuracy", "f1")
+        cm = cm.join(mc, by, "left")
+    both = [r[by] for r in rows if r["n_other"] > 0 or (r["tn"] + r["fp"] > 0 and r["fn"] + r["tp"] > 0)]
+    au_rows = [(g, auroc_value(df.where(q(by).eqNullSafe(F.lit(g))), score, label, num_bins)) for g in both]
+    dtype = dict(df.dtypes)[by]
+    au = spark.createDataFrame(au_rows, f"`{by}` {dtype}, auroc double")
+    out = cm.join(au, by, "left")
     return out.select(*keys, "accuracy", "precision", "recall", "f1", "auroc", "mcc")

@@ -82,6 +82,9 @@ def column_to_array(df: DataFrame, column: str, by: Sequence[str], name: str = "
 # Exact quantiles with bounded memory
 # --------------------------------------------------------------------------------------------
 
+SKETCH_BUDGET = 2_000_000  # sum of percentile_approx accuracies in one aggregate
+
+
 class _Target:
     __slots__ = ("col", "pi", "rank", "n", "lo", "lo_inc", "hi", "hi_inc", "value", "done")
 
@@ -156,13 +159,15 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         if not active:
             break
         # Pass 1: approximate bracket [a, b] around the wanted rank, inside the current range.
-        eps = 3.0 / accuracy
+        # Sketch size is bounded per task: many targets -> smaller sketches, more rounds.
+        acc = min(accuracy, max(500, SKETCH_BUDGET // len(active)))
+        eps = 3.0 / acc
         brackets = []
         for j, t in enumerate(active):
             x = vals[t.col]
             p = (t.rank - 0.5) / t.n
             pr = F.array(F.lit(max(0.0, p - eps)), F.lit(min(1.0, p + eps)))
-            brackets.append(F.percentile_approx(F.when(t.in_range(x), x), pr, accuracy).alias(f"b{j}"))
+            brackets.append(F.percentile_approx(F.when(t.in_range(x), x), pr, acc).alias(f"b{j}"))
         brow = df.agg(*brackets).first()
         # Pass 2: exact counts relative to the bracket ends.
         counts = []

@@ -9,7 +9,7 @@
 
 Spark-first differences from the reference: the clustering step keeps the measurement columns
 on every row (the PCA projection is a narrow transformation), so the per-cluster tables are
-filters of one persisted table - no join back by id.  Every fitted step is kept in a
+filters of one checkpointed table - no join back by id.  Every fitted step is kept in a
 ``PipelineModel`` so the chain can be stored and replayed on new rows (batch or stream).
 """
 
@@ -173,7 +173,8 @@ class TwoStageModel:
 def two_stage(df: DataFrame, id_col: str = "id", target: str = "response", k: int = 6,
               kind: str = "RF", validate: bool = False, settings: C.TreeSettings | None = None,
               max_components: int = 50, explained: float = 0.95, seed: int = 42,
-              cluster_parallelism: int = 2, cv_parallelism: int = 3):
+              cluster_parallelism: int = 3, cv_parallelism: int = 3,
+              positive_label: str | None = None):
     """J5 -> J6 -> k-means(k) -> inertia / silhouette -> per cluster: J7 -> fit -> test ->
     scores.  Returns (per-cluster score table, clustering summary, TwoStageModel)."""
     spark = df.sparkSession
@@ -192,20 +193,26 @@ def two_stage(df: DataFrame, id_col: str = "id", target: str = "response", k: in
         model = TwoStageModel(id_col, target, measures, pstages["chain"], km)
 
         def per_cluster(c):
+            # one read of the shared table per cluster; the ~5 statistics / fit passes of this
+            # cluster then run on its own rows only
             part = rows.where(F.col("cluster") == c).drop("cluster")
-            part = part.withColumn(target, q(target).cast("string"))
-            table, _, chain, ncomp = measure_pca(part, id_col, target, max_components, explained)
-            pipe, clf = C.chain_vector(table, target, kind, settings=settings)
-            train, test = train_test_split(table, 0.8, seed)
-            grid = C.param_grid(clf, kind, settings) if validate else None
-            fitted = C.fit(pipe, train, grid, validate, parallelism=cv_parallelism, seed=seed)
-            preds = C.predict(fitted, test).persist(StorageLevel.MEMORY_AND_DISK)
+            part = part.withColumn(target, q(target).cast("string")).persist(StorageLevel.MEMORY_AND_DISK)
+            preds = None
             try:
+                table, _, chain, ncomp = measure_pca(part, id_col, target, max_components, explained)
+                pipe, clf = C.chain_vector(table, target, kind, settings=settings,
+                                           positive_label=positive_label)
+                train, test = train_test_split(table, 0.8, seed)
+                grid = C.param_grid(clf, kind, settings) if validate else None
+                fitted = C.fit(pipe, train, grid, validate, parallelism=cv_parallelism, seed=seed)
+                preds = C.predict(fitted, test).persist(StorageLevel.MEMORY_AND_DISK)
                 sc = M.score_table(preds, score="rawPrediction").first().asDict()
                 n_rows, fails = part.agg(F.count(F.lit(1)),
                                          F.avg((q(target) == "1").cast("double"))).first()
             finally:
-                preds.unpersist()
+                if preds is not None:
+                    preds.unpersist()
+                part.unpersist()
             model.per_cluster[c] = (chain, C.best_pipeline(fitted))
             return (int(c), int(n_rows), float(fails), int(ncomp), sc["accuracy"], sc["precision"],
                     sc["recall"], sc["f1"], sc["auroc"], sc["mcc"])
@@ -233,16 +240,19 @@ def cluster_summary(df: DataFrame, id_col: str = "id", target: str = "response",
                    F.avg(q(target).cast("double")).alias("failure_rate")))
 
 
-def score_new(model: TwoStageModel, df: DataFrame) -> DataFrame:
-    """Route new rows by cluster (stored clustering chain), then apply that cluster's
-    stored measure chain and classifier; one union of the per-cluster results."""
+def route_new(model: TwoStageModel, df: DataFrame) -> DataFrame:
+    """J9, first half: the stored clustering chain gives every new row its cluster."""
     keep = [model.id_col, *model.measures]
     flags = df.select(*[q(c) for c in keep],
                       *[F.when(q(c).isNull(), 0).otherwise(1).alias(f"_p_{c}") for c in model.measures])
     reduced = model.cluster_chain.transform(flags)
     routed = model.kmeans.transform(
         reduced.select(*[q(c) for c in keep], F.col("_proj").alias("features")))
-    routed = routed.select(*[q(c) for c in keep], F.col("prediction").alias("cluster"))
+    return routed.select(*[q(c) for c in keep], F.col("prediction").alias("cluster"))
+
+
+def score_routed(model: TwoStageModel, routed: DataFrame) -> DataFrame:
+    """J9, second half: each cluster's stored measure chain and classifier on its rows."""
     outs = []
     for c, (chain, clf) in sorted(model.per_cluster.items()):
         part = routed.where(F.col("cluster") == c).withColumn(model.target, F.lit("0"))
@@ -255,3 +265,15 @@ def score_new(model: TwoStageModel, df: DataFrame) -> DataFrame:
     for o in outs[1:]:
         out = out.unionByName(o)
     return out
+
+
+def score_new(model: TwoStageModel, df: DataFrame, persist: bool | None = None) -> DataFrame:
+    """Route new rows by cluster, then score each cluster's rows with its stored chain;
+    one union of the per-cluster results.
+
+    The k branches all read the routed rows, so those are persisted for a batch input (every
+    row is routed once); a streaming input is routed once per micro-batch in ``streaming``."""
+    routed = route_new(model, df)
+    if persist if persist is not None else not df.isStreaming:
+        routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
+    return score_routed(model, routed)

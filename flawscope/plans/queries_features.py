@@ -192,8 +192,8 @@ def explained_prefix_q(spark, sf):
                                         for c in W])).alias("s")).select("s.*")
     # 28 rows (one per feature): a global window over them is bounded by the column count
     share = long.select("name", (F.col("var") / F.sum("var").over(Window.partitionBy())).alias("share"))
-    ranked = share.withColumn("component", F.row_number().over(
-        Window.orderBy(F.col("share").desc(), F.col("name"))) - 1)
+    ranked = share.withColumn("component", (F.row_number().over(
+        Window.orderBy(F.col("share").desc(), F.col("name"))) - 1).cast("long"))
     out = FE.explained_prefix(ranked, "component", "share", 0.95).join(ranked.select("component", "name"),
                                                                        "component")
     return out.select("component", "name", r6(F.col("share")).alias("share"),

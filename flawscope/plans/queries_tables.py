@@ -113,8 +113,8 @@ def _with_constant_columns(spark, sf):
          .alias("two_with_nulls"))
 
 
-_DROP_CONST_SQL = ("SELECT " + _csv(LINEITEM_COLS) + ", CASE WHEN l_linenumber = 1 THEN 1.0 "
-                   "WHEN l_linenumber = 2 THEN 2.0 END AS two_with_nulls FROM lineitem")
+_DROP_CONST_SQL = ("SELECT " + _csv(LINEITEM_COLS) + ", CAST(CASE WHEN l_linenumber = 1 THEN 1.0 "
+                   "WHEN l_linenumber = 2 THEN 2.0 END AS DOUBLE) AS two_with_nulls FROM lineitem")
 
 
 @query("drop_constant_columns", sql=_DROP_CONST_SQL)
@@ -210,7 +210,7 @@ def split_by_value_q(spark, sf):
 
 
 @query("clip", sql="""
-SELECT l_orderkey, l_linenumber, greatest(10.0, least(40.0, l_quantity)) AS qty_clipped FROM lineitem""")
+SELECT l_orderkey, l_linenumber, CAST(greatest(10.0, least(40.0, l_quantity)) AS DOUBLE) AS qty_clipped FROM lineitem""")
 def clip_q(spark, sf):
     li = load_table(spark, sf, "lineitem")
     return li.select("l_orderkey", "l_linenumber", clip(F.col("l_quantity"), 10.0, 40.0).alias("qty_clipped"))

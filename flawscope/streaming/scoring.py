@@ -2,8 +2,8 @@
 
 The reference keeps the fitted matrices "to score new rows later" but never does.  Every
 stored stage (presence flags, PCA, k-means routing, imputation, scaling, trees) is a
-row-wise transformation, so the same ``score_new`` plan runs unchanged on a streaming
-DataFrame: no state store, no watermark - each micro-batch is routed and scored on its own.
+row-wise transformation, so no state store or watermark is needed.  Each micro-batch is
+routed once (persisted inside ``foreachBatch``) and then scored per cluster.
 """
 
 from __future__ import annotations
@@ -12,27 +12,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from flawscope.plans.flows import TwoStageModel, score_new
+from pyspark import StorageLevel
+
+from flawscope.plans.flows import TwoStageModel, route_new, score_new, score_routed
 from flawscope.session import scratch_dir
 
 
 def score_stream(model: TwoStageModel, stream: DataFrame) -> DataFrame:
-    """Apply the stored chains to a streaming (or batch) DataFrame."""
-    return score_new(model, stream)
+    """The stored chains as a streaming plan (routing recomputed per cluster branch)."""
+    return score_new(model, stream, persist=False)
+
+
+def score_batch_to(model: TwoStageModel, sink_dir: str):
+    """``foreachBatch`` body: route the micro-batch once, score it, and overwrite the folder
+    of that batch id - a replayed batch rewrites the same files (idempotent output)."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        routed = route_new(model, batch).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            scored = score_routed(model, routed)
+            scored.write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch_id={batch_id}")
+        finally:
+            routed.unpersist()
+
+    return write
 
 
 def start_scoring(spark: SparkSession, model: TwoStageModel, source_dir: str, schema: StructType,
                   sink_dir: str, checkpoint_dir: str | None = None,
                   available_now: bool = True) -> StreamingQuery:
-    """Watch ``source_dir`` for parquet files of new rows and append scored rows to ``sink_dir``.
-
-    The checkpoint lives in the shared checkpoint folder, so a restarted driver resumes
-    exactly where it stopped (file source + file sink give exactly-once output).
-    """
+    """Watch ``source_dir`` for parquet files of new rows and write scored rows under
+    ``sink_dir/batch_id=<n>``.  The checkpoint lives in the shared checkpoint folder, so a
+    restarted driver resumes where it stopped."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
-    writer = (score_stream(model, stream).writeStream.format("parquet")
-              .option("path", sink_dir)
-              .option("checkpointLocation", checkpoint_dir or scratch_dir(spark, "stream-ckpt"))
-              .outputMode("append"))
+    writer = (stream.writeStream.foreachBatch(score_batch_to(model, sink_dir))
+              .option("checkpointLocation", checkpoint_dir or scratch_dir(spark, "stream-ckpt")))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

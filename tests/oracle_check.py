@@ -45,6 +45,19 @@ def _norm(v):
     return str(v)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "timestamp_ntz": "TIMESTAMP",
+                 "array<double>": "DOUBLE[]", "array<float>": "FLOAT[]", "date": "DATE"}
+
+
+def _spark_type(t):
+    return SPARK_TO_DUCK.get(t, t)
+
+
+def _duck_type(t):
+    return str(t).upper()
+
+
 def rows_of(columns, records):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     out = [tuple(_norm(r[i]) for i in order) for r in records]
@@ -68,6 +81,11 @@ def compare(spark, name, fn, sql, sf_dir, con):
     if sorted(scols) != sorted(dcols):
         res["status"] = f"COLUMNS {sorted(scols)} vs {sorted(dcols)}"
         return res
+    stypes = dict(sdf.dtypes)
+    dtypes = dict(zip(dcols, [_duck_type(d[1]) for d in cur.description]))
+    bad_types = {c: (stypes[c], dtypes[c]) for c in scols if _spark_type(stypes[c]) != dtypes[c]}
+    if bad_types:
+        res["types"] = bad_types
     a, b = rows_of(scols, srows), rows_of(dcols, drows)
     if len(a) != len(b):
         res["status"] = "ROWCOUNT"
@@ -96,7 +114,7 @@ def main(argv):
             res = compare(spark, name, qs[name], oracles.get(name), sf_dir, con)
         except Exception as e:  # noqa: BLE001
             res = {"name": name, "status": f"ERROR {type(e).__name__}: {str(e)[:300]}"}
-        if res["status"] not in ("ok", "rows-only"):
+        if res["status"] not in ("ok", "rows-only") or res.get("types"):
             bad += 1
         print(res, flush=True)
     print("BAD", bad)

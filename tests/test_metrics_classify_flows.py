@@ -120,3 +120,46 @@ def test_entry_contract(spark):
     qs, oracles = E.queries(), E.oracle_sql()
     assert set(oracles) <= set(qs)
     assert len(qs) >= 80
+
+
+def test_cv_best_params_in_grid_and_label_text(spark):
+    prepared = J.prepare_classify_table(X.classify(spark, SF_TINY))
+    chain, clf = H.chain_raw(prepared, "high_value", "DT")
+    grid = H.param_grid(clf, "DT")
+    model = H.fit(chain, prepared, grid, validate=True, folds=3, parallelism=3)
+    best = H.best_params(model)
+    assert best["maxDepth"] in {1, 6, 11, 16, 21, 26} and best["minInstancesPerNode"] in {1, 3, 5, 7, 9}
+    labels = H.best_pipeline(model).stages[1].labels
+    preds = H.predict(model, prepared).select("prediction", "predicted-high_value").collect()
+    assert all(labels[int(r.prediction)] == r["predicted-high_value"] for r in preds)
+
+
+def test_positive_label_pins_index_one(spark):
+    df = spark.createDataFrame([("0",)] * 5 + [("1",)] * 2, "y string")
+    freq, _ = H.label_stages(df, "y")
+    pinned, back = H.label_stages(df, "y", positive_label="0")
+    assert freq.labels == ["0", "1"]          # frequency order: the rarer label is index 1
+    assert pinned.labels == ["1", "0"] and back.getLabels() == ["1", "0"]
+    assert {r.y: r.label for r in pinned.transform(df).distinct().collect()} == {"1": 0.0, "0": 1.0}
+
+
+def test_singleton_cluster_silhouette_is_zero_for_that_point(spark):
+    from pyspark.ml.functions import array_to_vector
+    from flawscope.operators import clustering as G
+    rows = [([0.0], 0), ([0.1], 0), ([5.0], 1), ([5.1], 1), ([100.0], 2)]
+    df = spark.createDataFrame(rows, "v array<double>, prediction int") \
+        .select(array_to_vector("v").alias("features"), "prediction")
+    s_all = G.silhouette_value(df)
+    s_without = G.silhouette_value(df.where("prediction < 2"))
+    # the singleton contributes 0, so the mean over 5 points is 4/5 of the others' mean (approx.)
+    assert s_all is not None and s_all < s_without
+
+
+def test_two_stage_with_a_constant_target_cluster(spark):
+    w = X.wide(spark, SF_TINY)
+    # keep one response value only for orders whose id bucket is low: some clusters become pure
+    skewed = w.where((F.col("response") == 1) | (key_bucket(F.col("id")) < 10))
+    scores, _, _ = J.two_stage(skewed, k=2, kind="DT")
+    rows = scores.collect()
+    assert sum(r.n_rows for r in rows) == skewed.count()
+    assert all(r.accuracy is None or 0.0 <= r.accuracy <= 1.0 for r in rows)

@@ -148,3 +148,22 @@ def test_row_to_array_and_keep_columns(spark):
 def test_add_random_col_is_binary(spark):
     vals = {r.r for r in B.add_random_col(spark.range(200), "r").collect()}
     assert vals == {0, 1}
+
+
+def test_get_or_train_uses_stored_model(spark, tmp_out):
+    from pyspark.ml.feature import VectorAssembler
+    from flawscope.operators.clustering import kmeans_fit
+    from flawscope.sources.models import get_or_train, load_kmeans, save_kmeans
+
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(
+        spark.range(20).select(F.col("id").cast("double").alias("x")))
+    calls = []
+
+    def train():
+        calls.append(1)
+        return kmeans_fit(df, 2)
+
+    first = get_or_train(spark, tmp_out, load_kmeans, train, save_kmeans)
+    second = get_or_train(spark, tmp_out, load_kmeans, train, save_kmeans)
+    assert len(calls) == 1
+    assert sorted(map(list, first.clusterCenters())) == sorted(map(list, second.clusterCenters()))
