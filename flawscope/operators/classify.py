@@ -31,8 +31,9 @@ class TreeSettings:
     num_trees: int = 100
     seed: int = 42
     # execution only (the learned trees do not change): bigger node groups per pass over the
-    # data, node ids cached next to the rows instead of shipping trees to every task
-    max_memory_mb: int = 1024
+    # data (None = derived from executor memory per core), node ids cached next to the rows
+    # instead of shipping trees to every task, node-id lineage cut every 10 levels
+    max_memory_mb: int | None = None
     cache_node_ids: bool = True
     checkpoint_interval: int = 10
 
@@ -45,6 +46,29 @@ DEFAULTS = {
 }
 
 
+def _size_mb(text: str) -> int:
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    text = text.strip().lower().rstrip("b")
+    return int(float(text[:-1]) * units[text[-1]]) if text[-1] in units else int(text) // (1024 * 1024)
+
+
+def tree_memory_mb(spark=None) -> int:
+    """Node-statistics buffer per task: half the heap share of one core, 256-2048 MB.
+
+    Every concurrently running task may hold one such buffer, so it must follow the
+    executor size (local mode: the driver heap shared by all cores)."""
+    from pyspark.sql import SparkSession
+
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return 256
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local")
+    heap = _size_mb(conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g"))
+    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
+    return max(256, min(2048, heap // (2 * max(1, cores))))
+
+
 def make_classifier(kind: str = "DT", label_col: str = "label", features_col: str = "features",
                     prediction_col: str = "prediction", settings: TreeSettings | None = None,
                     max_bins: int | None = None):
@@ -53,7 +77,8 @@ def make_classifier(kind: str = "DT", label_col: str = "label", features_col: st
     s = settings or DEFAULTS[kind]
     common = dict(labelCol=label_col, featuresCol=features_col, predictionCol=prediction_col,
                   maxDepth=s.max_depth, maxBins=max_bins or s.max_bins,
-                  minInstancesPerNode=s.min_leaf, seed=s.seed, maxMemoryInMB=s.max_memory_mb,
+                  minInstancesPerNode=s.min_leaf, seed=s.seed,
+                  maxMemoryInMB=s.max_memory_mb or tree_memory_mb(),
                   cacheNodeIds=s.cache_node_ids, checkpointInterval=s.checkpoint_interval)
     if kind == "DT":
         return DecisionTreeClassifier(impurity=s.impurity, **common)

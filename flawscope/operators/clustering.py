@@ -148,7 +148,7 @@ def choose_k(gaps: DataFrame, strict: bool = True) -> DataFrame:
 
 def find_num_clusters(df: DataFrame, features_col: str = "features", min_k: int = 2,
                       max_k: int | None = None, num_random: int = 30, seed: int = 42,
-                      strict: bool = True, parallelism: int = 4):
+                      strict: bool = True, parallelism: int = 8):
     """J2's search: fit k = min_k, min_k+1, ...; stop at the first k whose gap fails to beat
     the previous one (reference rule).  Returns (k, model, rows of (k, gap, s, log_w)).
 

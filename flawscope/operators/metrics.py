@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from flawscope.functions.columns import q
 
+MAX_GROUPS = 10_000  # per-group metrics bring one row per group to the driver
+
 
 def _ratio_or_num(num: Column, den: Column) -> Column:
     """num / den, or num itself when den is 0 (the reference's rule)."""
@@ -138,8 +140,8 @@ def auroc(df: DataFrame, score: str = "rawPrediction", label: str = "label",
     spark = df.sparkSession
     if by is None:
         return spark.createDataFrame([(auroc_value(df, score, label, num_bins),)], "auroc double")
-    groups = [r[0] for r in df.select(q(by)).distinct().limit(10_001).collect()]
-    if len(groups) > 10_000:
+    groups = [r[0] for r in df.select(q(by)).distinct().limit(MAX_GROUPS + 1).collect()]
+    if len(groups) > MAX_GROUPS:
         raise ValueError(f"{by} has too many groups for per-group AUROC")
     rows = [(g, auroc_value(df.where(q(by).eqNullSafe(F.lit(g))), score, label, num_bins))
             for g in groups]
@@ -179,7 +181,9 @@ def score_table(df: DataFrame, prediction: str = "prediction", label: str = "lab
     other = ~(y.isin(0.0, 1.0) & p.isin(0.0, 1.0))
     counts = confusion_counts(df, prediction, label, [by]).join(
         df.groupBy(q(by)).agg(F.count_if(other).alias("n_other")), by)
-    rows = counts.collect()  # one row per group (groups are few by contract)
+    rows = counts.limit(MAX_GROUPS + 1).collect()  # one row per group (few, checked)
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"{by} has more than {MAX_GROUPS} groups")
     cm = scores_from_counts(counts, keep=[by, "n_other"])
     if all(r["n_other"] == 0 for r in rows):
         tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))

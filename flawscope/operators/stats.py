@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,6 +117,16 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     answers are read off.  Heavy duplicates end the search at once (a bracket end is the answer).
     """
     probs = list(probs)
+    # several passes follow: keep only the target columns, once, instead of re-running the
+    # upstream plan (often a shuffle) for every pass
+    df = df.select(*[q(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _select_exact(df, columns, probs, max_candidates, accuracy)
+    finally:
+        df.unpersist()
+
+
+def _select_exact(df, columns, probs, max_candidates, accuracy):
     vals = {c: F.col(f"`{c}`").cast("double") for c in columns}
     n_row = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     targets = []

@@ -51,7 +51,7 @@ def prepare_cluster_table(df: DataFrame, id_col: str = "city", features_col: str
 
 
 def cluster_flow(df: DataFrame, id_col: str = "city", max_k: int = 10, num_random: int = 30,
-                 seed: int = 42, k: int | None = None, parallelism: int = 4):
+                 seed: int = 42, k: int | None = None, parallelism: int = 8):
     """J1 -> (gap search | fixed k) -> assign -> inertia, silhouette.
 
     Returns (assignments, summary one-row DataFrame, model, gap history rows)."""

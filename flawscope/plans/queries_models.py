@@ -13,7 +13,7 @@ from flawscope.operators import metrics as M
 from flawscope.operators.sampling import key_bucket, train_test_split
 from flawscope.plans import flows as J
 from flawscope.plans.registry import query, r6, sql_r6
-from flawscope.session import scratch_dir
+from flawscope.session import materialize, scratch_dir
 from flawscope.sources import fixtures as X
 from flawscope.sources.models import load_classifier, load_kmeans, save_classifier, save_kmeans
 from flawscope.sources.tables import load_table
@@ -382,13 +382,14 @@ def flow_classify_q(spark, sf):
 
 @query("flow_presence_pca")
 def flow_presence_pca_q(spark, sf):
-    out, _, _ = J.presence_pca(J.common_prepare(X.wide(spark, sf)), "id", "response", 50, 0.95)
+    common = J.common_prepare(materialize(X.wide(spark, sf)))
+    out, _, _ = J.presence_pca(common, "id", "response", 50, 0.95)
     return out.drop("features")
 
 
 @query("flow_measure_pca")
 def flow_measure_pca_q(spark, sf):
-    out, _, _, _ = J.measure_pca(X.wide(spark, sf), "id", "response", 50, 0.95)
+    out, _, _, _ = J.measure_pca(materialize(X.wide(spark, sf)), "id", "response", 50, 0.95)
     return out.drop("features")
 
 

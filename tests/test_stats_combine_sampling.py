@@ -85,3 +85,33 @@ def test_random_table_range(spark):
     assert df.columns == ["col-1", "col-2", "col-3"]
     r = df.agg(F.min("col-1"), F.max("col-3")).first()
     assert 5.0 <= r[0] and r[1] < 6.0
+
+
+def test_exact_quantiles_property(spark):
+    """Random values with duplicates and nulls: the rank rule ceil(p * n) on sorted non-nulls."""
+    import math
+    import random
+
+    rng = random.Random(11)
+    for trial in range(4):
+        n = rng.randint(1, 400)
+        vals = [None if rng.random() < 0.2 else float(rng.randint(-20, 20 + trial * 50)) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(3)
+        probs = [0.0, 0.05, 0.33, 0.5, 0.99, 1.0]
+        got = D.exact_quantiles(df, ["x"], probs, max_candidates=7, accuracy=8)["x"]
+        clean = sorted(v for v in vals if v is not None)
+        if not clean:
+            assert got == [None] * len(probs)
+            continue
+        m = len(clean)
+        want = [clean[min(m, max(1, math.ceil(p * m))) - 1] for p in probs]
+        assert got == want, (trial, got, want)
+
+
+def test_approx_distinct_within_three_rsd(spark):
+    li = load_table(spark, SF_SMALL, "lineitem")
+    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"]
+    exact = D.distinct_counts(li, cols).first()
+    approx = D.approx_distinct_counts(li, cols, rsd=0.05).first()
+    for c in cols:
+        assert abs(approx[c] - exact[c]) <= 3 * 0.05 * exact[c], c
