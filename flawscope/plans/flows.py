@@ -158,6 +158,16 @@ def measure_pca(df: DataFrame, id_col: str = "id", target: str = "response",
     return out, pc, chain, stages["n_components"]
 
 
+def right_size(df: DataFrame, n_rows: int, rows_per_partition: int = 1_000_000) -> DataFrame:
+    """Coalesce (no shuffle) a filtered sub-table to about ``rows_per_partition`` rows per
+    partition, keeping at least one partition per core: a small cluster of a huge table would
+    otherwise carry the parent's thousands of near-empty partitions into every tree level."""
+    current = df.rdd.getNumPartitions()
+    floor = min(current, df.sparkSession.sparkContext.defaultParallelism)
+    wanted = max(floor, -(-n_rows // rows_per_partition))
+    return df.coalesce(wanted) if wanted < current else df
+
+
 @dataclass
 class TwoStageModel:
     """Everything needed to score new rows: columns kept, clustering chain, one chain per cluster."""
@@ -188,15 +198,17 @@ def two_stage(df: DataFrame, id_col: str = "id", target: str = "response", k: in
     try:
         inertia = G.inertia_value(assigned, G.centers_of(km))
         sil = G.silhouette_value(assigned, "features", "cluster")
-        clusters = sorted(r[0] for r in assigned.select("cluster").distinct().collect())
+        sizes = dict(assigned.groupBy("cluster").count().collect())  # k rows
+        clusters = sorted(sizes)
         rows = assigned.select(id_col, target, "cluster", *measures)
         model = TwoStageModel(id_col, target, measures, pstages["chain"], km)
 
         def per_cluster(c):
             # one read of the shared table per cluster; the ~5 statistics / fit passes of this
-            # cluster then run on its own rows only
+            # cluster then run on its own rows only, in partitions sized to the cluster
             part = rows.where(F.col("cluster") == c).drop("cluster")
-            part = part.withColumn(target, q(target).cast("string")).persist(StorageLevel.MEMORY_AND_DISK)
+            part = right_size(part.withColumn(target, q(target).cast("string")), sizes[c])
+            part = part.persist(StorageLevel.MEMORY_AND_DISK)
             preds = None
             try:
                 table, _, chain, ncomp = measure_pca(part, id_col, target, max_components, explained)
