@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flawscope.operators import features as FE
 from flawscope.operators import sampling as E
+from flawscope.plans.flows import AGE_SPLITS, HOURS_SPLITS
 from flawscope.plans.registry import query, r6, sql_r6
 from flawscope.sources import fixtures as X
 from flawscope.sources.tables import load_table
@@ -97,7 +98,7 @@ def _bin_case(col: str, splits) -> str:
     return f"CAST(CASE {' '.join(parts)} END AS DOUBLE) AS {col}"
 
 
-AGE, HOURS = (0, 18, 30, 60, 100), (0, 25, 40, 60, 100)
+AGE, HOURS = AGE_SPLITS, HOURS_SPLITS
 
 
 @query("binning", sql=X.with_fixture(
