@@ -218,6 +218,25 @@ def project_vector(df: DataFrame, vector_col: str, loadings: DenseMatrix, keep:
     return proj.select(vec.alias(vector_col), *[q(c) for c in keep])
 
 
+def feature_covariance(df: DataFrame, columns: Sequence[str] | None = None,
+                       features_col: str | None = None) -> DataFrame:
+    """Sample covariance matrix of numeric columns (or of a vector column) as (i, j, cov) rows,
+    upper triangle.  One distributed Gramian pass (``Correlation``) plus one ``Summarizer``
+    pass - the same d x d statistics PCA uses; never d^2 separate SQL aggregates."""
+    from pyspark.ml.stat import Correlation, Summarizer
+
+    if features_col is None:
+        df = assemble(df, "_cov_x", list(columns or df.columns))
+        features_col = "_cov_x"
+    corr = Correlation.corr(df, features_col, "pearson").first()[0].toArray()
+    std = df.select(Summarizer.metrics("std").summary(q(features_col)).alias("s")) \
+        .first()["s"]["std"].toArray()
+    d = len(std)
+    rows = [(i, j, 0.0 if std[i] == 0 or std[j] == 0 else float(corr[i, j] * std[i] * std[j]))
+            for i in range(d) for j in range(i, d)]
+    return df.sparkSession.createDataFrame(rows, "i int, j int, cov double")
+
+
 def index_features(df: DataFrame, columns: Sequence[str], prefix: str = "indexed-",
                    order: str = "frequencyDesc", handle_invalid: str = "error",
                    ) -> tuple[DataFrame, StringIndexerModel]:

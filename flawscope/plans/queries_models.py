@@ -425,15 +425,19 @@ def gap_curve_q(spark, sf):
 
 
 _PRESENCE = [f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in X.WIDE_FEATURES]
+_COV_WIDE = "SELECT " + ", ".join(
+    f"covar_samp({_PRESENCE[i]}, {_PRESENCE[j]}) AS cov_{i}_{j}"
+    for i in range(len(_PRESENCE)) for j in range(i, len(_PRESENCE))) + " FROM wide"
 
 
-@query("feature_covariance", sql=X.with_fixture("wide", "SELECT " + ", ".join(
-    sql_r6(f"covar_samp({_PRESENCE[i]}, {_PRESENCE[j]})") + f" AS cov_{i}_{j}"
-    for i in range(len(_PRESENCE)) for j in range(i, len(_PRESENCE))) + " FROM wide"))
+@query("feature_covariance", sql=X.with_fixture("wide", f""", cw AS ({_COV_WIDE}),
+u AS (UNPIVOT cw ON COLUMNS(*) INTO NAME name VALUE v)
+SELECT CAST(split_part(name, '_', 2) AS INTEGER) AS i, CAST(split_part(name, '_', 3) AS INTEGER) AS j,
+       round(v, 6) + 0.0 AS cov FROM u"""))
 def feature_covariance_q(spark, sf):
     """F5's input check: sample covariance of the presence flags the clustering PCA uses
-    (upper triangle, one aggregate pass)."""
+    (upper triangle, from one distributed Gramian pass)."""
     flags = J.presence_flags(X.wide(spark, sf))
     names = [f"_p_{c}" for c in X.WIDE_FEATURES]
-    return flags.agg(*[r6(F.covar_samp(names[i], names[j])).alias(f"cov_{i}_{j}")
-                       for i in range(len(names)) for j in range(i, len(names))])
+    cov = FE.feature_covariance(flags, names)
+    return cov.select("i", "j", r6(F.col("cov")).alias("cov"))
