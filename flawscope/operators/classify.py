@@ -17,7 +17,6 @@ from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel,
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 
-from flawscope.operators.stats import max_distinct_values
 
 
 @dataclass(frozen=True)
@@ -131,7 +130,8 @@ def chain_raw(df: DataFrame, target: str, kind: str = "DT", features_col: str =
     feat_idx = StringIndexer(inputCols=cols, outputCols=[f"indexed-{c}" for c in cols]).fit(df)
     lab_idx, back = label_stages(df, target, positive_label=positive_label)
     s = settings or DEFAULTS[kind.upper()]
-    bins = max(s.max_bins, int(max_distinct_values(df, cols).first()[0] or 0))
+    # every indexed feature is categorical: maxBins >= its number of labels (known from the fit)
+    bins = max([s.max_bins, *[len(labels) for labels in feat_idx.labelsArray]])
     asm = VectorAssembler(inputCols=feat_idx.getOutputCols(), outputCol=features_col)
     clf = make_classifier(kind, features_col=features_col, settings=s, max_bins=bins)
     return Pipeline(stages=[feat_idx, lab_idx, asm, clf, back]), clf

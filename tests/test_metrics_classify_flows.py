@@ -56,7 +56,7 @@ def test_compat_confusion_one_class(spark):
     assert (plain.tn, plain.fp, plain.fn, plain.tp) == (0, 0, 1, 2)
 
 
-def test_param_grids():
+def test_param_grids(spark):
     dt = H.make_classifier("DT")
     rf = H.make_classifier("RF")
     g_dt, g_rf = H.param_grid(dt, "DT"), H.param_grid(rf, "RF")
