@@ -64,12 +64,17 @@ def materialize(df, mode: str = "checkpoint"):
     """Cut the lineage of a table that several jobs reuse.
 
     ``checkpoint`` writes it to the shared checkpoint folder: a lost executor costs a re-read,
-    not a re-run of every upstream shuffle.  ``persist`` keeps it in executor memory / disk
-    (cheaper when the lineage is short).
+    not a re-run of every upstream shuffle.  ``table`` writes Parquet to the same shared
+    folder and reads it back (columnar: later scans prune columns and push filters).
+    ``persist`` keeps it in executor memory / disk (cheaper when the lineage is short).
     """
     from pyspark import StorageLevel
 
     if mode == "checkpoint":
         ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
+    if mode == "table":
+        path = scratch_dir(df.sparkSession, "table")
+        df.write.parquet(path)
+        return df.sparkSession.read.parquet(path)
     return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,12 +33,14 @@ class TableSpec:
 def read_csv(spark: SparkSession, path: str, spec: TableSpec | None = None, *,
              sep: str | None = None, mode: str = "DROPMALFORMED",
              ignore_leading_blanks: bool = False, ignore_trailing_blanks: bool = False,
-             min_partitions: int | None = None) -> DataFrame:
+             min_partitions: int | None = None, materialize_as: str = "table") -> DataFrame:
     """CSV scan with a header; declared schema if the spec has one, inference otherwise.
 
     With ``DROPMALFORMED`` the set of surviving rows depends on which columns are parsed, so
-    the result is persisted before anyone counts it: every later action sees the same rows.
-    ``.gz`` files are one task each, hence the optional ``min_partitions`` repartition.
+    the fully parsed result is materialized once (default: a Parquet table in the shared
+    checkpoint folder; ``materialize_as="persist"`` for executor cache) before anyone counts
+    it: every later action sees the same rows.  ``.gz`` files are one task each, hence the
+    optional ``min_partitions`` repartition.
     """
     reader = spark.read.option("header", True).option("mode", mode)
     reader = reader.option("sep", sep if sep is not None else (spec.delimiter if spec else ","))
@@ -51,7 +52,8 @@ def read_csv(spark: SparkSession, path: str, spec: TableSpec | None = None, *,
     if min_partitions and df.rdd.getNumPartitions() < min_partitions:
         df = df.repartition(min_partitions)
     if mode.upper() == "DROPMALFORMED":
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        from flawscope.session import materialize
+        df = materialize(df, materialize_as)
     return df
 
 
