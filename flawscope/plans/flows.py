@@ -29,10 +29,9 @@ from flawscope.functions.columns import q
 from flawscope.operators import classify as C
 from flawscope.operators import clustering as G
 from flawscope.operators import metrics as M
-from flawscope.operators.clean import (binary_conversion, drop_constant_columns, drop_null_rows,
-                                       impute, keep_columns, trim_values, values_to_null)
-from flawscope.operators.features import (assemble, binning, pca, quantile_bins, standardize,
-                                          vector_to_columns)
+from flawscope.operators.clean import (drop_constant_columns, drop_null_rows, impute,
+                                       keep_columns, trim_values, values_to_null)
+from flawscope.operators.features import assemble, binning, pca, quantile_bins, standardize
 from flawscope.operators.sampling import drop_duplicates, train_test_split
 from flawscope.session import materialize
 from flawscope.sources.tables import TableSpec

@@ -1,6 +1,5 @@
 """Metrics (I), classifiers (H), flows (J), streaming scoring, entry contract."""
 
-import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
