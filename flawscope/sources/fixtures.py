@@ -12,9 +12,11 @@ DuckDB oracles (as the first CTE), so both engines start from the same rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-from flawscope.sources.tables import register_tables
+from flawscope.sources.tables import TABLES, load_table
 
 STATIONS = range(1, 8)
 # Measurement name -> lineitem column
@@ -65,9 +67,14 @@ FIXTURE_TABLES = {"wide": ("lineitem",), "classify": ("orders", "customer", "nat
                   "cluster": ("customer", "nation", "orders"), "pred": ("lineitem",)}
 
 
+_TABLE_REF = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b")
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    register_tables(spark, sf_dir, FIXTURE_TABLES[name])
-    return spark.sql(FIXTURE_SQL[name])
+    """The fixture SQL with its tables bound as DataFrames (no session-wide temp views)."""
+    text = _TABLE_REF.sub(lambda m: f"{m.group(1)} {{{m.group(2)}}}", FIXTURE_SQL[name])
+    frames = {t: load_table(spark, sf_dir, t) for t in FIXTURE_TABLES[name]}
+    return spark.sql(text, **frames)
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
