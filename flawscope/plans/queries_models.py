@@ -133,14 +133,15 @@ def choose_k_q(spark, sf):
 
 
 def _arrest_like(spark, sf):
-    prepared, _ = J.prepare_cluster_table(X.cluster(spark, sf), "city")
+    """One row per customer, 4 numeric columns, assembled and standardised."""
+    prepared, _ = J.prepare_cluster_table(X.customers(spark, sf), "id")
     return prepared
 
 
 @query("kmeans_fit_predict")
 def kmeans_fit_predict_q(spark, sf):
     df = _arrest_like(spark, sf)
-    return G.assign(G.kmeans_fit(df, 2, seed=42), df).select("city", "prediction")
+    return G.assign(G.kmeans_fit(df, 2, seed=42), df).select("id", "prediction")
 
 
 @query("cluster_centers")
@@ -159,20 +160,20 @@ def reference_uniform_q(spark, sf):
 def model_roundtrip_kmeans_q(spark, sf):
     df = _arrest_like(spark, sf)
     path = save_kmeans(G.kmeans_fit(df, 2, seed=42), scratch_dir(spark, "kmeans"))
-    return load_kmeans(path).transform(df).select("city", "prediction")
+    return load_kmeans(path).transform(df).select("id", "prediction")
 
 
-@query("flow_cluster_prepare", sql=X.with_fixture("cluster", "SELECT city, " + ", ".join(
+@query("flow_cluster_prepare", sql=X.with_fixture("customers", "SELECT id, " + ", ".join(
     sql_r6(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()") + f" AS f{i}"
-    for i, c in enumerate(["customers", "balance", "max_balance", "spend"])) + " FROM cluster"))
+    for i, c in enumerate(["balance", "orders", "spend", "max_order"])) + " FROM customers"))
 def flow_cluster_prepare_q(spark, sf):
     out = FE.vector_to_columns(_arrest_like(spark, sf), "features", size=4)
-    return out.select("city", *[r6(F.col(f"f{i}")).alias(f"f{i}") for i in range(4)])
+    return out.select("id", *[r6(F.col(f"f{i}")).alias(f"f{i}") for i in range(4)])
 
 
 @query("flow_cluster", heavy=True)
 def flow_cluster_q(spark, sf):
-    _, summary, _, _ = J.cluster_flow(X.cluster(spark, sf), "city", max_k=10, num_random=30)
+    _, summary, _, _ = J.cluster_flow(X.customers(spark, sf), "id", max_k=10, num_random=30)
     return summary
 
 

@@ -6,7 +6,8 @@ DuckDB oracles (as the first CTE), so both engines start from the same rows.
 * ``wide``     - production stand-in: one row per order, stations 1-7 x four measurements,
                  structural nulls, 0/1 ``response``.
 * ``classify`` - census stand-in: padded strings, ``?`` and empty-string sentinels.
-* ``cluster``  - arrests stand-in: 25 rows, 4 numeric columns.
+* ``cluster``  - arrests stand-in: 25 rows, 4 numeric columns (fixed size: tests only).
+* ``customers``- the same shape per customer (grows with the data): clustering queries.
 * ``pred``     - fixed predictions for the metric operators.
 """
 
@@ -55,6 +56,13 @@ LEFT JOIN (SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DO
            FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey
 GROUP BY n_name"""
 
+CUSTOMERS_SQL = """SELECT c_custkey AS id, c_acctbal AS balance, coalesce(o.n, 0) AS orders,
+       coalesce(o.total, CAST(0 AS DOUBLE)) AS spend, coalesce(o.top, CAST(0 AS DOUBLE)) AS max_order
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n,
+                                CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total,
+                                max(o_totalprice) AS top
+                         FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey"""
+
 PRED_SQL = """SELECT l_orderkey, l_linenumber, l_linestatus,
        CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS DOUBLE) AS label,
        CAST(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS DOUBLE) AS prediction,
@@ -62,9 +70,10 @@ PRED_SQL = """SELECT l_orderkey, l_linenumber, l_linestatus,
 FROM lineitem"""
 
 FIXTURE_SQL = {"wide": WIDE_SQL, "classify": CLASSIFY_SQL, "cluster": CLUSTER_SQL,
-               "pred": PRED_SQL}
+               "customers": CUSTOMERS_SQL, "pred": PRED_SQL}
 FIXTURE_TABLES = {"wide": ("lineitem",), "classify": ("orders", "customer", "nation"),
-                  "cluster": ("customer", "nation", "orders"), "pred": ("lineitem",)}
+                  "cluster": ("customer", "nation", "orders"), "customers": ("customer", "orders"),
+                  "pred": ("lineitem",)}
 
 
 _TABLE_REF = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b")
@@ -89,6 +98,10 @@ def cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "cluster")
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "customers")
+
+
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "pred")
 
