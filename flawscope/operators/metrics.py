@@ -184,6 +184,8 @@ def score_table(df: DataFrame, prediction: str = "prediction", label: str = "lab
     rows = counts.limit(MAX_GROUPS + 1).collect()  # one row per group (few, checked)
     if len(rows) > MAX_GROUPS:
         raise ValueError(f"{by} has more than {MAX_GROUPS} groups")
+    # reuse the collected counts (bounded) instead of aggregating the predictions again
+    counts = spark.createDataFrame(rows, counts.schema)
     cm = scores_from_counts(counts, keep=[by, "n_other"])
     if all(r["n_other"] == 0 for r in rows):
         tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
