@@ -48,3 +48,94 @@ def op1_substring_dedup(spark, sf_dir):
     from flawscope.llm.substring_dedup import substring_dedup
 
     return substring_dedup(table(spark, sf_dir, "documents"), window=13, keep_text=False).drop("kept_text")
+
+
+# ----------------------------------------------------------------------- op5 near duplicates
+
+NEAR_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+           ELSE [array_to_string(ws[i:i + 2], ' ') FOR i IN range(1, len(ws) - 1)] END) AS s FROM w)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+few AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY 1, 2),
+links AS MATERIALIZED (
+  SELECT a, b FROM few JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS c FROM documents
+          UNION SELECT both_ways.b, reach.c FROM reach JOIN both_ways ON both_ways.a = reach.a),
+comp AS (SELECT a, min(c) AS c FROM reach GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, comp.c AS component_id,
+       w.doc_id = comp.c AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN comp ON comp.a = w.doc_id"""
+
+
+@query("op5_minhash_near_dedup", sql=NEAR_SQL)
+def op5_minhash_near_dedup(spark, sf_dir):
+    from flawscope.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85, chunks=16, width=6)
+
+
+# ---------------------------------------------------------------- op2 benchmark decontamination
+
+_ALNUM_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+CONTAMINATION_SQL = rf"""
+WITH iw AS (SELECT item_id, {_ALNUM_WORDS} AS ws FROM benchmark),
+it AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS t, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS k
+  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM iw WHERE len(ws) > 0)),
+dw AS MATERIALIZED (SELECT doc_id, {_ALNUM_WORDS} AS ws FROM documents),
+ts AS (SELECT DISTINCT t FROM it),
+win AS (SELECT doc_id, t, i, array_to_string(ws[i:i + t - 1], ' ') AS k
+        FROM (SELECT doc_id, ws, t, unnest(range(1, len(ws) - t + 2)) AS i FROM dw, ts WHERE len(ws) >= t)),
+hit AS MATERIALIZED (SELECT doc_id, i, win.t, item_id FROM win JOIN it ON it.t = win.t AND it.k = win.k),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+          FROM (SELECT doc_id, unnest(range(i, i + t)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hit GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+@query("op2_benchmark_decontamination", sql=CONTAMINATION_SQL)
+def op2_benchmark_decontamination(spark, sf_dir):
+    from flawscope.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+# ------------------------------------------------------------------------ op7 language ID
+
+@query("op7_ppm_language_id")
+def op7_ppm_language_id(spark, sf_dir):
+    from flawscope.llm.language_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents")).drop("bits_per_byte")
+
+
+# ----------------------------------------------------------------------- op9 best-fit packing
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark, sf_dir):
+    from flawscope.llm.packing import best_fit
+
+    return best_fit(table(spark, sf_dir, "documents"), capacity=2048)
+
+
+# --------------------------------------------------------------------------- op3 LM scoring
+
+@query("op3_hmm_lm_scoring")
+def op3_hmm_lm_scoring(spark, sf_dir):
+    from flawscope.llm.hmm_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
