@@ -198,6 +198,34 @@ def identify(docs: DataFrame, tree: Tree | None, order: int = ORDER) -> DataFram
             .mapInArrow(_predict(shared, order), "doc_id long, lang_pred string, score double, bits_per_byte double"))
 
 
+def _accept(tree, order: int, min_score: float):
+    def accept(batches):
+        for batch in batches:
+            texts, keep, at = batch.column("text"), [], 0
+            while at < batch.num_rows:
+                part, size = [], 0
+                while at + len(part) < batch.num_rows and size < CHUNK_BYTES:
+                    part.append(texts[at + len(part)].as_py())
+                    size += len(part[-1] or "")
+                lang, score, _ = classify(tree.value, part, order)
+                keep += [x != "und" and s >= min_score for x, s in zip(lang, score)]
+                at += len(part)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+    return accept
+
+
+def identified(docs: DataFrame, tree: Tree | None, order: int = ORDER, min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with at least ``min_score``.
+
+    Rejected are texts that are null or have no letter, and those that two languages explain
+    alike.  Without a tree (nothing to learn from) every row is rejected only if it has no letter.
+    """
+    if tree is None:
+        return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
+    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    return docs.mapInArrow(_accept(shared, order, min_score), docs.schema)
+
+
 def language_id(docs: DataFrame, order: int = ORDER, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """Predictions for all rows, learned from the rows that are not held out (crc32 mod 4 = 2)."""
     tree = fit(docs.where(~held_out("doc_id")), order, docs_per_language)

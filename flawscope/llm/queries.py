@@ -139,3 +139,119 @@ def op3_hmm_lm_scoring(spark, sf_dir):
     from flawscope.llm.hmm_lm import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ op6 document fingerprints
+
+@query("op6_quartile_digest")
+def op6_quartile_digest(spark, sf_dir):
+    from flawscope.llm.quartile_digest import quartile_digests
+
+    return quartile_digests(table(spark, sf_dir, "documents"))
+
+
+# --------------------------------------------------------------------------------- op8 WARC
+
+WARC_SQL = r"""
+WITH p AS MATERIALIZED (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+last AS (SELECT hex, max(page_id) AS last_id FROM p GROUP BY hex)
+SELECT page_id, payload_bytes,
+       list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + CAST((CAST(('0x' || substr(hex, 5 * (i // 4) + 1, 5)) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)
+           FOR i IN range(0, 32)], 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last_id THEN NULL ELSE last_id END AS refers_to
+FROM p JOIN last USING (hex)"""
+
+
+@query("op8_warc_dictionary", sql=WARC_SQL)
+def op8_warc_dictionary(spark, sf_dir):
+    from flawscope.llm.warc import read_warc, write_warc
+    from flawscope.session import scratch_dir
+
+    path = scratch_dir(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    return read_warc(spark, path).drop("url", "payload")
+
+
+# -------------------------------------------------------------------------- op10 URL filters
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+         ("org", "/fr/", "allow")]
+SPAM_HOST = r"(^|\.)(cheap-pills|ads-track)\."
+
+URL_SQL = r"""
+WITH u AS MATERIALIZED (
+  SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN substr(url, position('://' IN url) + 3) ELSE '' END AS r FROM pages),
+h AS MATERIALIZED (
+  SELECT page_id, url, translate(regexp_extract(r, '^[^/?#]*', 0, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM u),
+c AS MATERIALIZED (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') AS canon,
+                          row_number() OVER () AS row FROM h),
+listed AS (SELECT DISTINCT canon FROM c WHERE regexp_matches(host, '(^|\.)(cheap-pills|ads-track)\.') AND canon <> ''),
+rules(rh, rp, rv) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
+                             ('org', '/fr/', 'allow')),
+best AS (SELECT row, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv
+         FROM c JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY row)
+SELECT page_id, host, path, rule,
+       coalesce(rv, CASE WHEN listed.canon IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+       listed.canon IS NOT NULL AS listed
+FROM c LEFT JOIN best USING (row) LEFT JOIN listed ON c.canon = listed.canon"""
+
+
+@query("op10_url_filter", sql=URL_SQL)
+def op10_url_filter(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from flawscope.llm.url_filter import filter_urls, host_of, rule_rows
+
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.where(F.regexp_like(host_of("url"), F.lit(SPAM_HOST))).select("url")
+    return filter_urls(pages, rule_rows(spark, RULES), listed)
+
+
+# --------------------------------------------------------------------------- op4 license scan
+
+_WORDS = r"[x FOR x IN regexp_split_to_array(lower(coalesce({t}, '')), '[^\p{{L}}\p{{N}}]+') IF x <> '']"
+_PAIRS = ("CASE WHEN len(ws) >= 2 THEN [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))] "
+          "WHEN len(ws) = 1 THEN ws ELSE [] END")
+
+
+def _license_sql(notices: dict[str, str]) -> str:
+    values = ", ".join(f"('{k}', '{v}')" for k, v in notices.items())
+    return f"""
+WITH t AS MATERIALIZED (
+  SELECT license, list_distinct({_PAIRS}) AS template
+  FROM (SELECT license, {_WORDS.format(t="notice")} AS ws FROM (VALUES {values}) v(license, notice))),
+d AS MATERIALIZED (SELECT DISTINCT doc_id, text, {_PAIRS} AS s
+                   FROM (SELECT doc_id, text, {_WORDS.format(t="text")} AS ws FROM documents)),
+w AS MATERIALIZED (
+  SELECT doc_id, text, i, s[i * 6 + 1:i * 6 + 12] AS part
+  FROM (SELECT doc_id, text, s, unnest(range(0, (len(s) + 5) // 6)) AS i FROM d)),
+f AS (SELECT doc_id, text, license, i, len(list_distinct(list_intersect(part, template))) AS found, len(template) AS m
+      FROM w, t)
+SELECT doc_id, license, count(*) AS n_windows, CAST(max(found) AS BIGINT) AS n_found, CAST(max(m) AS BIGINT) AS n_shingles
+FROM f WHERE found * 100 >= m * 80 GROUP BY doc_id, text, license"""
+
+
+def _notices():
+    from flawscope.llm.license_scan import NOTICES
+
+    return NOTICES
+
+
+@query("op4_license_scan", sql=_license_sql(_notices()))
+def op4_license_scan(spark, sf_dir):
+    from flawscope.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+# --------------------------------------------------------------------------------- pipeline
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -1,9 +1,9 @@
 """Substring dedup by difference-cover anchors.
 
-Two equal windows of ``window`` words at positions i and j have some offset d < 7 with both
-i+d and j+d in {1, 2, 4} modulo 7 (a difference cover of 7).  So it is enough to hash the
-``window - 6`` words after those 3 of 7 positions (the anchors): a window that occurs twice
-shares an aligned anchor.  Only windows around anchors that occur in several documents are
+With a difference cover C modulo p (every remainder is a difference of two members), two
+equal windows at positions i and j have some offset d < p with both i+d and j+d in C modulo p.
+So it is enough to hash the ``window - p + 1`` words after the positions in C (the anchors; 3
+of 7 for windows of 13 words): a window that occurs twice shares an aligned anchor.  Only windows around anchors that occur in several documents are
 hashed in full (128 bits) and compared; the smallest doc_id of each decides.
 
 1. every block sends its distinct anchors to buckets; those of two or more blocks come back
@@ -30,15 +30,21 @@ from flawscope.llm.blocks import (block_count, bucket_rows, counts_of, in_blocks
 from flawscope.llm.text import (M2, Stream, pair_runs, rolling, runs, signed, space_words,
                                 unsigned, utf8)
 
-PERIOD = 7
-COVER = (1, 2, 4)  # a perfect difference set modulo 7
+# Perfect difference sets: each remainder but 0 is one difference of two members
+COVERS = {3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 ASK = "block int, bucket int, key array<bigint>"
 ASK_WINDOWS = "block int, bucket int, key array<bigint>, more array<bigint>, doc array<bigint>"
 TOLD = "block int, key array<bigint>"
 TOLD_WINDOWS = "block int, key array<bigint>, more array<bigint>"
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+RESULT = ["doc_id long", "n_words long", "n_removed long", "kept_sha256 string", "kept_text string"]
+
+
+def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
+    """The longest period that leaves anchors at least as long as itself, and its cover."""
+    period = max(p for p in COVERS if 2 * p <= window + 1)
+    return period, COVERS[period]
 
 
 def _documents(pdf: pd.DataFrame):
@@ -48,9 +54,10 @@ def _documents(pdf: pd.DataFrame):
 
 def _anchors(s: Stream, ids: pd.Series, window: int):
     """Positions and hashes of the anchors of all documents that can hold a window."""
-    width = window - PERIOD + 1
+    period, cover = cover_for(window)
+    width = window - period + 1
     h = rolling(s.hashes, width)
-    at = np.flatnonzero(np.isin(s.place % PERIOD, COVER) & (s.left >= width)
+    at = np.flatnonzero(np.isin(s.place % period, cover) & (s.left >= width)
                         & (s.lens[s.owner] >= window) & ids.notna().to_numpy()[s.owner])
     return at, h[at] if len(h) else np.empty(0, np.uint64)
 
@@ -93,7 +100,7 @@ def ask_windows(window: int, buckets: int):
         at, h = _anchors(s, ids, window)
         hit = at[np.isin(h, joined_hashes(told["key"])) | np.isin(h, _of_two(h, s.owner[at]))]
         near = np.zeros(s.total, bool)
-        for back in range(PERIOD):
+        for back in range(cover_for(window)[0]):
             g = hit[s.place[hit] >= back] - back
             near[g] = True
         start = np.flatnonzero(near & (s.left >= window))
@@ -168,7 +175,7 @@ def _kept_text(text: str, removed: np.ndarray) -> str:
     return b" ".join(out).decode("utf-8", "surrogatepass")
 
 
-def mark(window: int, keep_text: bool):
+def mark(window: int, keep_text: bool, carry: tuple[str, ...]):
     def answer(key, pdf, told):
         ids, words = _documents(pdf)
         s = Stream(words)
@@ -186,31 +193,37 @@ def mark(window: int, keep_text: bool):
             if keep_text:
                 kept.append(text if part is None else _kept_text(text, part))
         return pd.DataFrame({"doc_id": ids, "n_words": s.lens, "n_removed": n_gone,
-                             "kept_sha256": shas, "kept_text": kept if keep_text else None})
+                             "kept_sha256": shas, "kept_text": kept if keep_text else None,
+                             **{c: pdf[c] for c in carry}})
     return answer
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, keep_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, keep_text: bool = True,
+                    carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     Words are runs without ASCII white space, unchanged.  A word goes when a window of
     ``window`` words that covers it also starts in a document with a smaller doc_id; windows
     are judged on the input.  ``kept_sha256`` is of the kept words joined by one blank;
     ``kept_text`` is the text itself when nothing goes, else its kept runs joined by a blank
-    (null without ``keep_text``).
+    (null without ``keep_text``).  Columns named in ``carry`` come along as they are.
 
     Null and empty texts have no words and come back with 0, 0 and the hash of the empty
     string.  Rows without doc_id have no order: they lose nothing and take nothing.  Rows with
     the same doc_id do not take from each other.  Extra columns are ignored.  An empty table
     gives an empty result.
     """
-    if window < PERIOD:
-        raise ValueError(f"window must be at least {PERIOD} words")
+    if clash := {"block", *(x.split()[0] for x in RESULT), "text"} & set(carry):
+        raise ValueError(f"columns cannot be carried under these names: {sorted(clash)}")
+    if window < 5:
+        raise ValueError("window must be at least 5 words")
     n = block_count(docs)
-    blocks = in_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, "doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    blocks = in_blocks(rows, n, "doc_id", "text", *carry)
     by_block = blocks.groupBy("block")
     shared = (by_block.applyInPandas(ask_anchors(window, n), ASK)
               .groupBy("bucket").applyInPandas(tell_anchors, TOLD))
     late = (by_block.cogroup(shared.groupBy("block")).applyInPandas(ask_windows(window, n), ASK_WINDOWS)
             .groupBy("bucket").applyInPandas(tell_windows, TOLD_WINDOWS))
-    return by_block.cogroup(late.groupBy("block")).applyInPandas(mark(window, keep_text), RESULT)
+    return by_block.cogroup(late.groupBy("block")).applyInPandas(
+        mark(window, keep_text, carry), ", ".join(RESULT + [f"`{c}` {t}" for c, t in rows.dtypes if c in carry]))
