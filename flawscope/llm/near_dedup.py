@@ -7,9 +7,10 @@ leave out ``errors`` of its values, and all pairs under that distance share a ke
 share a key and are under the distance are compared on their full shingle sets.
 
 Exact copies (equal word sequences) are joined first; only one of each goes on.  A key's
-documents are linked to the smallest of them, not to each other; where a key still holds
-several components after that, its documents of different components are compared too (in
-parts of ``PART`` documents), so that no link is lost and no group is spelled out in pairs.
+documents are linked to the smallest of them (its pivot), not to each other.  Where the
+documents of a pivot still are in several components after that, those of different components
+are compared too, inside tasks that hold a bounded part of them and give out links only: no
+link is lost, and no group is spelled out in pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from flawscope.llm.components import components
 from flawscope.llm.text import hash_words, mix, rolling, space_words
 from flawscope.session import materialize
 
-PART = 1000  # documents of one key that a task compares with as many others
+PART = 1000  # documents of one pivot that a task compares with as many others
+PART_SHINGLES = 1_000_000  # and their shingles
 CHUNK_WORDS = 300_000  # words that a task hashes at once
 
 
@@ -85,7 +87,7 @@ def _sign(n: int, k: int, bits: int):
 def _sets(n: int):
     def sets(batches):
         for ids, words in _in_chunks(batches, CHUNK_WORDS // 4):
-            found = [shingles(w, n).view(np.int64) for w in words]
+            found = [np.sort(shingles(w, n).view(np.int64)) for w in words]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
     return sets
@@ -115,20 +117,32 @@ def _keys(chunks: int, width: int, errors: int):
     return keys
 
 
-def _compare(k: int, distance: int):
-    """Pairs of one key's documents (or of two parts of them) of different components that are
-    under the signature distance."""
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays of distinct values."""
+    at = np.minimum(a.searchsorted(b), len(a) - 1)
+    return int((a[at] == b).sum())
+
+
+def _compare(k: int, distance: int, percent: int):
+    """Links between different components of one pivot's documents (or of two parts of them):
+    pairs under the signature distance, checked on their full sets.  A link joins its two
+    components at once, so no more than one link between them is looked for."""
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, comp = pdf["doc"].to_numpy(), pdf["component"].to_numpy()
-        sig = _signatures(pdf["sig"], k)
-        a, b = [], []
-        for i in range(len(doc) - 1):
-            other = np.flatnonzero(comp[i + 1:] != comp[i]) + i + 1
-            other = other[(sig[other] != sig[i]).sum(axis=1) <= distance]
-            a.append(np.minimum(doc[i], doc[other]))
-            b.append(np.maximum(doc[i], doc[other]))
-        none = [np.empty(0, np.int64)]
-        return pd.DataFrame({"u": np.concatenate(none + a), "v": np.concatenate(none + b)}).drop_duplicates()
+        links = []
+        for _, g in pdf.groupby(["pivot", "p", "q"], sort=False):
+            doc, comp = g["doc"].to_numpy(), g["component"].to_numpy().copy()
+            sets = [np.asarray(x, np.int64) for x in g["shingles"]]
+            size, sig = np.array([len(x) for x in sets]), _signatures(g["sig"], k)
+            for i in range(len(doc) - 1):
+                other = np.flatnonzero(comp[i + 1:] != comp[i]) + i + 1
+                other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
+                for j in other[(sig[other] != sig[i]).sum(axis=1) <= distance]:
+                    if comp[j] != comp[i]:
+                        both = _shared(sets[i], sets[j])
+                        if 100 * both >= percent * (size[i] + size[j] - both):
+                            links.append((doc[i], doc[j]))
+                            comp[comp == comp[j]] = comp[i]
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
     return compare
 
 
@@ -160,7 +174,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     signed = materialize(rows.mapInArrow(
         _sign(shingle, k, bits), "doc_id long, n_shingles long, same binary, sig binary"), "table")
     texts = materialize(signed.where("same is not null and doc_id is not null").groupBy("same")
-                        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "table")
+                        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"),
+                             F.first("n_shingles").alias("n_shingles")), "table")
 
     entries = texts.select("rep", "sig").mapInArrow(_keys(chunks, width, errors), "key long, doc long")
     shared = entries.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")) \
@@ -173,21 +188,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     links = materialize(similar(stars, sets, percent), "table")
     found = components(links)
 
-    # keys that still hold several components: compare their documents across components
-    member = (live.join(found.withColumnRenamed("node", "doc"), "doc", "left")
-              .select("key", "doc", F.coalesce("component", "doc").alias("component")))
-    open_keys = (member.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"),
-                                           F.max("component").alias("b"))
-                 .where("a < b").select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
-    here = F.pmod(F.hash("doc"), F.col("parts"))
-    split = (member.join(open_keys, "key")
-             .join(texts.select(F.col("rep").alias("doc"), "sig"), "doc")
-             .withColumn("p", here).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .select("key", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"),
-                     "doc", "component", "sig"))
-    rest = (split.groupBy("key", "p", "q").applyInPandas(_compare(k, distance), "u long, v long")
-            .distinct().join(stars, ["u", "v"], "left_anti"))
-    more = materialize(similar(rest, sets, percent), "table")
+    # pivots whose documents still are in several components: compare across components
+    family = (stars.select(F.col("u").alias("pivot"), F.col("v").alias("doc"))
+              .union(stars.select("u", "u").distinct())
+              .join(found.withColumnRenamed("node", "doc"), "doc", "left")
+              .join(texts.select(F.col("rep").alias("doc"), "sig", "n_shingles"), "doc")
+              .select("pivot", "doc", F.coalesce("component", "doc").alias("component"), "sig", "n_shingles"))
+    mixed = materialize(
+        family.groupBy("pivot").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"),
+                                    F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
+        .select("pivot", "size", F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("size") / PART_SHINGLES))
+                .cast("int").alias("parts")), "table")
+    total = mixed.agg(F.sum(F.col("size") * F.col("parts")).alias("n")).first()["n"] or 0
+    compared = (family.drop("n_shingles").join(mixed.select("pivot", "parts"), "pivot")
+                .withColumn("p", F.pmod(F.hash("doc"), F.col("parts")))
+                .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+                .select("pivot", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "doc", "component", "sig")
+                .join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+                .withColumn("bucket", F.pmod(F.xxhash64("pivot", "p", "q"), F.lit(total // PART_SHINGLES + 1)))
+                .groupBy("bucket").applyInPandas(_compare(k, distance, percent), "u long, v long"))
+    more = materialize(compared, "table")
     if not more.isEmpty():
         found = components(links.union(more))
 
