@@ -1,9 +1,7 @@
 """Column-level helpers."""
 
-from flawscope.functions.columns import (argmin_first, clip, equals_text, linear_combination,
-                                         missing, non_null_array, presence, q,
-                                         squared_distance_arrays, squared_distance_cols)
+from flawscope.functions.columns import (clip, dot, double_matrix, equals_text, free_name, missing,
+                                         nearest, non_null_array, presence, q, squared_distance_arrays)
 
-__all__ = ["argmin_first", "clip", "equals_text", "linear_combination", "missing",
-           "non_null_array", "presence", "q", "squared_distance_arrays",
-           "squared_distance_cols"]
+__all__ = ["clip", "dot", "double_matrix", "equals_text", "free_name", "missing", "nearest",
+           "non_null_array", "presence", "q", "squared_distance_arrays"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,16 +42,15 @@ def non_null_array(cols: Sequence[Column]) -> Column:
     return F.filter(F.array(*[c.cast("double") for c in cols]), lambda x: x.isNotNull())
 
 
-def linear_combination(cols: Sequence[Column], weights: Sequence[float]) -> Column:
-    """sum_i w_i * x_i unrolled into plain arithmetic, so it stays inside whole-stage codegen."""
-    terms = [c.cast("double") * F.lit(float(w)) for c, w in zip(cols, weights)]
-    return reduce(lambda a, b: a + b, terms)
+def dot(x: Column, weights: Column) -> Column:
+    """sum_i w_i * x_i of two array columns of equal length."""
+    return F.aggregate(F.zip_with(x, weights, lambda a, w: a.cast("double") * w), F.lit(0.0),
+                       lambda acc, v: acc + v)
 
 
-def squared_distance_cols(cols: Sequence[Column], centre: Sequence[float]) -> Column:
-    """||x - c||^2 for a row spread over columns and a literal centre (exact, no norm shortcut)."""
-    terms = [F.pow(c.cast("double") - F.lit(float(v)), 2) for c, v in zip(cols, centre)]
-    return reduce(lambda a, b: a + b, terms)
+def double_matrix(rows: Sequence[Sequence[float]]) -> Column:
+    """A matrix as one literal (rows as arrays)."""
+    return F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in rows])
 
 
 def squared_distance_arrays(x: Column, y: Column) -> Column:
@@ -62,10 +60,16 @@ def squared_distance_arrays(x: Column, y: Column) -> Column:
     return F.aggregate(diffs, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def argmin_first(values: Sequence[Column]) -> tuple[Column, Column]:
-    """(index, value) of the smallest of ``values``; the first one wins ties."""
-    best = F.least(*values) if len(values) > 1 else values[0]
-    idx = F.lit(len(values) - 1)
-    for i in range(len(values) - 2, -1, -1):
-        idx = F.when(values[i] == best, F.lit(i)).otherwise(idx)
-    return idx, best
+def nearest(x: Column, centers: Column) -> Column:
+    """struct(cost, nearest) of the closest of an array of centres; the first one wins ties."""
+    each = F.transform(centers, lambda c, i: F.struct(squared_distance_arrays(x, c).alias("cost"),
+                                                      i.alias("nearest")))
+    return F.array_min(each)
+
+
+def free_name(columns: Sequence[str], base: str) -> str:
+    """``base``, lengthened until no column has that name (names are not case-sensitive)."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

@@ -17,6 +17,7 @@ from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel,
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 
+from flawscope.operators.features import check_categories
 
 
 @dataclass(frozen=True)
@@ -119,14 +120,16 @@ def label_stages(df: DataFrame, target: str, label_col: str = "label",
 
 
 def chain_raw(df: DataFrame, target: str, kind: str = "DT", features_col: str = "features",
-              settings: TreeSettings | None = None,
-              positive_label: str | None = None) -> tuple[Pipeline, object]:
+              settings: TreeSettings | None = None, positive_label: str | None = None,
+              max_categories: int = 10_000) -> tuple[Pipeline, object]:
     """H4: index every feature (as categories) -> index label -> assemble -> tree -> label text.
 
     Indexers are fitted on the whole table, like the reference.  ``maxBins`` is raised to the
-    largest number of categories, since every indexed feature is marked categorical.
+    largest number of categories, since every indexed feature is marked categorical; tables
+    with a column of more than ``max_categories`` distinct values are refused.
     """
     cols = [c for c in df.columns if c != target]
+    check_categories(df, cols, max_categories)
     feat_idx = StringIndexer(inputCols=cols, outputCols=[f"indexed-{c}" for c in cols]).fit(df)
     lab_idx, back = label_stages(df, target, positive_label=positive_label)
     s = settings or DEFAULTS[kind.upper()]

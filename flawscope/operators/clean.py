@@ -171,13 +171,17 @@ def filter_label(df: DataFrame, column: str, value) -> DataFrame:
     return df.where(q(column) == F.lit(value))
 
 
-def split_by_value(df: DataFrame, column: str, max_groups: int = 1000) -> list[tuple[object, DataFrame]]:
+def split_by_value(df: DataFrame, column: str, max_groups: int | None = None) -> list[tuple[object, DataFrame]]:
     """One null-safe filtered frame per distinct value of a low-cardinality column.
 
-    Only the distinct values reach the driver, and at most ``max_groups`` of them (checked).
+    Only the distinct values reach the driver (the result is one frame for each of them); with
+    ``max_groups`` more values than that are refused before they are fetched.
     """
-    values = [r[0] for r in df.select(q(column)).distinct().limit(max_groups + 1).collect()]
-    if len(values) > max_groups:
+    values = df.select(q(column)).distinct()
+    if max_groups is not None:
+        values = values.limit(max_groups + 1)
+    values = [r[0] for r in values.collect()]
+    if max_groups is not None and len(values) > max_groups:
         raise ValueError(f"{column} has more than {max_groups} distinct values")
     return [(v, df.where(q(column).eqNullSafe(F.lit(v)))) for v in values]
 

@@ -1,8 +1,7 @@
 """Clustering (G1-G12): k-means, inertia, silhouette, gap statistic, choice of k.
 
 The k centres (k x d doubles, small by construction) travel as literals inside the plan, so
-inertia / nearest-centre are plain aggregates in whole-stage codegen - no broadcast variable,
-no RDD.  Reference draws for the gap statistic are generated on the executors from the rows
+inertia / nearest-centre are plain expressions over them - no broadcast variable, no RDD.  Reference draws for the gap statistic are generated on the executors from the rows
 of the data itself (same partitioning, same size), seeded per draw, and reused over all k.
 """
 
@@ -15,14 +14,12 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flawscope.functions.columns import argmin_first, q, squared_distance_arrays
+from flawscope.functions.columns import double_matrix, nearest, q
 from flawscope.operators.features import vector_size
 
-UNROLL_LIMIT = 4096
-
 
 def kmeans_fit(df: DataFrame, k: int, features_col: str = "features",
                prediction_col: str = "prediction", seed: int = 42, max_iter: int = 20,
@@ -49,28 +46,16 @@ def cluster_centers(model: KMeansModel, spark) -> DataFrame:
                                  "cluster int, center array<double>")
 
 
-def _distances(x: Column, centers: Sequence[Sequence[float]], d: int) -> list[Column]:
-    """Squared distance of array column ``x`` to each centre."""
-    if d * len(centers) <= UNROLL_LIMIT:
-        out = []
-        for c in centers:
-            terms = [F.pow(x.getItem(i) - F.lit(float(c[i])), 2) for i in range(d)]
-            s = terms[0]
-            for t in terms[1:]:
-                s = s + t
-            out.append(s)
-        return out
-    return [squared_distance_arrays(x, F.array(*[F.lit(float(v)) for v in c])) for c in centers]
-
-
 def nearest_center(df: DataFrame, centers: Sequence[Sequence[float]], features_col: str = "features",
                    keep: Sequence[str] = (), is_vector: bool = True) -> DataFrame:
-    """Index of the nearest centre (first wins ties) and its squared distance."""
+    """Index of the nearest centre (first wins ties) and its squared distance.
+
+    The centres are one literal; the plan has the same few expressions for any k and d."""
     x = vector_to_array(q(features_col)) if is_vector else q(features_col).cast("array<double>")
-    d = len(centers[0])
-    idx, cost = argmin_first(_distances(F.col("_x"), centers, d))
-    return (df.select(*[q(c) for c in keep], x.alias("_x"))
-              .select(*[q(c) for c in keep], idx.alias("nearest"), cost.alias("cost")))
+    best = nearest(x, double_matrix(centers))
+    return (df.select(*[q(c) for c in keep], best.alias("_best"))
+              .select(*[q(c) for c in keep], F.col("_best.nearest").alias("nearest"),
+                      F.col("_best.cost").alias("cost")))
 
 
 def inertia(df: DataFrame, centers: Sequence[Sequence[float]], features_col: str = "features",
@@ -116,7 +101,12 @@ def reference_uniform(df: DataFrame, ranges: Sequence[tuple[float, float]], seed
 def log_inertia_of_fit(df: DataFrame, k: int, seed: int, features_col: str = "features") -> float:
     """Log of the inertia of a k-means fitted on ``df`` (against its final centres)."""
     model = kmeans_fit(df, k, features_col, seed=seed)
-    return math.log(inertia_value(df, centers_of(model), features_col))
+    return _log(inertia_value(df, centers_of(model), features_col))
+
+
+def _log(inertia: float) -> float:
+    """Log inertia; every point on its centre (inertia 0) is minus infinity."""
+    return math.log(inertia) if inertia > 0 else -math.inf
 
 
 def gap_deviation(std_dev: float, num_random: int) -> float:
@@ -152,30 +142,48 @@ def find_num_clusters(df: DataFrame, features_col: str = "features", min_k: int
     """J2's search: fit k = min_k, min_k+1, ...; stop at the first k whose gap fails to beat
     the previous one (reference rule).  Returns (k, model, rows of (k, gap, s, log_w)).
 
-    B reference draws are defined once (seed per draw) and reused for every k; the B fits
-    of one k run concurrently in a small thread pool (each fit is itself distributed).
+    B reference draws are defined once (seed per draw) and reused for every k; the fits of one k
+    run in a small thread pool (each fit is itself distributed).  Spark's k-means keeps a copy of
+    its input while it runs, so at most as many draws run at once as fit half of the executors'
+    storage memory.  An inertia of 0 (k centres on k distinct points) ends the search with that k.
     """
     n = df.count()
     max_k = min(max_k or n, n)
     ranges = feature_ranges(df, features_col)
     draws = [reference_uniform(df, ranges, seed + b + 1, features_col) for b in range(num_random)]
+    at_once = max(1, min(parallelism, int(_storage_bytes(df.sparkSession) / 2
+                                          / max(1, n * (8 * len(ranges) + 48)))))
     history = []
 
     def gap_at(k):
         model = kmeans_fit(df, k, features_col, seed=seed)
-        lw = math.log(inertia_value(df, centers_of(model), features_col))
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        lw = _log(inertia_value(df, centers_of(model), features_col))
+        if lw == -math.inf:
+            history.append((k, math.inf, 0.0, lw))
+            return model, math.inf, 0.0
+        with ThreadPoolExecutor(max_workers=at_once) as pool:
             refs = list(pool.map(lambda dr: log_inertia_of_fit(dr, k, seed, features_col), draws))
         mean = sum(refs) / len(refs)
-        sd = math.sqrt(sum((r - mean) ** 2 for r in refs) / len(refs))
+        sd = math.sqrt(sum((r - mean) ** 2 for r in refs) / len(refs)) if mean > -math.inf else 0.0
         g, s = mean - lw, gap_deviation(sd, num_random)
         history.append((k, g, s, lw))
         return model, g, s
 
     prev_model, prev_gap, _ = gap_at(min_k)
     for k in range(min_k + 1, max_k + 1):
+        if prev_gap == math.inf:
+            return k - 1, prev_model, history
         model, g, s = gap_at(k)
         if (prev_gap > g - s) if strict else (prev_gap >= g - s):
             return k - 1, prev_model, history
         prev_model, prev_gap = model, g
-    return max_k, prev_model, history
+    return max(min_k, max_k), prev_model, history
+
+
+def _storage_bytes(spark) -> int:
+    """Memory of all executors that Spark may use for cached rows."""
+    status = spark.sparkContext._jsc.sc().getExecutorMemoryStatus()
+    it, total = status.valuesIterator(), 0
+    while it.hasNext():
+        total += it.next()._1()
+    return total

@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import accumulate
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flawscope.functions.columns import q
+from flawscope.functions.columns import free_name, q
+from flawscope.session import materialize
 
 _POS_BITS = 33  # monotonically_increasing_id: partition id in the upper 31 bits
 
@@ -31,28 +31,29 @@ def join_members(df: DataFrame, members: DataFrame, key: str, semi: bool = False
     return df.join(ids, on=key, how="left_semi" if semi else "inner")
 
 
-def add_row_index(df: DataFrame, order_by: Sequence[str | Column] | None, name: str = "index",
-                  persist: bool = True) -> DataFrame:
+def _indexed(df: DataFrame, order_by: Sequence[str | Column] | None, name: str) -> tuple[DataFrame, int]:
+    """The table with its row index, and how many rows it has."""
+    base = df.orderBy(*order_by) if order_by else df
+    mid = free_name([*df.columns, name], "_mid")
+    # the sorted table is written once: ids and counts must see the same partitions
+    tagged = materialize(base.withColumn(mid, F.monotonically_increasing_id()), "table")
+    part = F.shiftright(q(mid), _POS_BITS)
+    counts = dict(tagged.groupBy(part.alias("p")).count().collect())
+    if not counts:
+        return tagged.drop(mid).withColumn(name, F.lit(None).cast("long")), 0
+    sizes = [counts.get(p, 0) for p in range(max(counts) + 1)]
+    offsets = F.array(*[F.lit(o).cast("long") for o in [0, *accumulate(sizes)][:-1]])
+    idx = F.element_at(offsets, (part + 1).cast("int")) + q(mid) - F.shiftleft(part, _POS_BITS)
+    return tagged.select(*[q(c) for c in df.columns], idx.alias(name)), sum(sizes)
+
+
+def add_row_index(df: DataFrame, order_by: Sequence[str | Column] | None, name: str = "index") -> DataFrame:
     """Append a consecutive 0-based LONG index following ``order_by``.
 
     ``order_by`` must be a total order (unique key) for the index to be reproducible; ``None``
     numbers rows in the table's current partition order (only stable for files read in order).
     """
-    base = df.orderBy(*order_by) if order_by else df
-    tagged = base.withColumn("_mid", F.monotonically_increasing_id())
-    if persist:
-        tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
-    part = F.shiftright(F.col("_mid"), _POS_BITS)
-    counts = dict(tagged.groupBy(part.alias("p")).count().collect())
-    if not counts:
-        return tagged.drop("_mid").withColumn(name, F.lit(None).cast("long"))
-    top = max(counts)
-    sizes = [counts.get(p, 0) for p in range(top + 1)]
-    offsets = [0] + list(accumulate(sizes))[:-1]
-    offset_arr = F.array(*[F.lit(o).cast("long") for o in offsets])
-    pos = F.col("_mid") - F.shiftleft(part, _POS_BITS)
-    idx = F.element_at(offset_arr, (part + 1).cast("int")) + pos
-    return tagged.select(*[q(c) for c in df.columns], idx.alias(name))
+    return _indexed(df, order_by, name)[0]
 
 
 def positional_merge(one: DataFrame, two: DataFrame,
@@ -60,9 +61,9 @@ def positional_merge(one: DataFrame, two: DataFrame,
                      two_order: Sequence[str | Column] | None) -> DataFrame:
     """Pair the i-th row of ``two`` with the i-th row of ``one``; output = two's columns,
     then one's.  Equal row counts are required (checked)."""
-    n1, n2 = one.count(), two.count()
+    pos = free_name([*one.columns, *two.columns], "_pos")
+    a, n2 = _indexed(two, two_order, pos)
+    b, n1 = _indexed(one, one_order, pos)
     if n1 != n2:
         raise ValueError(f"the two tables must have the same number of rows ({n1} != {n2})")
-    a = add_row_index(two, two_order, "_pos")
-    b = add_row_index(one, one_order, "_pos")
-    return a.join(b, "_pos").drop("_pos")
+    return a.join(b, pos).drop(pos)

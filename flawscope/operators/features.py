@@ -3,7 +3,7 @@
 Fits return ``(DataFrame, model)`` so every fitted step can be stored and replayed on new
 rows.  Projections stay in the JVM: PCA output is ``PCAModel.transform`` + ``VectorSlicer``
 (the first n coordinates of a k-component projection are the n-component projection), and a
-fixed loading matrix is unrolled arithmetic when small, an Arrow-batched matmul otherwise.
+fixed loading matrix is one literal in an array expression.
 """
 
 from __future__ import annotations
@@ -11,19 +11,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import (PCA, Bucketizer, IndexToString, PCAModel, QuantileDiscretizer,
                                 StandardScaler, StandardScalerModel, StringIndexer,
                                 StringIndexerModel, VectorAssembler, VectorSlicer)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flawscope.functions.columns import linear_combination, q
+from flawscope.functions.columns import dot, double_matrix, free_name, q
 
-UNROLL_LIMIT = 4096  # d * n terms above which a fixed projection uses the Arrow path
+MAX_CATEGORIES = 100_000  # labels per column that an indexer may hold on the driver
 
 
 def _replace_at_end(df: DataFrame, column: str, new_col: str) -> DataFrame:
@@ -35,7 +34,7 @@ def _replace_at_end(df: DataFrame, column: str, new_col: str) -> DataFrame:
 def binning(df: DataFrame, column: str, splits: Sequence[float],
             handle_invalid: str = "error") -> tuple[DataFrame, Bucketizer]:
     """bucket by explicit splits, [lo, hi) with the last bucket closed; in place."""
-    tmp = f"T{column}"
+    tmp = free_name(df.columns, f"_binned_{column}")
     b = Bucketizer(splits=[float(s) for s in splits], inputCol=column, outputCol=tmp,
                    handleInvalid=handle_invalid)
     return _replace_at_end(b.transform(df), column, tmp), b
@@ -70,7 +69,7 @@ def quantile_bins(df: DataFrame, column: str, num_buckets: int, exact: bool = Tr
     ``exact=True`` finds the split points by distributed exact selection (bounded memory);
     ``exact=False`` is Spark's ``QuantileDiscretizer`` with ``relative_error``.
     """
-    tmp = f"T{column}"
+    tmp = free_name(df.columns, f"_binned_{column}")
     if exact:
         b = Bucketizer(splits=quantile_splits(df, column, num_buckets, True), inputCol=column,
                        outputCol=tmp)
@@ -91,7 +90,7 @@ def assemble(df: DataFrame, output_col: str = "features", input_cols: Sequence[s
 def standardize(df: DataFrame, input_col: str = "features", with_mean: bool = True,
                 with_std: bool = True) -> tuple[DataFrame, StandardScalerModel]:
     """zero mean / unit sample standard deviation on a vector column, in place."""
-    tmp = f"T{input_col}"
+    tmp = free_name(df.columns, f"_scaled_{input_col}")
     model = StandardScaler(withMean=with_mean, withStd=with_std, inputCol=input_col,
                            outputCol=tmp).fit(df)
     return _replace_at_end(model.transform(df), input_col, tmp), model
@@ -186,36 +185,11 @@ def project_fixed(df: DataFrame, array_col: str, loadings: Sequence[Sequence[flo
                   keep: Sequence[str] = (), prefix: str = "c") -> DataFrame:
     """components ``c_j = sum_i x_i * W[i][j]`` for a given d x n loading matrix.
 
-    Small matrices become plain arithmetic over array elements (whole-stage codegen);
-    large ones go through one Arrow-batched matrix product per batch.
-    """
+    The matrix is one literal and the product one array expression, for any d and n."""
     w = np.asarray(loadings, dtype="float64")
-    d, n = w.shape
-    x = q(array_col)
-    if d * n <= UNROLL_LIMIT:
-        comps = [linear_combination([x.getItem(i) for i in range(d)], w[:, j]).alias(f"{prefix}{j}")
-                 for j in range(n)]
-        return df.select(*[q(c) for c in keep], *comps)
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("array<double>")
-    def _matmul(col: pd.Series) -> pd.Series:
-        m = np.vstack(col.to_numpy()).astype("float64") @ w
-        return pd.Series(list(m))
-
-    arr = _matmul(x.cast("array<double>"))
-    return df.select(*[q(c) for c in keep], arr.alias("_c")).select(
-        *[q(c) for c in keep], *[F.col("_c").getItem(j).alias(f"{prefix}{j}") for j in range(n)])
-
-
-def project_vector(df: DataFrame, vector_col: str, loadings: DenseMatrix, keep: Sequence[str] = ()) -> DataFrame:
-    """F6 on a vector column: ``pc^T . x`` as a vector, with the named columns kept."""
-    w = loadings.toArray()
-    proj = project_fixed(df.withColumn("_x", vector_to_array(q(vector_col))), "_x", w.tolist(),
-                         keep=keep, prefix="_c")
-    n = w.shape[1]
-    vec = array_to_vector(F.array(*[F.col(f"_c{j}") for j in range(n)]))
-    return proj.select(vec.alias(vector_col), *[q(c) for c in keep])
+    comps = F.transform(double_matrix(w.T.tolist()), lambda c: dot(q(array_col), c))
+    named = [F.col("_c").getItem(j).alias(f"{prefix}{j}") for j in range(w.shape[1])]
+    return df.select(*[q(c) for c in keep], comps.alias("_c")).select(*[q(c) for c in keep], *named)
 
 
 def feature_covariance(df: DataFrame, columns: Sequence[str] | None = None,
@@ -237,10 +211,23 @@ def feature_covariance(df: DataFrame, columns: Sequence[str] | None = None,
     return df.sparkSession.createDataFrame(rows, "i int, j int, cov double")
 
 
+def check_categories(df: DataFrame, columns: Sequence[str], limit: int) -> None:
+    """Refuse columns with more distinct values than ``limit`` (one approximate aggregate): a
+    fitted indexer holds all labels of its columns on the driver."""
+    from flawscope.operators.stats import approx_distinct_counts
+
+    row = approx_distinct_counts(df, columns).first()
+    if wide := [c for c in columns if row[c] > limit * 1.1]:
+        raise ValueError(f"too many distinct values to index (over {limit}): {wide}")
+
+
 def index_features(df: DataFrame, columns: Sequence[str], prefix: str = "indexed-",
                    order: str = "frequencyDesc", handle_invalid: str = "error",
-                   ) -> tuple[DataFrame, StringIndexerModel]:
-    """index each column by descending frequency (ties alphabetical); numbers become text."""
+                   max_categories: int = MAX_CATEGORIES) -> tuple[DataFrame, StringIndexerModel]:
+    """index each column by descending frequency (ties alphabetical); numbers become text.
+
+    Columns with more than ``max_categories`` distinct values are refused."""
+    check_categories(df, columns, max_categories)
     model = StringIndexer(inputCols=list(columns), outputCols=[prefix + c for c in columns],
                           stringOrderType=order, handleInvalid=handle_invalid).fit(df)
     return model.transform(df), model

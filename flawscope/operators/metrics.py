@@ -1,7 +1,7 @@
 """Classification metrics (I1-I9) as DataFrame aggregates.
 
-All confusion-matrix metrics come from ONE aggregate over the predictions (the reference
-recomputed the predictions for every metric).  Results are one-row DataFrames - or one row
+Counting metrics come from one table of (group, label, prediction) counts, areas under ROC from
+one of (group, score) counts (the reference recomputed the predictions for every metric).  Results are one-row DataFrames - or one row
 per group when ``by`` is given - and stay distributed until someone reads them.
 """
 
@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flawscope.functions.columns import q
 
-MAX_GROUPS = 10_000  # per-group metrics bring one row per group to the driver
-
 
 def _ratio_or_num(num: Column, den: Column) -> Column:
     """num / den, or num itself when den is 0 (the reference's rule)."""
@@ -80,34 +79,37 @@ def accuracy(df: DataFrame, prediction: str = "prediction", label: str = "label"
     return df.groupBy(*[q(b) for b in by]).agg(e) if by else df.agg(e)
 
 
-def class_table(df: DataFrame, prediction: str = "prediction", label: str = "label",
-                by: Sequence[str] = ()) -> DataFrame:
-    """Per class (of the labels present): n_label, n_predicted, true positives, group size."""
+def outcome_table(df: DataFrame, prediction: str = "prediction", label: str = "label",
+                  by: Sequence[str] = ()) -> DataFrame:
+    """Rows per (group, label, prediction): every counting metric follows from this small table."""
+    return (df.groupBy(*[q(b) for b in by], q(label).alias("_y"), q(prediction).alias("_p"))
+            .agg(F.count(F.lit(1)).alias("_n")))
+
+
+def _weighted(outcomes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Class-weighted scores of an outcome table: one row per (group, class), then per group."""
     keys = [q(b) for b in by]
-    by_label = df.groupBy(*keys, q(label).alias("cls")).agg(
-        F.count(F.lit(1)).alias("n_label"),
-        F.count_if(q(prediction) == q(label)).alias("tp"))
-    by_pred = df.groupBy(*keys, q(prediction).alias("cls")).agg(F.count(F.lit(1)).alias("n_pred"))
-    joined = by_label.join(by_pred, [*by, "cls"], "left").fillna(0, subset=["n_pred"])
-    return joined
+    n, zero = F.col("_n"), F.lit(0).cast("long")
+    sides = F.array(F.struct(F.col("_y").alias("cls"), n.alias("nl"), zero.alias("np"),
+                             F.when(F.col("_y") == F.col("_p"), n).otherwise(zero).alias("hit")),
+                    F.struct(F.col("_p").alias("cls"), zero.alias("nl"), n.alias("np"), zero.alias("hit")))
+    t = (outcomes.select(*keys, F.explode(sides).alias("s")).groupBy(*keys, F.col("s.cls").alias("cls"))
+         .agg(*[F.sum(f"s.{c}").cast("double").alias(c) for c in ("nl", "np", "hit")])
+         .where("nl > 0"))
+    prec = F.when(F.col("np") == 0, 0.0).otherwise(F.col("hit") / F.col("np"))
+    rec = F.col("hit") / F.col("nl")
+    f1 = F.when(prec + rec == 0, 0.0).otherwise(2 * prec * rec / (prec + rec))
+    aggs = [(F.sum(x * F.col("nl")) / F.sum("nl")).alias(name)
+            for x, name in ((f1, "f1"), (prec, "weighted_precision"), (rec, "weighted_recall"))]
+    hit = F.sum("hit") / F.sum("nl")
+    aggs += [hit.alias("accuracy"), (1 - hit).alias("hamming_loss")]
+    return t.groupBy(*keys).agg(*aggs) if by else t.agg(*aggs)
 
 
 def multiclass_scores(df: DataFrame, prediction: str = "prediction", label: str = "label",
                       by: Sequence[str] = ()) -> DataFrame:
     """Spark's class-weighted F1, weighted precision / recall, accuracy, Hamming loss."""
-    t = class_table(df, prediction, label, by)
-    tp, nl, npred = (F.col(c).cast("double") for c in ("tp", "n_label", "n_pred"))
-    prec = F.when(npred == 0, 0.0).otherwise(tp / npred)
-    rec = F.when(nl == 0, 0.0).otherwise(tp / nl)
-    f1 = F.when(prec + rec == 0, 0.0).otherwise(2 * prec * rec / (prec + rec))
-    t = t.select(*[q(b) for b in by], nl.alias("nl"), tp.alias("tpd"), (prec * nl).alias("wp"),
-                 (rec * nl).alias("wr"), (f1 * nl).alias("wf"))
-    aggs = [(F.sum("wf") / F.sum("nl")).alias("f1"),
-            (F.sum("wp") / F.sum("nl")).alias("weighted_precision"),
-            (F.sum("wr") / F.sum("nl")).alias("weighted_recall"),
-            (F.sum("tpd") / F.sum("nl")).alias("accuracy"),
-            (1 - F.sum("tpd") / F.sum("nl")).alias("hamming_loss")]
-    return t.groupBy(*[q(b) for b in by]).agg(*aggs) if by else t.agg(*aggs)
+    return _weighted(outcome_table(df, prediction, label, by), by)
 
 
 def f1_weighted(df: DataFrame, prediction: str = "prediction", label: str = "label") -> DataFrame:
@@ -122,81 +124,73 @@ def evaluator_metric(df: DataFrame, metric: str, prediction: str = "prediction",
                                              metricName=metric).evaluate(df)
 
 
-def auroc_value(df: DataFrame, score: str = "rawPrediction", label: str = "label",
-                num_bins: int = 1000) -> float | None:
-    """Area under ROC with Spark's distributed evaluator (sort by score, per-partition
-    cumulative counts).  One class only -> None instead of raising."""
-    labels = [r[0] for r in df.select(q(label)).distinct().limit(2).collect()]
-    if len(labels) < 2:
-        return None
-    ev = BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label,
-                                       metricName="areaUnderROC", numBins=num_bins)
-    return float(ev.evaluate(df))
+def _score_column(df: DataFrame, score: str) -> Column:
+    """The score itself, or the last entry of a raw-prediction vector."""
+    if dict(df.dtypes)[score] == "vector":
+        return F.element_at(vector_to_array(q(score)), -1)
+    return q(score).cast("double")
 
 
 def auroc(df: DataFrame, score: str = "rawPrediction", label: str = "label",
-          num_bins: int = 1000, by: str | None = None) -> DataFrame:
-    """I7 as a DataFrame: one row, or one row per value of a low-cardinality ``by`` column."""
-    spark = df.sparkSession
-    if by is None:
-        return spark.createDataFrame([(auroc_value(df, score, label, num_bins),)], "auroc double")
-    groups = [r[0] for r in df.select(q(by)).distinct().limit(MAX_GROUPS + 1).collect()]
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"{by} has too many groups for per-group AUROC")
-    rows = [(g, auroc_value(df.where(q(by).eqNullSafe(F.lit(g))), score, label, num_bins))
-            for g in groups]
-    dtype = dict(df.dtypes)[by]
-    return spark.createDataFrame(rows, f"`{by}` {dtype}, auroc double")
-
-
-def _binary_weighted(tn: Column, fp: Column, fn: Column, tp: Column) -> tuple[Column, Column]:
-    """Accuracy and Spark's class-weighted F1 for 0/1 labels, from the four counts alone."""
-    n = tn + fp + fn + tp
-
-    def f_measure(hit, n_label, n_pred):
-        p = F.when(n_pred == 0, 0.0).otherwise(hit / n_pred)
-        r = F.when(n_label == 0, 0.0).otherwise(hit / n_label)
-        return F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
-
-    f1 = ((tn + fp) * f_measure(tn, tn + fp, tn + fn) + (fn + tp) * f_measure(tp, fn + tp, fp + tp)) / n
-    return (tn + tp) / n, f1
+          by: str | None = None) -> DataFrame:
+    """Exact area under ROC (ties count half), one row or one row per value of ``by``.
+
+    One plan for any number of groups and distinct scores: counts per (group, score) are
+    range-sorted by (group, descending score), each range sums up its own part of a group, and
+    what lies before it comes from a table with one row per range and group.  A group of one
+    class only has a null area; rows with a null label or score are left out; the null group is
+    a group of its own.
+    """
+    group = q(by) if by else F.lit(0)
+    counts = (df.select(group.alias("_g"), _score_column(df, score).alias("_s"), q(label).alias("_y"))
+              .where("_s IS NOT NULL AND _y IS NOT NULL").groupBy("_g", "_s")
+              .agg(F.count_if(F.col("_y") > 0.5).cast("double").alias("pos"),
+                   F.count_if(F.col("_y") <= 0.5).cast("double").alias("neg")))
+    ranged = (counts.repartitionByRange(F.col("_g").asc_nulls_first(), F.col("_s").desc())
+              .withColumn("_r", F.spark_partition_id()))
+    inside = Window.partitionBy("_g", "_r").orderBy(F.col("_s").desc())
+    above = F.sum("pos").over(inside) - F.col("pos")
+    parts = (ranged.withColumn("_above", above).groupBy("_g", "_r")
+             .agg(F.sum(F.col("neg") * (F.col("_above") + F.col("pos") / 2)).alias("area"),
+                  F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    before = F.sum("pos").over(Window.partitionBy("_g").orderBy("_r")) - F.col("pos")
+    total = F.sum("pos") * F.sum("neg")
+    area = F.sum(F.col("area") + F.col("before") * F.col("neg"))
+    out = (parts.withColumn("before", before).groupBy("_g")
+           .agg(F.when(total > 0, area / F.nullif(total, F.lit(0.0))).alias("auroc")))
+    if by:
+        return out.select(F.col("_g").alias(by), "auroc")
+    return out.agg(F.max("auroc").alias("auroc"))  # one row, also for an empty table
+
+
+def auroc_value(df: DataFrame, score: str = "rawPrediction", label: str = "label") -> float | None:
+    """I7 as a number; None for one class only instead of raising."""
+    return auroc(df, score, label).first()[0]
 
 
 def score_table(df: DataFrame, prediction: str = "prediction", label: str = "label",
-                score: str = "rawPrediction", by: str | None = None, num_bins: int = 1000,
-                ) -> DataFrame:
+                score: str = "rawPrediction", by: str | None = None) -> DataFrame:
     """Accuracy, precision, recall, f1 (weighted), auroc, mcc - one row per group.
 
-    For 0/1 labels and predictions every counting metric follows from tn/fp/fn/tp, so they
-    all come from ONE aggregate; other label sets take the per-class tables.  AUROC per group
-    uses Spark's distributed evaluator, only where both classes are present.
-    Persist ``df`` first when it is expensive (the caller owns that decision).
+    One distributed plan for any number of groups: the counting metrics come from one table of
+    (group, label, prediction) counts, the areas from one of (group, score); both are joined on
+    the group, null included.  Persist ``df`` first when it is expensive.
     """
-    spark = df.sparkSession
-    if by is None:  # one group: a literal key, so every part joins on it
-        df, by, keys = df.withColumn("_all", F.lit(0)), "_all", []
-    else:
-        keys = [by]
-    p, y = q(prediction), q(label)
-    other = ~(y.isin(0.0, 1.0) & p.isin(0.0, 1.0))
-    counts = confusion_counts(df, prediction, label, [by]).join(
-        df.groupBy(q(by)).agg(F.count_if(other).alias("n_other")), by)
-    rows = counts.limit(MAX_GROUPS + 1).collect()  # one row per group (few, checked)
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"{by} has more than {MAX_GROUPS} groups")
-    # reuse the collected counts (bounded) instead of aggregating the predictions again
-    counts = spark.createDataFrame(rows, counts.schema)
-    cm = scores_from_counts(counts, keep=[by, "n_other"])
-    if all(r["n_other"] == 0 for r in rows):
-        tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
-        acc, f1 = _binary_weighted(tn, fp, fn, tp)
-        cm = cm.select("*", acc.alias("accuracy"), f1.alias("f1"))
-    else:
-        mc = multiclass_scores(df, prediction, label, [by]).select(by, "accuracy", "f1")
-        cm = cm.join(mc, by, "left")
-    both = [r[by] for r in rows if r["n_other"] > 0 or (r["tn"] + r["fp"] > 0 and r["fn"] + r["tp"] > 0)]
-    au_rows = [(g, auroc_value(df.where(q(by).eqNullSafe(F.lit(g))), score, label, num_bins)) for g in both]
-    dtype = dict(df.dtypes)[by]
-    au = spark.createDataFrame(au_rows, f"`{by}` {dtype}, auroc double")
-    out = cm.join(au, by, "left")
-    return out.select(*keys, "accuracy", "precision", "recall", "f1", "auroc", "mcc")
+    keys = [by] if by else []
+    t = outcome_table(df, prediction, label, keys)
+    group = [q(b).alias("_g") for b in keys] or [F.lit(0).alias("_g")]
+    t = t.select(*group, "_y", "_p", "_n")
+    is_ = lambda c, v: F.coalesce(F.col(c) == F.lit(v), F.lit(False))
+    count = lambda y, p: F.sum(F.when(is_("_y", y) & is_("_p", p), F.col("_n")).otherwise(0))
+    counts = t.groupBy("_g").agg(count(0.0, 0.0).alias("tn"), count(0.0, 1.0).alias("fp"),
+                                 count(1.0, 0.0).alias("fn"), count(1.0, 1.0).alias("tp"))
+    cm = scores_from_counts(counts, keep=["_g"])
+    mc = _weighted(t, ["_g"]).select(F.col("_g").alias("_gm"), "accuracy", "f1")
+    au = auroc(df.withColumn("_g", q(by) if by else F.lit(0)), score, label, "_g") \
+        .select(F.col("_g").alias("_ga"), "auroc")
+    if not by:  # one row even when there is nothing to score
+        cm = df.sparkSession.range(1).select(F.lit(0).alias("_g")).join(cm, "_g", "left")
+    out = (cm.join(mc, F.col("_g").eqNullSafe(F.col("_gm")), "left")
+           .join(au, F.col("_g").eqNullSafe(F.col("_ga")), "left"))
+    return out.select(*[F.col("_g").alias(k) for k in keys],
+                      "accuracy", "precision", "recall", "f1", "auroc", "mcc")

@@ -83,25 +83,21 @@ def column_to_array(df: DataFrame, column: str, by: Sequence[str], name: str = "
 # Exact quantiles with bounded memory
 # --------------------------------------------------------------------------------------------
 
-SKETCH_BUDGET = 2_000_000  # sum of percentile_approx accuracies in one aggregate
+GRID = 200           # quantiles of one sketch; a round narrows a target's range to about 2 / GRID of it
+TARGETS_AT_ONCE = 100  # below Spark's limit of groups for sketches in a hash aggregate
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
 class _Target:
+    """One wanted rank of one column, and the range that still holds it."""
+
     __slots__ = ("col", "pi", "rank", "n", "lo", "lo_inc", "hi", "hi_inc", "value", "done")
 
     def __init__(self, col, pi, rank, n):
         self.col, self.pi, self.rank, self.n = col, pi, rank, n
         self.lo = self.hi = None
         self.lo_inc = self.hi_inc = True
-        self.value, self.done = None, False
-
-    def in_range(self, x):
-        cond = x.isNotNull()
-        if self.lo is not None:
-            cond = cond & ((x >= F.lit(self.lo)) if self.lo_inc else (x > F.lit(self.lo)))
-        if self.hi is not None:
-            cond = cond & ((x <= F.lit(self.hi)) if self.hi_inc else (x < F.lit(self.hi)))
-        return cond
+        self.value, self.done = None, n == 0
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -109,103 +105,104 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     """Exact quantiles: the value of 1-based rank ``ceil(p * n)`` among the non-null values.
 
     That is the rule of ``approxQuantile(..., relativeError=0)``, but without holding every
-    value in one buffer.  Each round is two aggregate passes over the data: an approximate
-    bracket (``percentile_approx`` restricted to the current candidate range) and exact counts
-    below / at / inside / at / above the bracket ends.  The candidate range shrinks by about
-    ``accuracy / 6`` per round; once the candidates of some targets fit the shared budget of
-    ``max_candidates`` values they are fetched together in one job (a proven bound) and the
-    answers are read off.  Heavy duplicates end the search at once (a bracket end is the answer).
+    value in one buffer, and in the column's own type (a BIGINT beyond 2^53 stays exact).  The
+    columns are read as (column, value) rows, so a plan's size does not depend on how many there
+    are.  Each round is two aggregates: a sketch of the values inside every target's range, which
+    gives a narrower bracket, and exact counts below / at / inside / at / above its ends.  Once
+    the candidates of some targets fit the shared budget of ``max_candidates`` values they are
+    fetched together in one job and the answers are read off.  Heavy duplicates end the search
+    at once (a bracket end is the answer).
     """
-    probs = list(probs)
+    probs, kinds = list(probs), dict(df.dtypes)
+    of_type: dict[str, list[str]] = {}
+    for c in columns:
+        kind = "bigint" if kinds[c] in INTEGRAL else "double" if kinds[c] == "float" else kinds[c]
+        of_type.setdefault(kind, []).append(c)
     # several passes follow: keep only the target columns, once, instead of re-running the
     # upstream plan (often a shuffle) for every pass
-    df = df.select(*[q(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.select(*[q(c) for c in dict.fromkeys(columns)]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _select_exact(df, columns, probs, max_candidates, accuracy)
+        out = {}
+        for kind, cols in of_type.items():
+            out.update(_select_exact(df, cols, kind, probs, max_candidates, accuracy))
+        return {c: out[c] for c in columns}
     finally:
         df.unpersist()
 
 
-def _select_exact(df, columns, probs, max_candidates, accuracy):
-    vals = {c: F.col(f"`{c}`").cast("double") for c in columns}
-    n_row = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+def _bounded(df: DataFrame, columns: Sequence[str], kind: str, targets: Sequence[_Target],
+             *more: tuple[str, list]) -> DataFrame:
+    """(t, v) rows of the values inside each target's range, with further per-target values."""
+    used = sorted({t.col for t in targets}, key=columns.index)
+    at = {c: i for i, c in enumerate(used)}
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), q(c).cast(kind).alias("v"))
+                                          for c, i in at.items()])).alias("x")).select("x.c", "x.v") \
+        .where(F.col("v").isNotNull())
+    schema = f"t int, c int, lo {kind}, lo_inc boolean, hi {kind}, hi_inc boolean" + "".join(
+        f", {name} {kind}" for name, _ in more)
+    rows = [(j, at[t.col], t.lo, t.lo_inc, t.hi, t.hi_inc, *(values[j] for _, values in more))
+            for j, t in enumerate(targets)]
+    bounds = F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # a row per target
+    inside = """(lo IS NULL OR v > lo OR (lo_inc AND v = lo)) AND (hi IS NULL OR v < hi OR (hi_inc AND v = hi))"""
+    return cells.join(bounds, "c").where(inside)
+
+
+def _fitting(targets: list[_Target], budget: int) -> list[_Target]:
+    """The targets with the fewest candidates, as many as fit the budget together."""
+    out, used = [], 0
+    for t in sorted(targets, key=lambda t: t.n):
+        if used + t.n > budget:
+            break
+        out.append(t)
+        used += t.n
+    return out
+
+
+def _select_exact(df, columns, kind, probs, max_candidates, accuracy):
+    sizes = {r["t"]: r["n"] for r in _bounded(df, columns, kind, [_Target(c, 0, 0, 1) for c in columns])
+             .groupBy("t").agg(F.count("*").alias("n")).collect()}
     targets = []
     for i, c in enumerate(columns):
-        n = int(n_row[f"n{i}"])
-        for pi, p in enumerate(probs):
-            t = _Target(c, pi, 0, n)
-            if n == 0:
-                t.done = True
-            elif p <= 0:
-                t.rank = 1
-            elif p >= 1:
-                t.rank = n
-            else:
-                t.rank = min(n, max(1, int(math.ceil(p * n))))
-            targets.append(t)
+        n = sizes.get(i, 0)
+        targets += [_Target(c, pi, min(n, max(1, math.ceil(p * n))), n) for pi, p in enumerate(probs)]
 
-    while True:
-        active = [t for t in targets if not t.done]
-        if not active:
-            break
-        # Fetch the candidates of every target that fits a shared budget, in ONE job: each row
-        # emits (target, value) for the targets whose range holds it.  Total <= max_candidates.
-        small, used = [], 0
-        for t in sorted(active, key=lambda t: t.n):
-            if used + t.n > max_candidates:
-                break
-            small.append(t)
-            used += t.n
-        if small:
-            pairs = F.array(*[F.when(t.in_range(vals[t.col]), F.struct(F.lit(j).alias("t"),
-                                                                        vals[t.col].alias("v")))
-                              for j, t in enumerate(small)])
+    while active := [t for t in targets if not t.done]:
+        if small := _fitting(active, max_candidates):
             got: dict[int, list] = {j: [] for j in range(len(small))}
-            for r in (df.select(F.explode(F.filter(pairs, lambda e: e.isNotNull())).alias("p"))
-                        .select("p.t", "p.v").collect()):
-                got[r[0]].append(r[1])
+            for r in _bounded(df, columns, kind, small).select("t", "v").collect():
+                got[r["t"]].append(r["v"])
             for j, t in enumerate(small):
                 t.value, t.done = sorted(got[j])[t.rank - 1], True
-        active = [t for t in active if not t.done]
-        if not active:
-            break
-        # Pass 1: approximate bracket [a, b] around the wanted rank, inside the current range.
-        # Sketch size is bounded per task: many targets -> smaller sketches, more rounds.
-        acc = min(accuracy, max(500, SKETCH_BUDGET // len(active)))
-        eps = 3.0 / acc
-        brackets = []
-        for j, t in enumerate(active):
-            x = vals[t.col]
-            p = (t.rank - 0.5) / t.n
-            pr = F.array(F.lit(max(0.0, p - eps)), F.lit(min(1.0, p + eps)))
-            brackets.append(F.percentile_approx(F.when(t.in_range(x), x), pr, acc).alias(f"b{j}"))
-        brow = df.agg(*brackets).first()
-        # Pass 2: exact counts relative to the bracket ends.
-        counts = []
-        for j, t in enumerate(active):
-            a, b = brow[f"b{j}"]
-            x, inr = vals[t.col], t.in_range(vals[t.col])
-            counts += [F.count_if(inr & (x < F.lit(a))).alias(f"lt{j}"),
-                       F.count_if(inr & (x == F.lit(a))).alias(f"ea{j}"),
-                       F.count_if(inr & (x > F.lit(a)) & (x < F.lit(b))).alias(f"mid{j}"),
-                       F.count_if(inr & (x == F.lit(b)) & F.lit(a != b)).alias(f"eb{j}")]
-        crow = df.agg(*counts).first()
-        for j, t in enumerate(active):
-            a, b = brow[f"b{j}"]
-            lt, ea, mid, eb = (int(crow[f"{k}{j}"]) for k in ("lt", "ea", "mid", "eb"))
+            continue
+        part = active[:TARGETS_AT_ONCE]
+        grid = [i / GRID for i in range(GRID + 1)]
+        sketch = {r["t"]: r["s"] for r in _bounded(df, columns, kind, part).groupBy("t")
+                  .agg(F.percentile_approx("v", grid, accuracy).alias("s")).collect()}
+        a, b = [], []
+        for j, t in enumerate(part):
+            at = (t.rank - 0.5) / t.n * GRID
+            a.append(sketch[j][max(0, math.floor(at - 0.1))])
+            b.append(sketch[j][min(GRID, math.ceil(at + 0.1))])
+        v = F.col("v")
+        counts = {r["t"]: r for r in _bounded(df, columns, kind, part, ("a", a), ("b", b)).groupBy("t").agg(
+            F.count_if(v < F.col("a")).alias("lt"), F.count_if(v == F.col("a")).alias("ea"),
+            F.count_if((v > F.col("a")) & (v < F.col("b"))).alias("mid"),
+            F.count_if((v == F.col("b")) & (F.col("a") != F.col("b"))).alias("eb")).collect()}
+        for j, t in enumerate(part):
+            lt, ea, mid, eb = (counts[j][k] for k in ("lt", "ea", "mid", "eb"))
             r = t.rank
             if r <= lt:
-                t.hi, t.hi_inc, t.n = a, False, lt
+                t.hi, t.hi_inc, t.n = a[j], False, lt
             elif r <= lt + ea:
-                t.value, t.done = a, True
+                t.value, t.done = a[j], True
             elif r <= lt + ea + mid:
-                t.lo, t.lo_inc, t.hi, t.hi_inc = a, False, b, False
+                t.lo, t.lo_inc, t.hi, t.hi_inc = a[j], False, b[j], False
                 t.rank, t.n = r - lt - ea, mid
             elif r <= lt + ea + mid + eb:
-                t.value, t.done = b, True
+                t.value, t.done = b[j], True
             else:
                 used = lt + ea + mid + eb
-                t.lo, t.lo_inc = b, False
+                t.lo, t.lo_inc = b[j], False
                 t.rank, t.n = r - used, t.n - used
 
     out = {c: [None] * len(probs) for c in columns}

@@ -15,25 +15,30 @@ filters of one checkpointed table - no join back by id.  Every fitted step is ke
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flawscope.functions.columns import q
 from flawscope.operators import classify as C
 from flawscope.operators import clustering as G
 from flawscope.operators import metrics as M
-from flawscope.operators.clean import (drop_constant_columns, drop_null_rows, impute,
-                                       keep_columns, trim_values, values_to_null)
+from flawscope.operators.clean import (drop_constant_columns, drop_null_rows, keep_columns,
+                                       trim_values, values_to_null)
 from flawscope.operators.features import assemble, binning, pca, quantile_bins, standardize
-from flawscope.operators.sampling import drop_duplicates, train_test_split
-from flawscope.session import materialize
+from flawscope.operators.sampling import drop_duplicates, split_by_key, train_test_split
+from flawscope.session import materialize, scratch_dir
+from flawscope.sources.models import (get_or_train, load_classifier, load_kmeans, path_exists,
+                                      save_classifier, save_kmeans)
 from flawscope.sources.tables import TableSpec
 
 # Census-flow bins
@@ -50,23 +55,32 @@ def prepare_cluster_table(df: DataFrame, id_col: str = "city", features_col: str
 
 
 def cluster_flow(df: DataFrame, id_col: str = "city", max_k: int = 10, num_random: int = 30,
-                 seed: int = 42, k: int | None = None, parallelism: int = 8):
-    """J1 -> (gap search | fixed k) -> assign -> inertia, silhouette.
+                 seed: int = 42, k: int | None = None, parallelism: int = 8, store: str | None = None):
+    """J1 -> (gap search | fixed k | stored model) -> assign -> inertia, silhouette.
 
-    Returns (assignments, summary one-row DataFrame, model, gap history rows)."""
+    With ``store`` a k-means model found there is used instead of a search, and a new one is put
+    there.  Returns (assignments, summary one-row DataFrame, model, gap history rows)."""
     prepared, _ = prepare_cluster_table(df, id_col)
     prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     history = []
-    if k is None:
-        k, model, history = G.find_num_clusters(prepared, "features", 2, max_k, num_random, seed,
-                                                parallelism=parallelism)
-    else:
-        model = G.kmeans_fit(prepared, k, seed=seed)
-    assigned = model.transform(prepared)
-    inertia = G.inertia_value(assigned, G.centers_of(model))
-    sil = G.silhouette_value(assigned)
-    spark = df.sparkSession
-    summary = spark.createDataFrame([(k, inertia, sil)], "k int, inertia double, silhouette double")
+
+    def train():
+        if k is not None:
+            return G.kmeans_fit(prepared, k, seed=seed)
+        _, model, found = G.find_num_clusters(prepared, "features", 2, max_k, num_random, seed,
+                                              parallelism=parallelism)
+        history.extend(found)
+        return model
+
+    try:
+        model = get_or_train(df.sparkSession, store, load_kmeans, train, save_kmeans) if store else train()
+        assigned = model.transform(prepared)
+        inertia = G.inertia_value(assigned, G.centers_of(model))
+        sil = G.silhouette_value(assigned)
+    finally:
+        prepared.unpersist()
+    summary = df.sparkSession.createDataFrame([(len(G.centers_of(model)), inertia, sil)],
+                                              "k int, inertia double, silhouette double")
     return assigned, summary, model, history
 
 
@@ -75,7 +89,7 @@ def cluster_flow(df: DataFrame, id_col: str = "city", max_k: int = 10, num_rando
 CLASSIFY_SPEC = TableSpec(
     name="classify",
     discrete=("age", "priority", "segment", "status", "nation", "hours"),
-    continuous=("gain",),
+    continuous=("gain", "loss"),
     target=("high_value",),
 )
 
@@ -83,7 +97,7 @@ CLASSIFY_SPEC = TableSpec(
 def prepare_classify_table(df: DataFrame, spec: TableSpec = CLASSIFY_SPEC,
                            bins: Sequence[tuple[str, Sequence[float]]] = (("age", AGE_SPLITS),
                                                                          ("hours", HOURS_SPLITS)),
-                           quantiles: Sequence[tuple[str, int]] = (("gain", 10),),
+                           quantiles: Sequence[tuple[str, int]] = (("gain", 10), ("loss", 5)),
                            exact_quantiles: bool = True) -> DataFrame:
     """Trim -> keep useful -> '?'->null -> ''->null -> drop null rows -> dedup -> bins ->
     quantile bins (the reference's order, including dedup after the projection)."""
@@ -95,8 +109,8 @@ def prepare_classify_table(df: DataFrame, spec: TableSpec = CLASSIFY_SPEC,
     out = drop_duplicates(out)
     for col, splits in bins:
         out, _ = binning(out, col, splits)
-    if quantiles:
-        out = out.persist(StorageLevel.MEMORY_AND_DISK)  # quantile search scans it a few times
+    if quantiles:  # the quantile searches scan it a few times: cut the deduplication's shuffle off
+        out = materialize(out, "table")
     for col, n in quantiles:
         out, _ = quantile_bins(out, col, n, exact=exact_quantiles)
     return out
@@ -104,17 +118,23 @@ def prepare_classify_table(df: DataFrame, spec: TableSpec = CLASSIFY_SPEC,
 
 def classify_flow(df: DataFrame, spec: TableSpec = CLASSIFY_SPEC, kind: str = "DT",
                   validate: bool = False, settings: C.TreeSettings | None = None,
-                  seed: int = 42, parallelism: int = 3):
-    """J3 -> 80/20 split -> raw chain (CV optional) -> held-out test -> six metrics."""
+                  seed: int = 42, parallelism: int = 3, store: str | None = None):
+    """J3 -> 80/20 split -> raw chain (CV optional, or the stored one) -> held-out test -> six
+    metrics.  With ``store`` a classifier found there is used, and a new one is put there.
+
+    The prepared table has no key, so the split is Spark's seeded one, over the stored table."""
     target = spec.target[0]
-    prepared = prepare_classify_table(df, spec).persist(StorageLevel.MEMORY_AND_DISK)
-    chain, clf = C.chain_raw(prepared, target, kind, settings=settings)
+    prepared = materialize(prepare_classify_table(df, spec), "table")
     train, test = train_test_split(prepared, 0.8, seed)
-    grid = C.param_grid(clf, kind, settings) if validate else None
-    model = C.fit(chain, train, grid, validate, parallelism=parallelism, seed=seed)
-    preds = C.predict(model, test).persist(StorageLevel.MEMORY_AND_DISK)
-    scores = M.score_table(preds, score="rawPrediction")
-    return scores, model, preds
+
+    def fit():
+        chain, clf = C.chain_raw(prepared, target, kind, settings=settings)
+        grid = C.param_grid(clf, kind, settings) if validate else None
+        return C.fit(chain, train, grid, validate, parallelism=parallelism, seed=seed)
+
+    model = get_or_train(df.sparkSession, store, load_classifier, fit, save_classifier) if store else fit()
+    preds = C.predict(model, test)
+    return M.score_table(preds, score="rawPrediction"), model, preds
 
 
 # ---------------------------------------------------------------- J5-J8: two-stage flow
@@ -145,105 +165,195 @@ def presence_pca(df: DataFrame, id_col: str = "id", target: str = "response",
 def measure_pca(df: DataFrame, id_col: str = "id", target: str = "response",
                 max_components: int = 50, explained: float = 0.95):
     """Drop constants -> mean imputation -> PCA (standardised).  Returns
-    (table, loadings, replay chain)."""
-    kept = drop_constant_columns(df, exclude=[id_col, target])
-    imputed, imp_model = impute(kept, "mean", exclude=[id_col, target])
-    out, pc, stages = pca(imputed, max_components, assemble_features=True,
-                          standardize_features=True, explained_variance=explained,
-                          exclude=[id_col, target])
-    select = SQLTransformer(statement="SELECT " + ", ".join(f"`{c}`" for c in kept.columns)
-                            + " FROM __THIS__")
-    chain = PipelineModel(stages=[select, imp_model, *stages["chain"].stages])
-    return out, pc, chain, stages["n_components"]
+    (table, loadings, replay chain, number of components); a table in which no column varies has
+    no features and raises."""
+    stats = group_stats(df.withColumn("_g", F.lit(0)), "_g", [c for c in df.columns if c not in (id_col, target)])
+    out, pc, chain, n = _reduce(df, id_col, target, stats.get(0, {}), max_components, explained)
+    return out, pc, chain, n
+
+
+def group_stats(df: DataFrame, group: str, columns: Sequence[str]) -> dict:
+    """Per group, the mean of every column that varies in it (nulls and NaN left out).
+
+    All groups and columns in one aggregate over (group, column, value) rows, so the plan does
+    not grow with the width; one row per group and varying column reaches the driver."""
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), q(c).cast("double").alias("v"))
+                                for i, c in enumerate(columns)]))
+    rows = (df.select(q(group).alias("g"), cells.alias("x")).select("g", "x.*")
+            .where("v IS NOT NULL AND NOT isnan(v)").groupBy("g", "c")
+            .agg(F.avg("v").alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .where("lo < hi").select("g", "c", "mean").collect()) if columns else []
+    out: dict = {}
+    for r in sorted(rows, key=lambda r: r["c"]):
+        out.setdefault(r["g"], {})[columns[r["c"]]] = r["mean"]
+    return out
 
 
-def right_size(df: DataFrame, n_rows: int, rows_per_partition: int = 1_000_000) -> DataFrame:
-    """Coalesce (no shuffle) a filtered sub-table to about ``rows_per_partition`` rows per
-    partition, keeping at least one partition per core: a small cluster of a huge table would
-    otherwise carry the parent's thousands of near-empty partitions into every tree level."""
-    current = df.rdd.getNumPartitions()
-    floor = min(current, df.sparkSession.sparkContext.defaultParallelism)
-    wanted = max(floor, -(-n_rows // rows_per_partition))
-    return df.coalesce(wanted) if wanted < current else df
+def _reduce(df: DataFrame, id_col: str, target: str, means: dict[str, float], max_components: int,
+            explained: float):
+    """The varying columns, imputed with their means, reduced by PCA; and the chain that replays it."""
+    if not means:
+        raise ValueError("no measurement varies")
+    name = lambda c: "`" + c.replace("`", "``") + "`"
+    fill = SQLTransformer(statement="SELECT " + ", ".join(
+        [name(id_col), name(target)] + [f"coalesce(nanvl(CAST({name(c)} AS DOUBLE), NULL), {m!r}D) AS {name(c)}"
+                                        for c, m in means.items()]) + " FROM __THIS__")
+    out, pc, stages = pca(fill.transform(df), max_components, assemble_features=True,
+                          standardize_features=True, explained_variance=explained,
+                          exclude=[id_col, target])
+    return out, pc, PipelineModel(stages=[fill, *stages["chain"].stages]), stages["n_components"]
 
 
 @dataclass
 class TwoStageModel:
-    """Everything needed to score new rows: columns kept, clustering chain, one chain per cluster."""
+    """Everything needed to score new rows: columns kept, clustering chain, and per group a
+    (measure chain, classifier) pair, or the label of its majority where nothing can be learned."""
 
     id_col: str
     target: str
     measures: list[str]
     cluster_chain: PipelineModel
     kmeans: object
-    per_cluster: dict = field(default_factory=dict)  # cluster -> (measure chain, classifier)
+    per_cluster: dict = field(default_factory=dict)
+    majority: dict = field(default_factory=dict)  # group -> (index, label text)
+
+    def save(self, path: str) -> str:
+        """Store the model below ``path`` (any Hadoop file system)."""
+        spark = SparkSession.getActiveSession()
+        self.cluster_chain.write().overwrite().save(f"{path}/cluster_chain")
+        save_kmeans(self.kmeans, f"{path}/kmeans")
+        for c, (chain, clf) in self.per_cluster.items():
+            chain.write().overwrite().save(f"{path}/group={c}/measures")
+            clf.write().overwrite().save(f"{path}/group={c}/classifier")
+        about = {"id_col": self.id_col, "target": self.target, "measures": self.measures,
+                 "groups": sorted(self.per_cluster), "majority": sorted(self.majority.items())}
+        # written last: a model without it is not complete
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite") \
+            .text(f"{path}/about")
+        return path
+
+    @staticmethod
+    def load(path: str) -> TwoStageModel:
+        about = json.loads(SparkSession.getActiveSession().read.text(f"{path}/about").first()[0])
+        return TwoStageModel(
+            about["id_col"], about["target"], about["measures"], PipelineModel.load(f"{path}/cluster_chain"),
+            load_kmeans(f"{path}/kmeans"),
+            {c: (PipelineModel.load(f"{path}/group={c}/measures"), load_classifier(f"{path}/group={c}/classifier"))
+             for c in about["groups"]}, {c: tuple(v) for c, v in about["majority"]})
 
 
 def two_stage(df: DataFrame, id_col: str = "id", target: str = "response", k: int = 6,
               kind: str = "RF", validate: bool = False, settings: C.TreeSettings | None = None,
               max_components: int = 50, explained: float = 0.95, seed: int = 42,
               cluster_parallelism: int = 3, cv_parallelism: int = 3,
-              positive_label: str | None = None):
-    """J5 -> J6 -> k-means(k) -> inertia / silhouette -> per cluster: J7 -> fit -> test ->
-    scores.  Returns (per-cluster score table, clustering summary, TwoStageModel)."""
+              positive_label: str | None = None, store: str | None = None):
+    """J5 -> J6 -> k-means(k) -> inertia / silhouette -> per group: J7 -> fit -> test ->
+    scores.  Returns (per-group score table, clustering summary, TwoStageModel).
+
+    The grouped table is written once, by group, so each group's passes read its own folder.
+    Statistics of all groups are one aggregate, scores of all groups one plan.  Rows are split by
+    the hash of their id.  A group in which no measurement or no label varies is given its
+    majority label; a group without test rows has null scores.  With ``store`` a model found
+    there is used for k-means, reduction and classifiers; a new one is put there.
+    """
     spark = df.sparkSession
-    common = common_prepare(materialize(df), id_col, target)
-    measures = [c for c in common.columns if c not in (id_col, target)]
-    reduced, _, pstages = presence_pca(common, id_col, target, max_components, explained,
-                                       carry=measures)
-    km = G.kmeans_fit(reduced, k, seed=seed)
-    # every cluster's fit reads this table: cut its lineage (pivot, PCA) once
-    assigned = materialize(km.transform(reduced).withColumnRenamed("prediction", "cluster"))
-    try:
-        inertia = G.inertia_value(assigned, G.centers_of(km))
-        sil = G.silhouette_value(assigned, "features", "cluster")
-        sizes = dict(assigned.groupBy("cluster").count().collect())  # k rows
-        clusters = sorted(sizes)
-        rows = assigned.select(id_col, target, "cluster", *measures)
-        model = TwoStageModel(id_col, target, measures, pstages["chain"], km)
-
-        def per_cluster(c):
-            # one read of the shared table per cluster; the ~5 statistics / fit passes of this
-            # cluster then run on its own rows only, in partitions sized to the cluster
-            part = rows.where(F.col("cluster") == c).drop("cluster")
-            part = right_size(part.withColumn(target, q(target).cast("string")), sizes[c])
-            part = part.persist(StorageLevel.MEMORY_AND_DISK)
-            preds = None
-            try:
-                table, _, chain, ncomp = measure_pca(part, id_col, target, max_components, explained)
-                pipe, clf = C.chain_vector(table, target, kind, settings=settings,
-                                           positive_label=positive_label)
-                train, test = train_test_split(table, 0.8, seed)
-                grid = C.param_grid(clf, kind, settings) if validate else None
-                fitted = C.fit(pipe, train, grid, validate, parallelism=cv_parallelism, seed=seed)
-                preds = C.predict(fitted, test).persist(StorageLevel.MEMORY_AND_DISK)
-                sc = M.score_table(preds, score="rawPrediction").first().asDict()
-                n_rows, fails = part.agg(F.count(F.lit(1)),
-                                         F.avg((q(target) == "1").cast("double"))).first()
-            finally:
-                if preds is not None:
-                    preds.unpersist()
-                part.unpersist()
-            model.per_cluster[c] = (chain, C.best_pipeline(fitted))
-            return (int(c), int(n_rows), float(fails), int(ncomp), sc["accuracy"], sc["precision"],
-                    sc["recall"], sc["f1"], sc["auroc"], sc["mcc"])
-
+    stored = TwoStageModel.load(store) if store and path_exists(spark, f"{store}/about/_SUCCESS") else None
+    df = materialize(df, "table")
+    if stored:
+        model, measures = stored, stored.measures
+        with_features = _grouped(model, df, keep=[target])
+    else:
+        common = common_prepare(df, id_col, target)
+        measures = [c for c in common.columns if c not in (id_col, target)]
+        reduced, _, pstages = presence_pca(common, id_col, target, max_components, explained, carry=measures)
+        model = TwoStageModel(id_col, target, measures, pstages["chain"], G.kmeans_fit(reduced, k, seed=seed))
+        with_features = model.kmeans.transform(reduced).withColumnRenamed("prediction", "cluster")
+    path = scratch_dir(spark, "groups")
+    with_features.select(id_col, target, "cluster", "features", *[q(c) for c in measures]) \
+        .write.partitionBy("cluster").parquet(path)
+    assigned = spark.read.parquet(path)
+    inertia = G.inertia_value(assigned, G.centers_of(model.kmeans))
+    sil = G.silhouette_value(assigned, "features", "cluster")
+    label = q(target).cast("string")
+    # rows per group and label: k x labels rows
+    counts: dict = {}
+    for r in assigned.groupBy("cluster", label.alias("y")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r["cluster"], {})[r["y"]] = r["n"]
+    clusters = sorted(counts)
+    means = group_stats(assigned, "cluster", measures) if not stored else {}
+
+    def reduced_rows(c, chain):
+        part = assigned.where(F.col("cluster") == c).select(id_col, label.alias(target), *[q(m) for m in measures])
+        return chain.transform(part).select(q(id_col), q(target), F.col("_proj").alias("features"))
+
+    def per_cluster(c):
+        part = assigned.where(F.col("cluster") == c).select(id_col, label.alias(target), *[q(m) for m in measures])
+        known = {y: n for y, n in counts[c].items() if y is not None}
+        if c not in means or len(known) < 2:
+            top = min(known, key=lambda y: (-known[y], y)) if known else None
+            model.majority[c] = (0.0, top)
+            return
+        _, _, chain, _ = _reduce(part, id_col, target, means[c], max_components, explained)
+        table = reduced_rows(c, chain).where(q(target).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            pipe, clf = C.chain_vector(table, target, kind, settings=settings, positive_label=positive_label)
+            train, _ = split_by_key(table, id_col, 0.8)
+            if train.isEmpty():
+                train = table
+            grid = C.param_grid(clf, kind, settings) if validate else None
+            fitted = C.fit(pipe, train, grid, validate, parallelism=cv_parallelism, seed=seed)
+        finally:
+            table.unpersist()
+        model.per_cluster[c] = (chain, C.best_pipeline(fitted))
+
+    if not stored:
         with ThreadPoolExecutor(max_workers=cluster_parallelism) as pool:
-            results = list(pool.map(per_cluster, clusters))
+            list(pool.map(per_cluster, clusters))
+        if store:
+            model.save(store)
+
+    tested = []
+    for c in clusters:
+        if c in model.per_cluster:
+            chain, clf = model.per_cluster[c]
+            _, test = split_by_key(reduced_rows(c, chain).where(q(target).isNotNull()), id_col, 0.8)
+            scored = clf.transform(test).select(
+                F.lit(c).alias("cluster"), "label", "prediction",
+                F.element_at(vector_to_array("rawPrediction"), -1).alias("score"))
+        else:
+            _, test = split_by_key(assigned.where((F.col("cluster") == c) & q(target).isNotNull()), id_col, 0.8)
+            wrong = label != F.lit(model.majority.get(c, (0.0, None))[1])
+            scored = test.select(F.lit(c).alias("cluster"), F.coalesce(wrong, F.lit(True)).cast("double").alias("label"),
+                                 F.lit(0.0).alias("prediction"), F.lit(0.0).alias("score"))
+        tested.append(scored)
+    preds = reduce(DataFrame.unionByName, tested).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        got = {r["cluster"]: r.asDict() for r in M.score_table(preds, score="score", by="cluster").collect()}
     finally:
-        assigned.unpersist()
+        preds.unpersist()
+    names = ("accuracy", "precision", "recall", "f1", "auroc", "mcc")
+    positive = positive_label or "1"
+    rows = []
+    for c in clusters:
+        n, sc = sum(counts[c].values()), got.get(c, {})
+        fails = counts[c].get(positive, 0)
+        ncomp = len(model.per_cluster[c][0].stages[-1].getIndices()) if c in model.per_cluster else 0
+        rows.append((int(c), n, fails, n - fails, fails / n, ncomp, *(sc.get(x) for x in names)))
     scores = spark.createDataFrame(
-        results, "cluster int, n_rows long, failure_rate double, n_components int, "
-                 "accuracy double, precision double, recall double, f1 double, auroc double, "
-                 "mcc double")
-    summary = spark.createDataFrame([(k, inertia, sil)], "k int, inertia double, silhouette double")
+        rows, "cluster int, n_rows long, n_failures long, n_others long, failure_rate double, "
+              "n_components int, accuracy double, precision double, recall double, f1 double, auroc double, "
+              "mcc double")
+    total, fails = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    summary = spark.createDataFrame(
+        [(len(G.centers_of(model.kmeans)), inertia, sil, total, fails, total - fails)],
+        "k int, inertia double, silhouette double, n_rows long, n_failures long, n_others long")
     return scores, summary, model
 
 
 def cluster_summary(df: DataFrame, id_col: str = "id", target: str = "response", k: int = 6,
                     max_components: int = 50, explained: float = 0.95, seed: int = 42) -> DataFrame:
     """Entry slice: J5 -> J6 -> k-means(k) -> rows and failure rate per cluster."""
-    common = common_prepare(materialize(df), id_col, target)
+    common = common_prepare(materialize(df, "table"), id_col, target)
     reduced, _, _ = presence_pca(common, id_col, target, max_components, explained)
     km = G.kmeans_fit(reduced, k, seed=seed)
     return (km.transform(reduced).groupBy(F.col("prediction").alias("cluster"))
@@ -251,19 +361,27 @@ def cluster_summary(df: DataFrame, id_col: str = "id", target: str = "response",
                    F.avg(q(target).cast("double")).alias("failure_rate")))
 
 
-def route_new(model: TwoStageModel, df: DataFrame) -> DataFrame:
-    """J9, first half: the stored clustering chain gives every new row its cluster."""
-    keep = [model.id_col, *model.measures]
-    flags = df.select(*[q(c) for c in keep],
+def _grouped(model: TwoStageModel, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows with the features and the group that the stored clustering chain gives them."""
+    cols = [model.id_col, *keep, *model.measures]
+    flags = df.select(*[q(c) for c in cols],
                       *[F.when(q(c).isNull(), 0).otherwise(1).alias(f"_p_{c}") for c in model.measures])
     reduced = model.cluster_chain.transform(flags)
-    routed = model.kmeans.transform(
-        reduced.select(*[q(c) for c in keep], F.col("_proj").alias("features")))
-    return routed.select(*[q(c) for c in keep], F.col("prediction").alias("cluster"))
+    routed = model.kmeans.transform(reduced.select(*[q(c) for c in cols], F.col("_proj").alias("features")))
+    return routed.withColumnRenamed("prediction", "cluster")
+
+
+def route_new(model: TwoStageModel, df: DataFrame) -> DataFrame:
+    """J9, first half: the stored clustering chain gives every new row its cluster."""
+    return _grouped(model, df).select(q(model.id_col), *[q(c) for c in model.measures], "cluster")
 
 
 def score_routed(model: TwoStageModel, routed: DataFrame) -> DataFrame:
-    """J9, second half: each cluster's stored measure chain and classifier on its rows."""
+    """J9, second half: each cluster's stored measure chain and classifier on its rows.
+
+    Every row comes back: groups without a classifier get their majority label, rows of a group
+    the model does not know a null prediction."""
+    result = ("cluster", "prediction", "predicted")
     outs = []
     for c, (chain, clf) in sorted(model.per_cluster.items()):
         part = routed.where(F.col("cluster") == c).withColumn(model.target, F.lit("0"))
@@ -272,19 +390,20 @@ def score_routed(model: TwoStageModel, routed: DataFrame) -> DataFrame:
         scored = clf.transform(prepared)
         outs.append(scored.select(model.id_col, F.lit(c).alias("cluster"), "prediction",
                                   F.col(f"predicted-{model.target}").alias("predicted")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
-
-
-def score_new(model: TwoStageModel, df: DataFrame, persist: bool | None = None) -> DataFrame:
-    """Route new rows by cluster, then score each cluster's rows with its stored chain;
-    one union of the per-cluster results.
-
-    The k branches all read the routed rows, so those are persisted for a batch input (every
-    row is routed once); a streaming input is routed once per micro-batch in ``streaming``."""
-    routed = route_new(model, df)
-    if persist if persist is not None else not df.isStreaming:
-        routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
-    return score_routed(model, routed)
+    plain = routed.where(~F.coalesce(F.col("cluster").isin(list(model.per_cluster)), F.lit(False))) \
+        if model.per_cluster else routed
+    index, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for c, (i, t) in model.majority.items():
+        here = F.col("cluster") == c
+        index, text = F.when(here, F.lit(i)).otherwise(index), F.when(here, F.lit(t)).otherwise(text)
+    outs.append(plain.select(model.id_col, "cluster", index.alias(result[1]), text.alias(result[2])))
+    return reduce(DataFrame.unionByName, outs)
+
+
+def score_new(model: TwoStageModel, df: DataFrame) -> DataFrame:
+    """Route new rows by cluster, then score each cluster's rows with its stored chain; one
+    union of the per-cluster results.  All branches read the routed rows, so those are written
+    once, by group; a streaming input is scored per micro-batch in ``streaming``."""
+    path = scratch_dir(df.sparkSession, "routed")
+    route_new(model, df).write.partitionBy("cluster").parquet(path)
+    return score_routed(model, df.sparkSession.read.parquet(path))

@@ -23,9 +23,10 @@ def _hash_sql(key: str) -> str:
 
 # ------------------------------------------------------------------------------------ E
 
-@query("drop_duplicates", sql=X.with_fixture("classify", "SELECT DISTINCT status, nation, age FROM classify"))
+@query("drop_duplicates", sql=X.with_fixture("classify", "SELECT DISTINCT * FROM classify"))
 def drop_duplicates_q(spark, sf):
-    return E.drop_duplicates(X.classify(spark, sf).select("status", "nation", "age"))
+    c = X.classify(spark, sf)
+    return E.drop_duplicates(c.unionAll(c))
 
 
 _ISECT = "SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem WHERE "
@@ -47,25 +48,42 @@ def union_by_name_q(spark, sf):
     return E.union_by_name(goods, failures)
 
 
-@query("take_subset")
+@query("take_subset", sql="""
+SELECT count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_keys, true AS within FROM orders""")
 def take_subset_q(spark, sf):
-    return E.take_subset(load_table(spark, sf, "orders"), 0.5, seed=42)
+    """The random subset and its rest add up to the table; its size is within 5 deviations."""
+    o = load_table(spark, sf, "orders")
+    part = E.take_subset(o, 0.5, seed=42).select("o_orderkey", F.lit(1).alias("taken"))
+    all_ = o.select("o_orderkey").join(part, "o_orderkey", "left")
+    n = F.count(F.lit(1))
+    return all_.agg(n.alias("n_rows"), F.count_distinct("o_orderkey").alias("n_keys"),
+                    (F.abs(F.count("taken") - n / 2) <= 2.5 * F.sqrt(n)).alias("within"))
 
 
-@query("take_subset_hash", sql=f"SELECT * FROM orders WHERE {_hash_sql('o_orderkey')} % 100 < 50")
+@query("take_subset_hash", sql=f"SELECT * FROM orders WHERE {_hash_sql('o_orderkey')} < 0.5 * {MOD}")
 def take_subset_hash_q(spark, sf):
     return E.take_subset_by_key(load_table(spark, sf, "orders"), "o_orderkey", 0.5)
 
 
-@query("train_test_split")
+@query("take_subset_hash_small", sql=f"SELECT * FROM lineitem WHERE {_hash_sql('l_orderkey')} < 0.003 * {MOD}")
+def take_subset_hash_small_q(spark, sf):
+    return E.take_subset_by_key(load_table(spark, sf, "lineitem"), "l_orderkey", 0.003)
+
+
+@query("train_test_split", sql="""
+SELECT count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_keys, true AS within FROM orders""")
 def train_test_split_q(spark, sf):
-    train, _ = E.train_test_split(load_table(spark, sf, "orders"), 0.8, seed=42)
-    return train
+    """Both parts of the random split: together the table, no row twice, 80/20 within 5 deviations."""
+    train, test = E.train_test_split(load_table(spark, sf, "orders"), 0.8, seed=42)
+    both = train.select("o_orderkey", F.lit(1).alias("t")).unionAll(test.select("o_orderkey", F.lit(0).alias("t")))
+    n = F.count(F.lit(1))
+    return both.agg(n.alias("n_rows"), F.count_distinct("o_orderkey").alias("n_keys"),
+                    (F.abs(F.sum("t") - 0.8 * n) <= 2 * F.sqrt(n)).alias("within"))
 
 
 @query("train_test_split_key", sql=f"""
 SELECT o_orderkey, o_totalprice,
-       CASE WHEN {_hash_sql('o_orderkey')} % 100 < 80 THEN 'train' ELSE 'test' END AS split FROM orders""")
+       CASE WHEN {_hash_sql('o_orderkey')} < 0.8 * {MOD} THEN 'train' ELSE 'test' END AS split FROM orders""")
 def train_test_split_key_q(spark, sf):
     o = load_table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return E.split_label_by_key(o, "o_orderkey", 0.8)
@@ -82,9 +100,17 @@ def undersample_majority_q(spark, sf):
     return E.undersample_majority(w, "response", 0, 1, [E.key_hash(F.col("id")), F.col("id")], 1.0)
 
 
-@query("random_table")
+@query("random_table", sql="""
+SELECT count(*) AS n_rows, true AS inside, true AS centred FROM lineitem""")
 def random_table_q(spark, sf):
-    return E.random_like(load_table(spark, sf, "lineitem"), 4, 0.0, 100.0, seed=42)
+    """A random row for every row of the table: values in [0, 100), means within 5 deviations of 50."""
+    r = E.random_like(load_table(spark, sf, "lineitem"), 4, 0.0, 100.0, seed=42)
+    cols = [F.col(f"`{c}`") for c in r.columns]
+    inside, centred = F.lit(True), F.lit(True)
+    for c in cols:
+        inside = inside & (F.min(c) >= 0) & (F.max(c) < 100)
+        centred = centred & (F.abs(F.avg(c) - 50) <= 5 * 28.9 / F.sqrt(F.count(F.lit(1))))
+    return r.agg(F.count(F.lit(1)).alias("n_rows"), inside.alias("inside"), centred.alias("centred"))
 
 
 # ------------------------------------------------------------------------------------ F
@@ -102,7 +128,7 @@ AGE, HOURS = AGE_SPLITS, HOURS_SPLITS
 
 
 @query("binning", sql=X.with_fixture(
-    "classify", "SELECT priority, segment, status, nation, gain, high_value, "
+    "classify", "SELECT priority, segment, status, nation, gain, loss, high_value, "
     + _bin_case("age", AGE) + ", " + _bin_case("hours", HOURS) + " FROM classify"))
 def binning_q(spark, sf):
     out, _ = FE.binning(X.classify(spark, sf), "age", AGE)
@@ -124,7 +150,7 @@ def quantile_bins_q(spark, sf):
 
 
 @query("quantile_bins_collapsed", sql=X.with_fixture(
-    "classify", _qbin_sql("classify", "gain", 10, "priority, segment, status, nation, age, hours, high_value")))
+    "classify", _qbin_sql("classify", "gain", 10, "priority, segment, status, nation, age, hours, loss, high_value")))
 def quantile_bins_collapsed_q(spark, sf):
     out, _ = FE.quantile_bins(X.classify(spark, sf), "gain", 10, exact=True)
     return out

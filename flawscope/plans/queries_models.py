@@ -10,7 +10,7 @@ from flawscope.operators import classify as H
 from flawscope.operators import clustering as G
 from flawscope.operators import features as FE
 from flawscope.operators import metrics as M
-from flawscope.operators.sampling import key_bucket, train_test_split
+from flawscope.operators.sampling import split_by_key, train_test_split
 from flawscope.plans import flows as J
 from flawscope.plans.registry import query, r6, sql_r6
 from flawscope.session import materialize, scratch_dir
@@ -171,7 +171,7 @@ def flow_cluster_prepare_q(spark, sf):
     return out.select("id", *[r6(F.col(f"f{i}")).alias(f"f{i}") for i in range(4)])
 
 
-@query("flow_cluster", heavy=True)
+@query("flow_cluster")
 def flow_cluster_q(spark, sf):
     _, summary, _, _ = J.cluster_flow(X.customers(spark, sf), "id", max_k=10, num_random=30)
     return summary
@@ -308,12 +308,12 @@ def decision_tree_q(spark, sf):
     return _tree_predictions(spark, sf, "DT")
 
 
-@query("random_forest", heavy=True)
+@query("random_forest")
 def random_forest_q(spark, sf):
     return _tree_predictions(spark, sf, "RF")
 
 
-@query("gbt", heavy=True)
+@query("gbt")
 def gbt_q(spark, sf):
     return _tree_predictions(spark, sf, "GBT")
 
@@ -334,7 +334,7 @@ def classifier_chain_vector_q(spark, sf):
     return H.predict(H.fit(chain, train), test).select("id", "label", "prediction", "predicted-response")
 
 
-@query("cross_validate", heavy=True)
+@query("cross_validate")
 def cross_validate_q(spark, sf):
     prepared = _classify_prepared(spark, sf)
     chain, clf = H.chain_raw(prepared, "high_value", "DT")
@@ -357,25 +357,27 @@ def model_roundtrip_classifier_q(spark, sf):
 
 @query("flow_classify_prepare", sql=X.with_fixture("classify", """,
 t AS (SELECT DISTINCT * FROM (
-        SELECT CAST(age AS INTEGER) AS age, nullif(nullif(trim(priority), '?'), '') AS priority,
+        SELECT loss, CAST(age AS INTEGER) AS age, nullif(nullif(trim(priority), '?'), '') AS priority,
                nullif(nullif(trim(segment), '?'), '') AS segment, nullif(nullif(trim(status), '?'), '') AS status,
                nullif(nullif(trim(nation), '?'), '') AS nation, hours, gain,
                nullif(nullif(trim(high_value), '?'), '') AS high_value FROM classify)
       WHERE age IS NOT NULL AND priority IS NOT NULL AND segment IS NOT NULL AND status IS NOT NULL
-        AND nation IS NOT NULL AND hours IS NOT NULL AND gain IS NOT NULL AND high_value IS NOT NULL),
-s AS (SELECT list_distinct(quantile_disc(gain, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS sp FROM t)
+        AND nation IS NOT NULL AND hours IS NOT NULL AND gain IS NOT NULL AND loss IS NOT NULL AND high_value IS NOT NULL),
+s AS (SELECT list_distinct(quantile_disc(gain, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS sp,
+            list_distinct(quantile_disc(loss, [0.2, 0.4, 0.6, 0.8])) AS sl FROM t)
 SELECT priority, segment, status, nation, high_value, """ + ", ".join([
     "CAST(CASE WHEN age >= 0 AND age < 18 THEN 0 WHEN age >= 18 AND age < 30 THEN 1 WHEN age >= 30 AND age < 60 "
     "THEN 2 WHEN age >= 60 AND age <= 100 THEN 3 END AS DOUBLE) AS age",
     "CAST(CASE WHEN hours >= 0 AND hours < 25 THEN 0 WHEN hours >= 25 AND hours < 40 THEN 1 WHEN hours >= 40 AND "
     "hours < 60 THEN 2 WHEN hours >= 60 AND hours <= 100 THEN 3 END AS DOUBLE) AS hours",
-    "CAST(len(list_filter(sp, lambda v: v <= gain)) AS DOUBLE) AS gain"]) + " FROM t, s").replace(
+    "CAST(len(list_filter(sp, lambda v: v <= gain)) AS DOUBLE) AS gain",
+    "CAST(len(list_filter(sl, lambda v: v <= loss)) AS DOUBLE) AS loss"]) + " FROM t, s").replace(
     ")\n,\nt AS", ")\n, t AS", 1))
 def flow_classify_prepare_q(spark, sf):
     return _classify_prepared(spark, sf)
 
 
-@query("flow_classify", heavy=True)
+@query("flow_classify")
 def flow_classify_q(spark, sf):
     scores, _, _ = J.classify_flow(X.classify(spark, sf), kind="DT", validate=True)
     return scores
@@ -403,21 +405,21 @@ def pca_components_q(spark, sf):
     return out.drop("features")
 
 
-@query("two_stage_scores", heavy=True)
+@query("two_stage_scores")
 def two_stage_scores_q(spark, sf):
     scores, _, _ = J.two_stage(X.wide(spark, sf), "id", "response", k=6, kind="RF")
     return scores
 
 
-@query("two_stage_score_new", heavy=True)
+@query("two_stage_score_new")
 def two_stage_score_new_q(spark, sf):
     w = X.wide(spark, sf)
-    seen, new = w.where(key_bucket(F.col("id")) < 80), w.where(key_bucket(F.col("id")) >= 80)
+    seen, new = split_by_key(w, "id", 0.8)
     _, _, model = J.two_stage(seen, "id", "response", k=6, kind="DT")
     return J.score_new(model, new)
 
 
-@query("gap_curve", heavy=True)
+@query("gap_curve")
 def gap_curve_q(spark, sf):
     """The gap statistic per k from real k-means fits (30 reference draws each)."""
     prepared = _arrest_like(spark, sf).persist()

@@ -19,10 +19,10 @@ LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quan
                  "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
                  "l_shipdate"]
 W = X.WIDE_FEATURES
-CLASSIFY_COLS = ["priority", "segment", "status", "nation", "age", "hours", "gain", "high_value"]
+CLASSIFY_COLS = ["priority", "segment", "status", "nation", "age", "hours", "gain", "loss", "high_value"]
 CLASSIFY_TYPES = {"priority": "string", "segment": "string", "status": "string",
                   "nation": "string", "age": "int", "hours": "int", "gain": "double",
-                  "high_value": "string"}
+                  "loss": "double", "high_value": "string"}
 
 
 def _csv(sql_cols: str) -> str:
@@ -61,7 +61,7 @@ def csv_roundtrip(spark, sf):
 
 
 @query("select_roles", sql=X.with_fixture(
-    "classify", "SELECT age, priority, segment, status, nation, hours, gain, high_value FROM classify"))
+    "classify", "SELECT age, priority, segment, status, nation, hours, gain, loss, high_value FROM classify"))
 def select_roles_q(spark, sf):
     return select_roles(X.classify(spark, sf), CLASSIFY_SPEC)
 
@@ -93,13 +93,13 @@ def rename_column_q(spark, sf):
     return B.rename_column(load_table(spark, sf, "orders"), "o_totalprice", "total_price")
 
 
-@query("apply_over_columns", sql="""
-SELECT l_orderkey * 2 AS l_orderkey, l_quantity * 2 AS l_quantity,
-       l_extendedprice * 2 AS l_extendedprice, l_discount * 2 AS l_discount FROM lineitem""")
+@query("apply_over_columns", sql="SELECT " + ", ".join(
+    f"coalesce(CAST({c} AS VARCHAR), 'none') AS {c}" for c in LINEITEM_COLS if c != "l_shipdate")
+    + ", coalesce(strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'), 'none') AS l_shipdate FROM lineitem")
 def apply_over_columns_q(spark, sf):
-    li = load_table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice",
-                                                  "l_discount")
-    return B.apply_over_columns(li, lambda c: c * 2)
+    """Every column as text (null as ``none``)."""
+    return B.apply_over_columns(load_table(spark, sf, "lineitem"),
+                                lambda c: F.coalesce(c.cast("string"), F.lit("none")))
 
 
 def _with_constant_columns(spark, sf):
@@ -156,7 +156,7 @@ def values_to_null_q(spark, sf):
 
 @query("trim_values", sql=X.with_fixture(
     "classify", "SELECT trim(priority) AS orderpriority, trim(segment) AS segment, trim(status) AS status, "
-    "trim(nation) AS nation, age, hours, gain, trim(high_value) AS high_value FROM classify"))
+    "trim(nation) AS nation, age, hours, gain, loss, trim(high_value) AS high_value FROM classify"))
 def trim_values_q(spark, sf):
     c = X.classify(spark, sf).withColumnRenamed("priority", " order priority ")
     return B.trim_values(c)
@@ -185,9 +185,15 @@ def impute_median_q(spark, sf):
     return out
 
 
-@query("add_random_col")
+@query("add_random_col", sql=X.with_fixture(
+    "wide", "SELECT count(*) AS n_rows, count(*) AS n_flags, true AS both_seen, true AS balanced FROM wide"))
 def add_random_col_q(spark, sf):
-    return B.add_random_col(X.wide(spark, sf), "random", seed=42)
+    """The random column over all rows: 0 or 1 everywhere, both seen, within 5 deviations of one half."""
+    out = B.add_random_col(X.wide(spark, sf), "random", seed=42)
+    n, ones = F.count(F.lit(1)), F.sum("random")
+    return out.agg(n.alias("n_rows"), F.count_if(F.col("random").isin(0, 1)).alias("n_flags"),
+                   ((F.min("random") == 0) & (F.max("random") == 1)).alias("both_seen"),
+                   (F.abs(ones - n / 2) <= 2.5 * F.sqrt(n)).alias("balanced"))
 
 
 @query("filter_label", sql=X.with_fixture("wide", "SELECT * FROM wide WHERE response = 1"))
@@ -278,16 +284,21 @@ def distinct_counts_q(spark, sf):
     return D.distinct_counts(load_table(spark, sf, "lineitem"))
 
 
-@query("approx_distinct_counts")
+@query("approx_distinct_counts", sql="SELECT " + ", ".join(f"true AS {c}" for c in LINEITEM_COLS))
 def approx_distinct_counts_q(spark, sf):
-    return D.approx_distinct_counts(load_table(spark, sf, "lineitem"))
+    """Is each estimate within three deviations (rsd 0.05) of the exact count of its column?"""
+    li = load_table(spark, sf, "lineitem")
+    near = D.approx_distinct_counts(li).crossJoin(  # one row each
+        D.distinct_counts(li).toDF(*[f"n_{c}" for c in LINEITEM_COLS]))
+    return near.select(*[(F.abs(F.col(c) - F.col(f"n_{c}")) <= F.greatest(0.15 * F.col(f"n_{c}"), F.lit(1))).alias(c)
+                         for c in LINEITEM_COLS])
 
 
 @query("max_distinct_values", sql=X.with_fixture(
-    "classify", "SELECT greatest(" + ", ".join(f"count(DISTINCT {c})" for c in CLASSIFY_COLS[:-1])
+    "classify", "SELECT greatest(" + ", ".join(f"count(DISTINCT {c})" for c in CLASSIFY_COLS)
     + ") AS max_distinct FROM classify"))
 def max_distinct_values_q(spark, sf):
-    return D.max_distinct_values(X.classify(spark, sf), CLASSIFY_COLS[:-1])
+    return D.max_distinct_values(X.classify(spark, sf))
 
 
 @query("distinct_values_count", sql="SELECT l_returnflag, count(*) AS count FROM lineitem GROUP BY l_returnflag")
@@ -331,3 +342,13 @@ def exact_quantiles_q(spark, sf):
     p = got["l_extendedprice"]
     row = [(p[0], p[1], p[2], got["l_quantity"][1])]
     return spark.createDataFrame(row, "p10 double, p50 double, p90 double, q50 double")
+
+
+@query("exact_quantile_bigint", sql="""
+WITH b AS (SELECT l_orderkey + 9007199254740992 AS big FROM lineitem)
+SELECT quantile_disc(big, 0.25) AS p25, quantile_disc(big, 0.5) AS p50, quantile_disc(big, 0.75) AS p75 FROM b""")
+def exact_quantile_bigint_q(spark, sf):
+    """Integers beyond 2^53 keep their last digit."""
+    big = load_table(spark, sf, "lineitem").select((F.col("l_orderkey") + F.lit(9007199254740992)).alias("big"))
+    got = D.exact_quantiles(big, ["big"], [0.25, 0.5, 0.75])["big"]
+    return spark.createDataFrame([tuple(got)], "p25 bigint, p50 bigint, p75 bigint")

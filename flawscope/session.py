@@ -14,6 +14,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_SCRATCH: set[str] = set()  # folders handed out by scratch_dir
+
+
 def build_session(cores: int | str = "*", shuffle_partitions: int | None = None,
                   app_name: str = "flawscope", extra: dict | None = None) -> SparkSession:
     """Local session for tests/bench.  On a cluster, use the session the platform hands out."""
@@ -42,13 +45,16 @@ def build_session(cores: int | str = "*", shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder; create a local one only if none is configured."""
+    """The session's checkpoint folder.  A local master without one gets a new local folder;
+    a cluster must name a folder that all its machines share."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="flawscope-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -57,7 +63,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, tag: str = "scratch") -> str:
     """A fresh, unique folder under the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{tag}-{uuid.uuid4().hex}"
+    path = f"{base}/{tag}-{uuid.uuid4().hex}"
+    _SCRATCH.add(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession, path: str | None = None) -> None:
+    """Delete one scratch folder, or all that this process has asked for (also on a cluster)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in [path] if path else list(_SCRATCH):
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(conf).delete(where, True)
+        _SCRATCH.discard(p)
 
 
 def materialize(df, mode: str = "checkpoint"):

@@ -46,6 +46,7 @@ CLASSIFY_SQL = """SELECT CASE WHEN o_orderkey % 17 = 0 THEN ' ?' ELSE concat(' '
        o_orderstatus AS status, n_name AS nation,
        CAST(o_orderkey % 100 AS INT) AS age, CAST(o_orderkey % 97 AS INT) AS hours,
        CASE WHEN o_orderkey % 10 = 0 THEN CAST(floor(o_totalprice) AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS gain,
+       CASE WHEN o_orderkey % 3 <> 0 THEN CAST(floor(o_totalprice / 7) AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS loss,
        CASE WHEN o_totalprice > 250000 THEN '>250K' ELSE '<=250K' END AS high_value
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
 

@@ -33,33 +33,40 @@ class TableSpec:
 def read_csv(spark: SparkSession, path: str, spec: TableSpec | None = None, *,
              sep: str | None = None, mode: str = "DROPMALFORMED",
              ignore_leading_blanks: bool = False, ignore_trailing_blanks: bool = False,
-             min_partitions: int | None = None, materialize_as: str = "table") -> DataFrame:
+             min_partitions: int | None = None) -> DataFrame:
     """CSV scan with a header; declared schema if the spec has one, inference otherwise.
 
-    With ``DROPMALFORMED`` the set of surviving rows depends on which columns are parsed, so
-    the fully parsed result is materialized once (default: a Parquet table in the shared
-    checkpoint folder; ``materialize_as="persist"`` for executor cache) before anyone counts
-    it: every later action sees the same rows.  ``.gz`` files are one task each, hence the
+    Spark's own ``DROPMALFORMED`` parses only the columns an action needs, so which rows survive
+    depends on the action.  Here each line is parsed as a whole (``from_csv``) and dropped when it
+    does not fit the schema: every action sees the same rows, without a copy of the table.  The
+    header is the first line; lines equal to it (one per file) and blank lines go.  As in Spark's
+    default, a quoted line break ends the record.  ``.gz`` files are one task each, hence the
     optional ``min_partitions`` repartition.
     """
-    reader = spark.read.option("header", True).option("mode", mode)
-    reader = reader.option("sep", sep if sep is not None else (spec.delimiter if spec else ","))
-    reader = reader.option("ignoreLeadingWhiteSpace", ignore_leading_blanks)
-    reader = reader.option("ignoreTrailingWhiteSpace", ignore_trailing_blanks)
+    options = {"sep": sep if sep is not None else (spec.delimiter if spec else ","),
+               "ignoreLeadingWhiteSpace": str(ignore_leading_blanks).lower(),
+               "ignoreTrailingWhiteSpace": str(ignore_trailing_blanks).lower()}
+    reader = spark.read.option("header", True).options(**options)
     schema = spec.schema if spec else None
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(path)
-    if min_partitions and df.rdd.getNumPartitions() < min_partitions:
-        df = df.repartition(min_partitions)
-    if mode.upper() == "DROPMALFORMED":
-        from flawscope.session import materialize
-        df = materialize(df, materialize_as)
-    return df
-
-
-def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
+    if mode.upper() != "DROPMALFORMED":
+        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+        df = reader.option("mode", mode).csv(path)
+        return _spread(df, min_partitions)
+    if schema is None:
+        schema = reader.option("inferSchema", True).csv(path).schema
+    lines = spark.read.text(path)
+    header = lines.first()
+    bad = "_malformed"
+    while bad in schema.names:
+        bad += "_"
+    parsed = F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + f", `{bad}` string",
+                        {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    rows = _spread(lines, min_partitions).where((F.col("value") != F.lit(header[0] if header else "")) & (F.trim("value") != ""))
+    return rows.select(parsed.alias("r")).where(F.col(f"r.`{bad}`").isNull()).select(*[F.col(f"r.`{n}`") for n in schema.names])
+
+
+def _spread(df: DataFrame, min_partitions: int | None) -> DataFrame:
+    return df.repartition(min_partitions) if min_partitions and df.rdd.getNumPartitions() < min_partitions else df
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ";", compression: str | None = None,
@@ -92,9 +99,3 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Temp views named like the tables; SQL over them is analysed eagerly by ``spark.sql``."""
-    for n in names:
-        load_table(spark, sf_dir, n).createOrReplaceTempView(n)

@@ -4,6 +4,6 @@ The reference has no streaming operator (no watermark, window or state); the onl
 streaming-shaped need is scoring rows that arrive after training, which is stateless.
 """
 
-from flawscope.streaming.scoring import score_stream, start_scoring
+from flawscope.streaming.scoring import start_scoring
 
-__all__ = ["score_stream", "start_scoring"]
+__all__ = ["start_scoring"]

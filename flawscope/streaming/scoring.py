@@ -14,15 +14,10 @@ from pyspark.sql.types import StructType
 
 from pyspark import StorageLevel
 
-from flawscope.plans.flows import TwoStageModel, route_new, score_new, score_routed
+from flawscope.plans.flows import TwoStageModel, route_new, score_routed
 from flawscope.session import scratch_dir
 
 
-def score_stream(model: TwoStageModel, stream: DataFrame) -> DataFrame:
-    """The stored chains as a streaming plan (routing recomputed per cluster branch)."""
-    return score_new(model, stream, persist=False)
-
-
 def score_batch_to(model: TwoStageModel, sink_dir: str):
     """``foreachBatch`` body: route the micro-batch once, score it, and overwrite the folder
     of that batch id - a replayed batch rewrites the same files (idempotent output)."""
@@ -42,8 +37,8 @@ def start_scoring(spark: SparkSession, model: TwoStageModel, source_dir: str, sc
                   sink_dir: str, checkpoint_dir: str | None = None,
                   available_now: bool = True) -> StreamingQuery:
     """Watch ``source_dir`` for parquet files of new rows and write scored rows under
-    ``sink_dir/batch_id=<n>``.  The checkpoint lives in the shared checkpoint folder, so a
-    restarted driver resumes where it stopped."""
+    ``sink_dir/batch_id=<n>``.  A restarted driver resumes where it stopped when it is given the
+    same ``checkpoint_dir`` (and a model from ``TwoStageModel.load``)."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
     writer = (stream.writeStream.foreachBatch(score_batch_to(model, sink_dir))
               .option("checkpointLocation", checkpoint_dir or scratch_dir(spark, "stream-ckpt")))

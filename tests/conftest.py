@@ -17,6 +17,9 @@ def spark():
 
     s = build_session("*", 8)
     yield s
+    from flawscope.session import drop_scratch
+
+    drop_scratch(s)
     s.stop()
 
 

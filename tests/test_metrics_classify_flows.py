@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL, SF_TINY
 from flawscope.operators import classify as H
 from flawscope.operators import metrics as M
-from flawscope.operators.sampling import key_bucket
+from flawscope.operators.sampling import key_below, split_by_key
 from flawscope.plans import flows as J
 from flawscope.sources import fixtures as X
 from flawscope.sources.models import load_classifier, save_classifier
@@ -92,7 +92,7 @@ def test_label_index_is_frequency_order(spark):
 
 def test_two_stage_and_new_rows_batch_and_stream(spark, tmp_out):
     w = X.wide(spark, SF_TINY)
-    seen, new = w.where(key_bucket(F.col("id")) < 80), w.where(key_bucket(F.col("id")) >= 80)
+    seen, new = split_by_key(w, "id", 0.8)
     scores, summary, model = J.two_stage(seen, k=3, kind="DT")
     rows = scores.collect()
     assert sorted(r.cluster for r in rows) == list(range(len(rows)))
@@ -157,7 +157,7 @@ def test_singleton_cluster_silhouette_is_zero_for_that_point(spark):
 def test_two_stage_with_a_constant_target_cluster(spark):
     w = X.wide(spark, SF_TINY)
     # keep one response value only for orders whose id bucket is low: some clusters become pure
-    skewed = w.where((F.col("response") == 1) | (key_bucket(F.col("id")) < 10))
+    skewed = w.where((F.col("response") == 1) | key_below(F.col("id"), 0.1))
     scores, _, _ = J.two_stage(skewed, k=2, kind="DT")
     rows = scores.collect()
     assert sum(r.n_rows for r in rows) == skewed.count()

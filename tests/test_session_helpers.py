@@ -1,10 +1,10 @@
-"""Helpers that size work to the cluster: materialization, per-cluster coalesce, tree buffers."""
+"""Helpers that size work to the cluster: materialization, scratch folders, tree buffers."""
 
 from pyspark.sql import functions as F
 
 from flawscope.operators.classify import _size_mb, tree_memory_mb
-from flawscope.plans.flows import right_size
-from flawscope.session import materialize, scratch_dir
+from flawscope.session import drop_scratch, materialize, scratch_dir
+from flawscope.sources.models import path_exists
 
 
 def test_materialize_modes_keep_rows(spark):
@@ -15,13 +15,11 @@ def test_materialize_modes_keep_rows(spark):
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
 
 
-def test_right_size_coalesces_small_subtables_only(spark):
-    big = spark.range(0, 10_000, numPartitions=40)
-    cores = spark.sparkContext.defaultParallelism
-    small = right_size(big, 10_000)
-    assert small.rdd.getNumPartitions() == min(40, cores)
-    assert right_size(big, 10_000, rows_per_partition=100).rdd.getNumPartitions() == 40
-    assert right_size(spark.range(0, 10, numPartitions=2), 10).rdd.getNumPartitions() == 2
+def test_scratch_is_removed(spark):
+    path = scratch_dir(spark, "gone")
+    spark.range(3).write.parquet(path)
+    drop_scratch(spark, path)
+    assert not path_exists(spark, path)
 
 
 def test_tree_memory_follows_executor_size(spark):
