@@ -10,7 +10,8 @@ from flawscope.operators import classify as H
 from flawscope.operators import clustering as G
 from flawscope.operators import features as FE
 from flawscope.operators import metrics as M
-from flawscope.operators.sampling import split_by_key, train_test_split
+from flawscope.operators.sampling import (BUCKET_ADD, BUCKET_MOD, BUCKET_MULT, split_by_key,
+                                          train_test_split)
 from flawscope.plans import flows as J
 from flawscope.plans.registry import query, r6, sql_r6
 from flawscope.session import materialize, scratch_dir
@@ -138,29 +139,54 @@ def _arrest_like(spark, sf):
     return prepared
 
 
-@query("kmeans_fit_predict")
+@query("kmeans_fit_predict", sql=X.with_fixture("customers", "SELECT id, true AS is_nearest FROM customers"))
 def kmeans_fit_predict_q(spark, sf):
+    """Every row's group is the one with the nearest centre."""
     df = _arrest_like(spark, sf)
-    return G.assign(G.kmeans_fit(df, 2, seed=42), df).select("id", "prediction")
+    model = G.kmeans_fit(df, 2, seed=42)
+    near = G.nearest_center(G.assign(model, df), G.centers_of(model), keep=["id", "prediction"])
+    return near.select("id", (F.col("nearest") == F.col("prediction")).alias("is_nearest"))
 
 
-@query("cluster_centers")
+@query("cluster_centers", sql=X.with_fixture(
+    "customers", "SELECT CAST(2 AS BIGINT) AS n_centers, count(*) AS n_rows, true AS are_means FROM customers"))
 def cluster_centers_q(spark, sf):
-    return G.cluster_centers(G.kmeans_fit(_arrest_like(spark, sf), 2, seed=42), spark)
-
-
-@query("reference_uniform")
+    """At convergence each centre is the mean of its rows; the groups add up to the table."""
+    df = _arrest_like(spark, sf)
+    model = G.kmeans_fit(df, 2, seed=42, max_iter=200, tol=1e-9)
+    x = FE.vector_to_columns(G.assign(model, df), "features", size=4)
+    means = x.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"f{i}").alias(f"f{i}") for i in range(4)])
+    both = G.cluster_centers(model, spark).join(means, F.col("cluster") == F.col("prediction"))
+    near = F.lit(True)
+    for i in range(4):
+        near = near & (F.abs(F.col("center").getItem(i) - F.col(f"f{i}")) < 1e-6)
+    return both.agg(F.count(F.lit(1)).alias("n_centers"), F.sum("n").alias("n_rows"), F.bool_and(near).alias("are_means"))
+
+
+@query("reference_uniform", sql=X.with_fixture(
+    "customers", "SELECT count(*) AS n_rows, true AS inside, true AS spread FROM customers"))
 def reference_uniform_q(spark, sf):
+    """A draw for every row, inside the box of the features, and over most of each side."""
     df = _arrest_like(spark, sf)
-    ref = G.reference_uniform(df, G.feature_ranges(df), seed=1)
-    return ref.select(vector_to_array("features").alias("features"))
-
-
-@query("model_roundtrip_kmeans")
+    ranges = G.feature_ranges(df)
+    ref = G.reference_uniform(df, ranges, seed=1).select(vector_to_array("features").alias("x"))
+    inside, spread = F.lit(True), F.lit(True)
+    for i, (a, b) in enumerate(ranges):
+        v = F.col("x").getItem(i)
+        inside = inside & (F.min(v) >= a) & (F.max(v) <= b)
+        spread = spread & (F.max(v) - F.min(v) >= 0.8 * (b - a))
+    return ref.agg(F.count(F.lit(1)).alias("n_rows"), inside.alias("inside"), spread.alias("spread"))
+
+
+@query("model_roundtrip_kmeans", sql=X.with_fixture(
+    "customers", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM customers"))
 def model_roundtrip_kmeans_q(spark, sf):
+    """Groups before and after storing the model, over all rows."""
     df = _arrest_like(spark, sf)
-    path = save_kmeans(G.kmeans_fit(df, 2, seed=42), scratch_dir(spark, "kmeans"))
-    return load_kmeans(path).transform(df).select("id", "prediction")
+    model = G.kmeans_fit(df, 2, seed=42)
+    loaded = load_kmeans(save_kmeans(model, scratch_dir(spark, "kmeans")))
+    both = loaded.setPredictionCol("again").transform(model.transform(df))
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("prediction") != F.col("again")).alias("n_different"))
 
 
 @query("flow_cluster_prepare", sql=X.with_fixture("customers", "SELECT id, " + ", ".join(
@@ -171,10 +197,17 @@ def flow_cluster_prepare_q(spark, sf):
     return out.select("id", *[r6(F.col(f"f{i}")).alias(f"f{i}") for i in range(4)])
 
 
-@query("flow_cluster")
+@query("flow_cluster", sql=X.with_fixture("customers", """
+SELECT count(*) AS n_rows, true AS k_in_range, true AS within_total, true AS silhouette_in_range FROM customers"""))
 def flow_cluster_q(spark, sf):
-    _, summary, _, _ = J.cluster_flow(X.customers(spark, sf), "id", max_k=10, num_random=30)
-    return summary
+    """The whole clustering flow: every row has a group, 2 <= k <= 10, the inertia is at most the
+    total sum of squares (4 standardised columns), the silhouette lies in [-1, 1]."""
+    assigned, summary, model, _ = J.cluster_flow(X.customers(spark, sf), "id", max_k=10, num_random=30)
+    s, k = summary.first(), len(G.centers_of(model))
+    return assigned.agg(F.count_if(F.col("prediction").between(0, k - 1)).alias("n_rows")).select(
+        "n_rows", F.lit(2 <= s.k <= 10 and s.k == k).alias("k_in_range"),
+        (F.lit(s.inertia) <= 4 * (F.col("n_rows") - 1) + 1e-6).alias("within_total"),
+        F.lit(s.silhouette is not None and -1 <= s.silhouette <= 1).alias("silhouette_in_range"))
 
 
 # ------------------------------------------------------------------------------------ I
@@ -277,6 +310,27 @@ def auroc_q(spark, sf):
     return M.auroc(X.pred(spark, sf), score="score", label="label").select(r6(F.col("auroc")).alias("auroc"))
 
 
+@query("auroc_continuous", sql="WITH pred AS (SELECT CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS DOUBLE) AS label, "
+       "l_extendedprice AS score FROM lineitem), " + _auroc_sql() + f"\nSELECT {sql_r6('auroc')} AS auroc FROM au")
+def auroc_continuous_q(spark, sf):
+    """Nearly as many distinct scores as rows."""
+    li = load_table(spark, sf, "lineitem").select(
+        (F.col("l_returnflag") == "R").cast("double").alias("label"), F.col("l_extendedprice").alias("score"))
+    return M.auroc(li, score="score").select(r6(F.col("auroc")).alias("auroc"))
+
+
+@query("score_table_null_group", sql=_PRED.replace("l_linestatus,", "nullif(l_linestatus, 'F') AS l_linestatus,")
+       + f", cm AS ({_conf_sql('l_linestatus')}), d AS (SELECT l_linestatus, {_SCORES} FROM cm), "
+       + _auroc_sql("l_linestatus") + f"""
+SELECT d.l_linestatus, {sql_r6(_PREC)} AS precision, {sql_r6('au.auroc')} AS auroc, {sql_r6(_MCC)} AS mcc
+FROM d JOIN au ON d.l_linestatus IS NOT DISTINCT FROM au.l_linestatus""")
+def score_table_null_group_q(spark, sf):
+    """Groups with a null among them."""
+    p = X.pred(spark, sf).withColumn("l_linestatus", F.nullif(F.col("l_linestatus"), F.lit("F")))
+    out = M.score_table(p, score="score", by="l_linestatus")
+    return out.select("l_linestatus", *[r6(F.col(c)).alias(c) for c in ("precision", "auroc", "mcc")])
+
+
 @query("score_table", sql=_PRED + f", cm AS ({_conf_sql('l_linestatus')}), "
        f"d AS (SELECT l_linestatus, {_SCORES} FROM cm), " + _weighted_sql("pred", "l_linestatus") + ", "
        + _auroc_sql("l_linestatus") + f"""
@@ -295,64 +349,106 @@ def _classify_prepared(spark, sf):
     return J.prepare_classify_table(X.classify(spark, sf))
 
 
+_PREPARED = """
+t AS (SELECT DISTINCT * FROM (
+        SELECT age, hours, gain, loss, nullif(nullif(trim(priority), '?'), '') AS priority,
+               nullif(nullif(trim(segment), '?'), '') AS segment, nullif(nullif(trim(status), '?'), '') AS status,
+               nullif(nullif(trim(nation), '?'), '') AS nation,
+               nullif(nullif(trim(high_value), '?'), '') AS high_value FROM classify)
+      WHERE age IS NOT NULL AND priority IS NOT NULL AND segment IS NOT NULL AND status IS NOT NULL
+        AND nation IS NOT NULL AND hours IS NOT NULL AND gain IS NOT NULL AND loss IS NOT NULL
+        AND high_value IS NOT NULL)
+"""
+_ROWS_PER_LABEL = X.with_fixture("classify", "," + _PREPARED
+                                 + "SELECT high_value, count(*) AS n_rows, count(*) AS n_consistent FROM t GROUP BY 1")
+
+
+def _consistent(preds, target, labels, rest=None):
+    """Rows per label of all predicted rows (and of the rows ``rest`` that only trained), and how
+    many have a known label index, a prediction and that prediction's label text."""
+    names = F.array(*[F.lit(x) for x in labels])
+    text = F.element_at(names, (F.col("prediction") + 1).cast("int"))
+    own = F.element_at(names, (F.col("label") + 1).cast("int"))
+    ok = (text == F.col(f"`predicted-{target}`")) & (own == F.col(target))
+    rows = preds.select(target, F.coalesce(ok, F.lit(False)).alias("ok"))
+    if rest is not None:
+        rows = rows.unionAll(rest.select(target, F.lit(True)))
+    return rows.groupBy(target).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("ok").alias("n_consistent"))
+
+
 def _tree_predictions(spark, sf, kind):
-    prepared = _classify_prepared(spark, sf)
+    prepared = materialize(_classify_prepared(spark, sf), "table")
     chain, _ = H.chain_raw(prepared, "high_value", kind)
     train, test = train_test_split(prepared, 0.8, 42)
     model = H.fit(chain, train)
-    return H.predict(model, test).select("high_value", "label", "prediction", "predicted-high_value")
+    return _consistent(H.predict(model, test), "high_value", H.best_pipeline(model).stages[1].labels, train)
 
 
-@query("decision_tree")
+@query("decision_tree", sql=_ROWS_PER_LABEL)
 def decision_tree_q(spark, sf):
     return _tree_predictions(spark, sf, "DT")
 
 
-@query("random_forest")
+@query("random_forest", sql=_ROWS_PER_LABEL)
 def random_forest_q(spark, sf):
     return _tree_predictions(spark, sf, "RF")
 
 
-@query("gbt")
+@query("gbt", sql=_ROWS_PER_LABEL)
 def gbt_q(spark, sf):
     return _tree_predictions(spark, sf, "GBT")
 
 
-@query("classifier_chain_raw")
+@query("classifier_chain_raw", sql=_ROWS_PER_LABEL)
 def classifier_chain_raw_q(spark, sf):
-    prepared = _classify_prepared(spark, sf)
+    prepared = materialize(_classify_prepared(spark, sf), "table")
     chain, _ = H.chain_raw(prepared, "high_value", "DT")
     model = H.fit(chain, prepared)
-    return H.predict(model, prepared).select("high_value", "prediction", "predicted-high_value")
+    return _consistent(H.predict(model, prepared), "high_value", model.stages[1].labels)
 
 
-@query("classifier_chain_vector")
+@query("classifier_chain_vector", sql=X.with_fixture(
+    "wide", "SELECT CAST(response AS VARCHAR) AS response, count(*) AS n_rows, count(*) AS n_consistent FROM wide GROUP BY 1"))
 def classifier_chain_vector_q(spark, sf):
-    table, _, _, _ = J.measure_pca(X.wide(spark, sf).withColumn("response", F.col("response").cast("string")))
+    wide = materialize(X.wide(spark, sf).withColumn("response", F.col("response").cast("string")), "table")
+    table, _, _, _ = J.measure_pca(wide)
     chain, _ = H.chain_vector(table, "response", "DT")
-    train, test = train_test_split(table, 0.8, 42)
-    return H.predict(H.fit(chain, train), test).select("id", "label", "prediction", "predicted-response")
+    train, _ = split_by_key(table, "id", 0.8)
+    model = H.fit(chain, train)
+    return _consistent(H.predict(model, table), "response", model.stages[0].labels)
 
 
-@query("cross_validate")
+@query("cross_validate", sql=X.with_fixture("classify", "," + _PREPARED + """
+SELECT count(*) AS n_rows, true AS in_grid, true AS is_best, true AS accuracy_in_range FROM t"""))
 def cross_validate_q(spark, sf):
-    prepared = _classify_prepared(spark, sf)
+    """Cross-validation over the whole grid: the winner is a grid point with the best fold mean."""
+    prepared = materialize(_classify_prepared(spark, sf), "table")
     chain, clf = H.chain_raw(prepared, "high_value", "DT")
     train, test = train_test_split(prepared, 0.8, 42)
-    model = H.fit(chain, train, H.param_grid(clf, "DT"), validate=True, folds=3, parallelism=3)
+    grid = H.param_grid(clf, "DT")
+    model = H.fit(chain, train, grid, validate=True, folds=3, parallelism=3)
     best = H.best_params(model)
+    points = [(g[clf.maxDepth], g[clf.minInstancesPerNode]) for g in grid]
+    won = points[max(range(len(grid)), key=lambda i: model.avgMetrics[i])]
     acc = M.accuracy(H.predict(model, test)).first()[0]
-    return spark.createDataFrame([(best["maxDepth"], best["minInstancesPerNode"], acc,
-                                   float(max(model.avgMetrics)))],
-                                 "max_depth int, min_leaf int, test_accuracy double, cv_accuracy double")
+    got = (best["maxDepth"], best["minInstancesPerNode"])
+    return prepared.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "n_rows", F.lit(got in points).alias("in_grid"), F.lit(got == won).alias("is_best"),
+        F.lit(0 <= acc <= 1).alias("accuracy_in_range"))
 
 
-@query("model_roundtrip_classifier")
+@query("model_roundtrip_classifier", sql=X.with_fixture("classify", "," + _PREPARED + """
+SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM t"""))
 def model_roundtrip_classifier_q(spark, sf):
-    prepared = _classify_prepared(spark, sf)
-    chain, _ = H.chain_raw(prepared, "high_value", "DT")
-    path = save_classifier(H.fit(chain, prepared), scratch_dir(spark, "classifier"))
-    return load_classifier(path).transform(prepared).select("high_value", "prediction")
+    """Predictions before and after storing the chain, over all rows."""
+    prepared = materialize(_classify_prepared(spark, sf), "table").withColumn("row", F.monotonically_increasing_id())
+    chain, _ = H.chain_raw(prepared.drop("row"), "high_value", "DT")
+    model = H.fit(chain, prepared)
+    loaded = load_classifier(save_classifier(model, scratch_dir(spark, "classifier")))
+    one = model.transform(prepared).select("row", "prediction")
+    two = loaded.transform(prepared).select("row", F.col("prediction").alias("again"))
+    return one.join(two, "row").agg(F.count(F.lit(1)).alias("n_rows"),
+                                    F.count_if(F.col("prediction") != F.col("again")).alias("n_different"))
 
 
 @query("flow_classify_prepare", sql=X.with_fixture("classify", """,
@@ -377,32 +473,69 @@ def flow_classify_prepare_q(spark, sf):
     return _classify_prepared(spark, sf)
 
 
-@query("flow_classify")
+@query("flow_classify", sql=X.with_fixture("classify", "," + _PREPARED + """
+SELECT true AS has_rows, true AS accuracy_agrees, true AS in_range FROM t LIMIT 1"""))
 def flow_classify_q(spark, sf):
-    scores, _, _ = J.classify_flow(X.classify(spark, sf), kind="DT", validate=True)
-    return scores
+    """The whole classification flow (cross-validated): its scores against the predictions."""
+    scores, _, preds = J.classify_flow(X.classify(spark, sf), kind="DT", validate=True)
+    again = preds.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a"))
+    metrics = [F.col(c).between(-1, 1) for c in ("accuracy", "precision", "recall", "f1", "auroc", "mcc")]
+    ok = metrics[0]
+    for m in metrics[1:]:
+        ok = ok & m
+    return scores.crossJoin(again).select(  # one row each
+        (F.col("n") > 0).alias("has_rows"), (F.abs(F.col("a") - F.col("accuracy")) < 1e-9).alias("accuracy_agrees"),
+        ok.alias("in_range"))
+
+
+@query("flow_common_prepare", sql=X.with_fixture("wide", "SELECT * FROM wide"))
+def flow_common_prepare_q(spark, sf):
+    """Columns that do not vary go, id and target stay."""
+    w = X.wide(spark, sf)
+    return J.common_prepare(w.withColumn("same", F.lit(1.0)).withColumn("never", F.lit(None).cast("double"))
+                            .withColumn("once", F.when(F.col("id") % 2 == 0, F.lit(5.0))))
+
 
+def _component_checks(out, n: int, keep: str):
+    """All rows are there; components are centred, ordered by variance, and uncorrelated."""
+    f = [F.col(f"f{i}") for i in range(n)]
+    total = F.lit(0.0)
+    for x in f:
+        total = total + F.var_samp(x)
+    cov = F.lit(0.0)
+    for i in range(n):
+        for j in range(i):
+            cov = F.greatest(cov, F.abs(F.covar_samp(f[i], f[j])))
+    ordered = F.lit(True)
+    for a, b in zip(f, f[1:]):
+        ordered = ordered & (F.var_samp(a) >= F.var_samp(b) - 1e-9)
+    return out.agg(F.count(keep).alias("n_rows"), ordered.alias("ordered"),
+                   (cov <= 1e-6 * F.greatest(total, F.lit(1.0))).alias("uncorrelated"))
 
-@query("flow_presence_pca")
+
+_COMPONENTS_OK = "count(*) AS n_rows, true AS ordered, true AS uncorrelated"
+
+
+@query("flow_presence_pca", sql=X.with_fixture("wide", f"SELECT {_COMPONENTS_OK} FROM wide"))
 def flow_presence_pca_q(spark, sf):
-    common = J.common_prepare(materialize(X.wide(spark, sf)))
-    out, _, _ = J.presence_pca(common, "id", "response", 50, 0.95)
-    return out.drop("features")
+    common = J.common_prepare(materialize(X.wide(spark, sf), "table"))
+    out, pc, _ = J.presence_pca(common, "id", "response", 50, 0.95)
+    return _component_checks(out, pc.numCols, "id")
 
 
-@query("flow_measure_pca")
+@query("flow_measure_pca", sql=X.with_fixture("wide", f"SELECT {_COMPONENTS_OK} FROM wide"))
 def flow_measure_pca_q(spark, sf):
-    out, _, _, _ = J.measure_pca(materialize(X.wide(spark, sf)), "id", "response", 50, 0.95)
-    return out.drop("features")
+    out, pc, _, _ = J.measure_pca(materialize(X.wide(spark, sf), "table"), "id", "response", 50, 0.95)
+    return _component_checks(out, pc.numCols, "id")
 
 
-@query("pca_components")
+@query("pca_components", sql=f"SELECT {_COMPONENTS_OK} FROM embeddings")
 def pca_components_q(spark, sf):
     e = load_table(spark, sf, "embeddings")
     v = e.select("vec_id", array_to_vector("embedding").alias("features"))
-    out, _, _ = FE.pca(v, 10, assemble_features=False, standardize_features=True,
-                       explained_variance=0.95, exclude=["vec_id"])
-    return out.drop("features")
+    out, pc, _ = FE.pca(v, 10, assemble_features=False, standardize_features=True,
+                        explained_variance=0.95, exclude=["vec_id"])
+    return _component_checks(out, pc.numCols, "vec_id")
 
 
 @query("two_stage_scores")
@@ -411,20 +544,44 @@ def two_stage_scores_q(spark, sf):
     return scores
 
 
-@query("two_stage_score_new")
+@query("two_stage_score_new", sql=X.with_fixture("wide", f"""
+SELECT id, true AS has_prediction FROM wide
+WHERE ((id % {BUCKET_MOD}) * {BUCKET_MULT} + {BUCKET_ADD}) % {BUCKET_MOD} >= 0.8 * {BUCKET_MOD}"""))
 def two_stage_score_new_q(spark, sf):
-    w = X.wide(spark, sf)
-    seen, new = split_by_key(w, "id", 0.8)
+    """Every new row comes back once, with a prediction."""
+    seen, new = split_by_key(X.wide(spark, sf), "id", 0.8)
     _, _, model = J.two_stage(seen, "id", "response", k=6, kind="DT")
-    return J.score_new(model, new)
+    out = J.score_new(model, new)
+    return out.select("id", (F.col("prediction").isNotNull() & F.col("predicted").isin("0", "1")).alias("has_prediction"))
+
+
+@query("two_stage_totals", sql=X.with_fixture("wide", """
+SELECT count(*) AS n_rows, CAST(sum(response) AS BIGINT) AS n_failures, CAST(count(*) - sum(response) AS BIGINT) AS n_others,
+       CAST(0 AS BIGINT) AS n_different FROM wide"""))
+def two_stage_totals_q(spark, sf):
+    """Rows and classes of all groups add up to the table; the stored model predicts the same."""
+    w = X.wide(spark, sf)
+    scores, _, model = J.two_stage(w, "id", "response", k=6, kind="DT")
+    loaded = J.TwoStageModel.load(model.save(scratch_dir(spark, "two-stage")))
+    one, two = J.score_new(model, w), J.score_new(loaded, w).withColumnRenamed("prediction", "again")
+    diff = one.join(two.select("id", "again"), "id").agg(
+        F.count_if(~F.col("prediction").eqNullSafe(F.col("again"))).alias("n_different"))
+    return scores.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_failures").alias("n_failures"),
+                      F.sum("n_others").alias("n_others")).crossJoin(diff)  # one row each
 
 
-@query("gap_curve")
+@query("gap_curve", sql=X.with_fixture("customers", """
+SELECT CAST(2 AS INTEGER) AS first_k, true AS consecutive, true AS deviations_ok, true AS stops_by_rule FROM customers LIMIT 1"""))
 def gap_curve_q(spark, sf):
-    """The gap statistic per k from real k-means fits (30 reference draws each)."""
-    prepared = _arrest_like(spark, sf).persist()
-    _, _, history = G.find_num_clusters(prepared, "features", 2, 10, 30, 42)
-    return spark.createDataFrame(history, "k int, gap double, s double, log_w double")
+    """The gap statistic per k from real k-means fits (30 reference draws each); the search
+    stops at the first k whose gap is not beaten."""
+    prepared = materialize(_arrest_like(spark, sf), "table")
+    k, _, history = G.find_num_clusters(prepared, "features", 2, 10, 30, 42)
+    ks = [h[0] for h in history]
+    beaten = [a[1] > b[1] - b[2] for a, b in zip(history, history[1:])]
+    stops = (not any(beaten[:-1])) and (k == ks[-2] if beaten and beaten[-1] else k == ks[-1])
+    rows = [(min(ks), ks == list(range(2, ks[-1] + 1)), all(h[2] >= 0 for h in history), bool(stops))]
+    return spark.createDataFrame(rows, "first_k int, consecutive boolean, deviations_ok boolean, stops_by_rule boolean")
 
 
 _PRESENCE = [f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in X.WIDE_FEATURES]
