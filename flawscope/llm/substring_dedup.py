@@ -6,6 +6,8 @@ So it is enough to hash the ``window - p + 1`` words after the positions in C (t
 of 7 for windows of 13 words): a window that occurs twice shares an aligned anchor.  Only windows around anchors that occur in several documents are
 hashed in full (128 bits) and compared; the smallest doc_id of each decides.
 
+0. exact copies of a smaller doc_id's text are found by a hash of the text alone; all their windows
+   are repeated, so they ask for nothing;
 1. every block sends its distinct anchors to buckets; those of two or more blocks come back
    (anchors that two documents of one block share are seen inside the block);
 2. every block extends its shared anchors to whole windows and sends their distinct hashes
@@ -19,14 +21,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flawscope.llm.blocks import (block_count, bucket_rows, counts_of, in_blocks, joined,
-                                  joined_hashes, per_run)
+from flawscope.llm.blocks import (block_count, bucket_rows, counts_of, joined, joined_hashes,
+                                  per_run)
 from flawscope.llm.text import (M2, Stream, pair_runs, rolling, runs, signed, space_words,
                                 unsigned, utf8)
 
@@ -38,6 +41,7 @@ ASK = "block int, bucket int, key array<bigint>"
 ASK_WINDOWS = "block int, bucket int, key array<bigint>, more array<bigint>, doc array<bigint>"
 TOLD = "block int, key array<bigint>"
 TOLD_WINDOWS = "block int, key array<bigint>, more array<bigint>"
+TOLD_COLUMNS = ("block", "key", "more", "copy")
 RESULT = ["doc_id long", "n_words long", "n_removed long", "kept_sha256 string", "kept_text string"]
 
 
@@ -47,18 +51,19 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
     return period, COVERS[period]
 
 
-def _documents(pdf: pd.DataFrame):
+def _documents(pdf: pd.DataFrame, told: pd.DataFrame):
+    """Ids, words, and which rows are exact copies of a smaller doc_id's text."""
     ids = pd.to_numeric(pdf["doc_id"]).astype("Int64")
-    return ids, [space_words(t) for t in pdf["text"]]
+    return ids, [space_words(t) for t in pdf["text"]], np.isin(pdf["row"].to_numpy(), joined(told["copy"]))
 
 
-def _anchors(s: Stream, ids: pd.Series, window: int):
-    """Positions and hashes of the anchors of all documents that can hold a window."""
+def _anchors(s: Stream, asks: np.ndarray, window: int):
+    """Positions and hashes of the anchors of all documents that ask and can hold a window."""
     period, cover = cover_for(window)
     width = window - period + 1
     h = rolling(s.hashes, width)
     at = np.flatnonzero(np.isin(s.place % period, cover) & (s.left >= width)
-                        & (s.lens[s.owner] >= window) & ids.notna().to_numpy()[s.owner])
+                        & (s.lens[s.owner] >= window) & asks[s.owner])
     return at, h[at] if len(h) else np.empty(0, np.uint64)
 
 
@@ -73,9 +78,9 @@ def _of_two(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def ask_anchors(window: int, buckets: int):
-    def ask(key, pdf):
-        ids, words = _documents(pdf)
-        _, h = _anchors(Stream(words), ids, window)
+    def ask(key, pdf, told):
+        ids, words, copy = _documents(pdf, told)
+        _, h = _anchors(Stream(words), ids.notna().to_numpy() & ~copy, window)
         return bucket_rows(key[0], buckets, np.unique(h))
     return ask
 
@@ -95,9 +100,10 @@ def tell_anchors(pdf):
 
 def ask_windows(window: int, buckets: int):
     def ask(key, pdf, told):
-        ids, words = _documents(pdf)
+        ids, words, copy = _documents(pdf, told)
         s = Stream(words)
-        at, h = _anchors(s, ids, window)
+        asks = ids.notna().to_numpy() & ~copy
+        at, h = _anchors(s, asks, window)
         hit = at[np.isin(h, joined_hashes(told["key"])) | np.isin(h, _of_two(h, s.owner[at]))]
         near = np.zeros(s.total, bool)
         for back in range(cover_for(window)[0]):
@@ -177,13 +183,13 @@ def _kept_text(text: str, removed: np.ndarray) -> str:
 
 def mark(window: int, keep_text: bool, carry: tuple[str, ...]):
     def answer(key, pdf, told):
-        ids, words = _documents(pdf)
+        ids, words, copy = _documents(pdf, told)
         s = Stream(words)
-        starts = _repeated(s, ids.to_numpy(np.int64, na_value=0), ids.notna().to_numpy(), window, told)
+        starts = _repeated(s, ids.to_numpy(np.int64, na_value=0), ids.notna().to_numpy() & ~copy, window, told)
         edge = np.zeros(s.total + 1, np.int64)
         np.add.at(edge, starts, 1)
         np.subtract.at(edge, starts + window, 1)
-        gone = np.cumsum(edge[:-1]) > 0
+        gone = (np.cumsum(edge[:-1]) > 0) | (copy & (s.lens >= window))[s.owner]
         n_gone = np.bincount(s.owner[gone], minlength=len(ids))
         shas, kept = [], []
         for i, (w, text) in enumerate(zip(words, pdf["text"])):
@@ -213,17 +219,33 @@ def substring_dedup(docs: DataFrame, window: int = 13, keep_text: bool = True,
     the same doc_id do not take from each other.  Extra columns are ignored.  An empty table
     gives an empty result.
     """
-    if clash := {"block", *(x.split()[0] for x in RESULT), "text"} & set(carry):
+    if clash := {"block", "row", *(x.split()[0] for x in RESULT), "text"} & set(carry):
         raise ValueError(f"columns cannot be carried under these names: {sorted(clash)}")
     if window < 5:
         raise ValueError("window must be at least 5 words")
     n = block_count(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
-    blocks = in_blocks(rows, n, "doc_id", "text", *carry)
+    blocks = (rows.withColumn("row", F.xxhash64("doc_id", "text"))
+              .select(F.pmod("row", F.lit(n)).cast("int").alias("block"), "row", "doc_id", "text", *carry))
     by_block = blocks.groupBy("block")
-    shared = (by_block.applyInPandas(ask_anchors(window, n), ASK)
+
+    heads = blocks.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
+        "block", "row", "doc_id", F.md5(F.col("text").cast("binary")).alias("same"))
+    first = (heads.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+             .where("first < last").drop("last"))
+    copies = heads.join(first, "same").where("doc_id > first") \
+        .select((F.col("block") + 0).alias("block"), F.array("row").alias("copy"))
+
+    def by_told(*parts):
+        """What the blocks are told, all kinds in one table (a null array where there is none)."""
+        every = reduce(DataFrame.unionAll, [p.select(*[
+            F.col(c) if c in p.columns else F.lit(None).cast("array<bigint>").alias(c) for c in TOLD_COLUMNS])
+            for p in parts])
+        return by_block.cogroup(every.groupBy("block"))
+
+    shared = (by_told(copies).applyInPandas(ask_anchors(window, n), ASK)
               .groupBy("bucket").applyInPandas(tell_anchors, TOLD))
-    late = (by_block.cogroup(shared.groupBy("block")).applyInPandas(ask_windows(window, n), ASK_WINDOWS)
+    late = (by_told(copies, shared).applyInPandas(ask_windows(window, n), ASK_WINDOWS)
             .groupBy("bucket").applyInPandas(tell_windows, TOLD_WINDOWS))
-    return by_block.cogroup(late.groupBy("block")).applyInPandas(
+    return by_told(copies, late).applyInPandas(
         mark(window, keep_text, carry), ", ".join(RESULT + [f"`{c}` {t}" for c, t in rows.dtypes if c in carry]))
