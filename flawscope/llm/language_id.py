@@ -29,6 +29,7 @@ from flawscope.llm.text import utf8
 
 DOCS_PER_LANGUAGE = 300
 ORDER = 3
+SALTS = 16
 CHUNK_BYTES = 1_000_000  # bytes that a task scores at once
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -64,8 +65,11 @@ def _contexts(order: int):
 def _chosen(train: DataFrame, per_language: int) -> DataFrame:
     """Of each language the documents with the smallest hashes; one number a language is collected."""
     h = F.xxhash64("doc_id")
-    first = Window.partitionBy("lang").orderBy("h")
-    cuts = (train.select("lang", h.alias("h")).withColumn("i", F.row_number().over(first))
+    salt = F.pmod(F.hash("h"), F.lit(SALTS))  # a language may hold most rows: the first of each part, then of all
+    first = Window.partitionBy("lang", "salt").orderBy("h")
+    part = (train.select("lang", h.alias("h")).withColumn("salt", salt).withColumn("i", F.row_number().over(first))
+            .where(F.col("i") <= per_language))
+    cuts = (part.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
             .where(F.col("i") <= per_language).groupBy("lang").agg(F.max("h").alias("cut")).collect())
     if not cuts:
         return train.limit(0)
