@@ -1,16 +1,18 @@
 """License scan: MinHash bands over overlapping text windows, then exact containment.
 
-A text's words are cut into segments of ``step`` two-word shingles; a window is two
-neighbouring segments, so windows overlap by half.  A window's MinHash values are the smaller
-ones of its two segments.  Each of ``bands`` values is a band of its own: a window retrieves
-every template with an equal value.  A notice of m shingles that lies in a window of 2 * step
-has a similarity of m / (2 * step) or more to it and is missed with a probability of
+Windows of 2 * ``step`` two-word shingles start at every multiple of ``step`` of a text, so they
+overlap by half. Each of a window's ``bands`` MinHash values is a band of its own: a window
+retrieves every template with an equal value.  A notice of m shingles that lies in a window of
+2 * step has a similarity of m / (2 * step) or more to it and is missed with a probability of
 (1 - m / (2 * step)) ** bands: 2e-6 for 4 shingles, 3e-8 for 5 with the default of 32 bands
 and a step of 6.  What is retrieved is verified exactly: the share of the template's shingles
 in the window must be ``percent`` or more.
 
-All work is done in DataFrame expressions; texts are shuffled once, by row, so the windows of
-a document are made, and verified, where its text is.
+Equal MinHash values come from equal shingles, so only windows with some shingle of some
+template can share a band with it; MinHash values are computed for those, where the text is.
+No text is shuffled.
+
+All work is done in DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -18,8 +20,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flawscope.llm.blocks import BLOCK_BYTES
-
 STEP = 6
 BANDS = 32
 PERCENT = 80
@@ -52,11 +52,6 @@ def shingles(w) -> Column:
     return F.when(n >= 2, two).when(n == 1, F.transform(w, lambda a: F.hash(a))).otherwise(F.array().cast("array<int>"))
 
 
-def _minhash(h: Column, band: int) -> Column:
-    """The band's hash of a shingle (integer arithmetic that wraps)."""
-    return F.hash(h, F.lit(band))
-
-
 def template_rows(spark: SparkSession, notices: dict[str, str]) -> DataFrame:
     rows = [F.struct(F.lit(k).alias("license"), F.lit(v).alias("notice")) for k, v in notices.items()]
     return spark.range(1).select(F.inline(F.array(*rows)))
@@ -75,41 +70,30 @@ def license_scan(docs: DataFrame, notices: dict[str, str] = NOTICES, step: int =
     Null and empty texts have no words and give no row.  Equal rows are one document; rows with
     equal or null doc_id and other texts are judged each.  Extra columns are ignored.
     """
-    values = [f"m{j}" for j in range(bands)]
-    mins = [F.min(_minhash(F.col("h"), j)).alias(v) for j, v in enumerate(values)]
     templates = template_rows(docs.sparkSession, notices).select(
         "license", F.array_distinct(shingles(words(F.col("notice")))).alias("template")).where(F.size("template") > 0)
-    signed = templates.select("license", F.explode("template").alias("h")).groupBy("license").agg(*mins)
-    known = signed.collect()  # a row per notice
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    texts = (rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-             .repartition(max(1, -(-size // BLOCK_BYTES)), "row")
-             .select("doc_id", "row", shingles(words(F.col("text"))).alias("s")))
-
-    # MinHash values of segments, then of windows: window w has segments w and w + 1
-    segments = (texts.select("row", F.posexplode("s").alias("at", "h"))
-                .select("row", F.expr(f"at div {step}").alias("segment"), "h")
-                .groupBy("row", "segment").agg(*mins))
-    windows = (segments.select("row", F.explode(F.array("segment", F.col("segment") - 1)).alias("window"), *values)
-               .where("window >= 0").groupBy("row", "window").agg(*(F.min(v).alias(v) for v in values)))
-
-    # retrieval: windows with a band value of some notice, then which notices
-    hit = F.lit(False)
-    for v in values:
-        hit = hit | F.col(v).isin([r[v] for r in known])
-    as_bands = F.explode(F.array(*(F.struct(F.lit(j).alias("band"), F.col(v).alias("value"))
-                                   for j, v in enumerate(values)))).alias("b")
-    retrieved = (windows.where(hit).select("row", "window", as_bands).select("row", "window", "b.*")
-                 .join(F.broadcast(signed.select("license", as_bands).select("license", "b.*")), ["band", "value"])
-                 .select("row", "window", "license").distinct())
-
-    # verification on the shingles of the window itself
-    in_window = F.slice("s", (F.col("window") * step + 1).cast("int"), F.lit(2 * step))
-    found = F.size(F.array_intersect(in_window, "template"))
-    return (texts.join(retrieved, "row").join(F.broadcast(templates), "license")
-            .withColumn("found", found).where(F.col("found") * 100 >= F.size("template") * percent)
+    known = sorted({h for r in templates.collect() for h in r["template"]})  # as many as the notices have
+
+    def minhashes(s):
+        """The bands of an array of shingles: (band, value) rows."""
+        value = lambda j: F.array_min(F.transform(s, lambda h: F.hash(h, F.lit(j))))
+        return F.explode(F.array(*[F.struct(F.lit(j).alias("band"), value(j).alias("value")) for j in range(bands)]))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"),
+                        shingles(words(F.col("text"))).alias("s"))
+    seeds = (texts.select("doc_id", "row", "s", F.posexplode("s").alias("at", "h")).where(F.col("h").isin(known))
+             .select("doc_id", "row", "s", F.expr(f"at div {step}").alias("last")))
+    windows = (seeds.select("doc_id", "row", "s", F.explode(F.array("last", F.col("last") - 1)).alias("window"))
+               .where("window >= 0")
+               .select("doc_id", "row", "window", F.slice("s", (F.col("window") * step + 1).cast("int"), F.lit(2 * step))
+                       .alias("part")).distinct())
+    retrieved = (windows.select("doc_id", "row", "window", "part", minhashes(F.col("part")).alias("b"))
+                 .select("doc_id", "row", "window", "part", "b.*")
+                 .join(F.broadcast(templates.select("license", "template", minhashes(F.col("template")).alias("b"))
+                                   .select("license", "template", "b.*")), ["band", "value"])
+                 .select("doc_id", "row", "window", "part", "license", "template").distinct())
+    found = F.size(F.array_intersect("part", "template"))
+    return (retrieved.withColumn("found", found).where(F.col("found") * 100 >= F.size("template") * percent)
             .groupBy("doc_id", "row", "license")
             .agg(F.countDistinct("window").alias("n_windows"), F.max("found").cast("long").alias("n_found"),
                  F.max(F.size("template")).cast("long").alias("n_shingles"))
