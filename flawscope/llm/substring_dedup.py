@@ -35,6 +35,7 @@ from flawscope.llm.text import (M2, Stream, pair_runs, rolling, runs, signed, sp
 
 # Perfect difference sets: each remainder but 0 is one difference of two members
 COVERS = {3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
+SALTS = 16  # a text that a third of all rows have is joined in so many parts
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 ASK = "block int, bucket int, key array<bigint>"
@@ -232,8 +233,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, keep_text: bool = True,
     heads = blocks.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         "block", "row", "doc_id", F.md5(F.col("text").cast("binary")).alias("same"))
     first = (heads.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-             .where("first < last").drop("last"))
-    copies = heads.join(first, "same").where("doc_id > first") \
+             .where("first < last").select("same", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    salted = heads.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    copies = salted.join(first, ["same", "salt"]).where("doc_id > first") \
         .select((F.col("block") + 0).alias("block"), F.array("row").alias("copy"))
 
     def by_told(*parts):
