@@ -189,6 +189,12 @@ def group_stats(df: DataFrame, group: str, columns: Sequence[str]) -> dict:
     return out
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """A small group's few files dealt over all cores (a large group has partitions enough)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, q(key)) if df.rdd.getNumPartitions() < cores else df
+
+
 def _reduce(df: DataFrame, id_col: str, target: str, means: dict[str, float], max_components: int,
             explained: float):
     """The varying columns, imputed with their means, reduced by PCA; and the chain that replays it."""
@@ -294,7 +300,7 @@ def two_stage(df: DataFrame, id_col: str = "id", target: str = "response", k: in
             model.majority[c] = (0.0, top)
             return
         _, _, chain, _ = _reduce(part, id_col, target, means[c], max_components, explained)
-        table = reduced_rows(c, chain).where(q(target).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+        table = _spread(reduced_rows(c, chain).where(q(target).isNotNull()), id_col).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             pipe, clf = C.chain_vector(table, target, kind, settings=settings, positive_label=positive_label)
             train, _ = split_by_key(table, id_col, 0.8)
