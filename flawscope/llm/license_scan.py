@@ -12,14 +12,19 @@ Equal MinHash values come from equal shingles, so only windows with some shingle
 template can share a band with it; MinHash values are computed for those, where the text is.
 No text is shuffled.
 
-All work is done in DataFrame expressions.
+``license_places`` judges the containment at every start position, for templates of any length:
+see there.  All work is done in DataFrame expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flawscope.session import materialize
+
 STEP = 6
 BANDS = 32
 PERCENT = 80
@@ -37,6 +42,48 @@ NOTICES = {
     "MPL-2.0": "This file is subject to the Mozilla Public License, version 2.0.",
 }
 
+# Whole texts and file headers of the same licenses
+TEXTS = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file
+        except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
+        software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+        CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+        permissions and limitations under the License.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+        associated documentation files (the "Software"), to deal in the Software without restriction, including
+        without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+        copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+        following conditions: The above copyright notice and this permission notice shall be included in all
+        copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+        KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+        PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR
+        ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+        OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    **{f"GPL-{v}.0": f"""This program is free software; you can redistribute it and/or modify it under the terms of
+        the GNU General Public License as published by the Free Software Foundation; either version {v} of the
+        License, or (at your option) any later version. This program is distributed in the hope that it will be
+        useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+        PARTICULAR PURPOSE. See the GNU General Public License for more details.""" for v in (2, 3)},
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are
+        permitted provided that the following conditions are met: 1. Redistributions of source code must retain
+        the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in
+        binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the
+        name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+        derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE
+        COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+        LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+        IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+        GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+        THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+        ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of
+        the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+TEMPLATES = [*NOTICES.items(), *TEXTS.items()]  # (license, text); a license can have several
+
 
 def words(text) -> Column:
     """Lower-cased runs of letters and digits."""
@@ -98,3 +145,75 @@ def license_scan(docs: DataFrame, notices: dict[str, str] = NOTICES, step: int =
             .agg(F.countDistinct("window").alias("n_windows"), F.max("found").cast("long").alias("n_found"),
                  F.max(F.size("template")).cast("long").alias("n_shingles"))
             .drop("row"))
+
+
+def templates_of(spark: SparkSession, templates: list[tuple[str, str]], percent: int) -> DataFrame:
+    """t (number), license, template (distinct shingles), n_shingles, reach (shingles of text that are
+    judged at once: the length of the template and as much more as percent leaves open)."""
+    rows = [F.struct(F.lit(t).alias("t"), F.lit(k).alias("license"), F.lit(v).alias("notice"))
+            for t, (k, v) in enumerate(templates)]
+    return (spark.range(1).select(F.inline(F.array(*rows)))
+            .select("t", "license", shingles(words(F.col("notice"))).alias("s")).where(F.size("s") > 0)
+            .select("t", "license", F.array_distinct("s").alias("template"),
+                    F.size(F.array_distinct("s")).alias("n_shingles"),
+                    F.expr(f"cast((size(s) * 100 + {percent - 1}) div {percent} as int)").alias("reach")))
+
+
+def license_places(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
+                   percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text) and place where a template is: doc_id, row, t, license, start, end,
+    n_found, n_shingles, held.
+
+    The distinct shingles of a template of n (with repeats) are counted in the ``reach`` = n * 100 / ``percent``
+    shingles from every start position of a text on; neighbouring starts with ``percent`` or more of them
+    are one place.  Its start is the last one with the most shingles (n_found, held), its end is behind the
+    last of those.
+
+    Exact, whatever the template's length and alignment: of a template's m shingles a place lacks at
+    most m - m * ``percent`` / 100, so it holds one of any more than that; texts that hold none of
+    each template's so many rarest go no further.  A shingle that was last before at q and stands at p
+    counts for the starts after q and p - reach up to p; the counts of all starts are the running sum of that.
+    """
+    known = templates_of(docs.sparkSession, templates, percent)
+    listed = [r["template"] for r in known.collect()]  # as many as the templates have
+    often = Counter(h for x in listed for h in x)
+    seeds = sorted({h for x in listed for h in sorted(x, key=lambda h: (often[h], h))
+                    [:len(x) - -(-len(x) * percent // 100) + 1]})
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"),
+                        shingles(words(F.col("text"))).alias("s")).where(F.arrays_overlap("s", F.lit(seeds)))
+    of_shingle = Window.partitionBy("row", "t", "h").orderBy("at")
+    hits = materialize(
+        texts.select("doc_id", "row", F.posexplode("s").alias("at", "h"))
+        .join(F.broadcast(known.withColumn("h", F.explode("template")).drop("template")), "h")
+        .repartition("row", "t").withColumn("before", F.coalesce(F.lag("at").over(of_shingle), F.lit(-1))), "table")
+
+    counts = F.array(F.struct(F.greatest(F.col("before") + 1, F.col("at") - F.col("reach") + 1).alias("at"), F.lit(1).alias("d")),
+                     F.struct((F.col("at") + 1).alias("at"), F.lit(-1).alias("d")))
+    key, by_start = ["doc_id", "row", "t", "license", "n_shingles", "reach"], Window.partitionBy("row", "t").orderBy("at")
+    found = (hits.select(*key, F.inline(counts)).groupBy(*key, "at").agg(F.sum("d").alias("d"))
+             .withColumn("n_found", F.sum("d").over(by_start)).withColumn("next", F.lead("at").over(by_start))
+             .withColumn("good", F.col("n_found") * 100 >= F.col("n_shingles") * percent))
+    new = (F.col("good") & ~F.lag("good", 1, False).over(by_start)).cast("int")
+    places = (found.withColumn("new", new).withColumn("place", F.sum("new").over(by_start)).where("good")
+              .groupBy(*key, "place").agg(F.max(F.struct("n_found", (F.col("next") - 1).alias("start"))).alias("best"))
+              .select(*key, "best.*"))
+    part = places.withColumn("part", F.explode(F.expr("array(start div reach, start div reach + 1)")))
+    held = hits.select("row", "t", "h", "at", "before", F.expr("at div reach").alias("part"))
+    return (part.join(held, ["row", "t", "part"]).where("at >= start and at < start + reach and before < start")
+            .groupBy("doc_id", "row", "t", "license", "start", "n_found", "n_shingles")
+            .agg((F.max("at") + 1).alias("end"), F.collect_set("h").alias("held")))
+
+
+def license_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
+                    percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text) and license found: doc_id, license, n_places, n_found (most
+    shingles of a template at one place), n_shingles (of that template).
+
+    See ``license_places``.  Null and empty texts have no words and give no row.  Equal rows are one
+    document; rows with equal or null doc_id and other texts are judged each.  Extra columns are ignored.
+    """
+    best = F.max(F.struct("n_found", (-F.col("n_shingles")).alias("m")))
+    return (license_places(docs, templates, percent).groupBy("doc_id", "row", "license")
+            .agg(F.countDistinct("t", "start").alias("n_places"), best.alias("b"))
+            .select("doc_id", "license", "n_places", F.col("b.n_found").cast("long").alias("n_found"),
+                    (-F.col("b.m")).cast("long").alias("n_shingles")))

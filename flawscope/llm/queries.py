@@ -248,6 +248,13 @@ def op4_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+@query("license_matches")
+def license_matches(spark, sf_dir):
+    from flawscope.llm.license_scan import license_matches
+
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
 # --------------------------------------------------------------------------------- pipeline
 
 @query("pipeline")
