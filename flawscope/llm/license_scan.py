@@ -159,15 +159,25 @@ def templates_of(spark: SparkSession, templates: list[tuple[str, str]], percent:
                     F.expr(f"cast((size(s) * 100 + {percent - 1}) div {percent} as int)").alias("reach")))
 
 
+def _rivals(known: DataFrame, percent: int) -> DataFrame:
+    """t, apart: for each template of another license that shares ``percent`` of t's shingles, those that it
+    does not share."""
+    other = known.select(F.col("license").alias("l"), F.col("template").alias("o"))
+    apart = F.array_except("template", "o")
+    return (known.join(F.broadcast(other), F.col("license") != F.col("l"))
+            .where((F.size(F.array_intersect("template", "o")) * 100 >= F.col("n_shingles") * percent) & (F.size(apart) > 0))
+            .groupBy("t").agg(F.collect_list(apart).alias("apart")))
+
+
 def license_places(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                    percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text) and place where a template is: doc_id, row, t, license, start, end,
-    n_found, n_shingles, held.
+    """Per row of ``docs`` (doc_id, text), template and start position that holds it: doc_id, row, t, license,
+    start, end, n_found, n_shingles, held.
 
     The distinct shingles of a template of n (with repeats) are counted in the ``reach`` = n * 100 / ``percent``
-    shingles from every start position of a text on; neighbouring starts with ``percent`` or more of them
-    are one place.  Its start is the last one with the most shingles (n_found, held), its end is behind the
-    last of those.
+    shingles from every position on where one of them stands; ``percent`` or more of them are a
+    place (n_found).  Its end is behind the last of the first occurrences; held are those shingles by
+    which the template differs from one that is nearly the same.
 
     Exact, whatever the template's length and alignment: of a template's m shingles a place lacks at
     most m - m * ``percent`` / 100, so it holds one of any more than that; texts that hold none of
@@ -179,41 +189,63 @@ def license_places(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     often = Counter(h for x in listed for h in x)
     seeds = sorted({h for x in listed for h in sorted(x, key=lambda h: (often[h], h))
                     [:len(x) - -(-len(x) * percent // 100) + 1]})
+    marks = _rivals(known, percent).select("t", F.explode(F.flatten("apart")).alias("h")).distinct().withColumn("mark", F.lit(True))
+    postings = known.withColumn("h", F.explode("template")).drop("template").join(F.broadcast(marks), ["t", "h"], "left")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"),
                         shingles(words(F.col("text"))).alias("s")).where(F.arrays_overlap("s", F.lit(seeds)))
     of_shingle = Window.partitionBy("row", "t", "h").orderBy("at")
     hits = materialize(
-        texts.select("doc_id", "row", F.posexplode("s").alias("at", "h"))
-        .join(F.broadcast(known.withColumn("h", F.explode("template")).drop("template")), "h")
+        texts.select("doc_id", "row", F.posexplode("s").alias("at", "h")).join(F.broadcast(postings), "h")
         .repartition("row", "t").withColumn("before", F.coalesce(F.lag("at").over(of_shingle), F.lit(-1))), "table")
 
     counts = F.array(F.struct(F.greatest(F.col("before") + 1, F.col("at") - F.col("reach") + 1).alias("at"), F.lit(1).alias("d")),
                      F.struct((F.col("at") + 1).alias("at"), F.lit(-1).alias("d")))
     key, by_start = ["doc_id", "row", "t", "license", "n_shingles", "reach"], Window.partitionBy("row", "t").orderBy("at")
-    found = (hits.select(*key, F.inline(counts)).groupBy(*key, "at").agg(F.sum("d").alias("d"))
-             .withColumn("n_found", F.sum("d").over(by_start)).withColumn("next", F.lead("at").over(by_start))
-             .withColumn("good", F.col("n_found") * 100 >= F.col("n_shingles") * percent))
-    new = (F.col("good") & ~F.lag("good", 1, False).over(by_start)).cast("int")
-    places = (found.withColumn("new", new).withColumn("place", F.sum("new").over(by_start)).where("good")
-              .groupBy(*key, "place").agg(F.max(F.struct("n_found", (F.col("next") - 1).alias("start"))).alias("best"))
-              .select(*key, "best.*"))
+    places = (hits.select(*key, F.inline(counts)).groupBy(*key, "at").agg(F.sum("d").alias("d"), F.min("d").alias("least"))
+              .select(*key, F.sum("d").over(by_start).alias("n_found"), (F.lead("at").over(by_start) - 1).alias("start"),
+                      (F.lead("least").over(by_start) < 0).alias("here"))
+              .where("here and n_found * 100 >= n_shingles * %d" % percent))
     part = places.withColumn("part", F.explode(F.expr("array(start div reach, start div reach + 1)")))
-    held = hits.select("row", "t", "h", "at", "before", F.expr("at div reach").alias("part"))
+    held = hits.select("row", "t", "h", "mark", "at", "before", F.expr("at div reach").alias("part"))
     return (part.join(held, ["row", "t", "part"]).where("at >= start and at < start + reach and before < start")
             .groupBy("doc_id", "row", "t", "license", "start", "n_found", "n_shingles")
-            .agg((F.max("at") + 1).alias("end"), F.collect_set("h").alias("held")))
+            .agg((F.max("at") + 1).alias("end"), F.collect_set(F.when(F.col("mark"), F.col("h"))).alias("held")))
 
 
 def license_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                     percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text) and license found: doc_id, license, n_places, n_found (most
-    shingles of a template at one place), n_shingles (of that template).
+    shingles of a template at one place), n_shingles (of that template), sure.
+
+    See ``license_places``.  Of places that overlap, the one that holds the most shingles counts, among
+    equals that of the template with the fewest, then the shortest: a place goes when it overlaps one of
+    its own license that counts, or lies by half (of the shorter one) in others.  What is still equal
+    (a GPL notice without its version) comes back for each license, not ``sure``; nor is a place
+    ``sure`` that has no shingle by which the template differs from one that is nearly the same ('CC BY-ND
+    4.0', of which there is no template, holds four of the five shingles of CC-BY-4.0).
 
-    See ``license_places``.  Null and empty texts have no words and give no row.  Equal rows are one
-    document; rows with equal or null doc_id and other texts are judged each.  Extra columns are ignored.
+    Null and empty texts have no words and give no row.  Equal rows are one document; rows with
+    equal or null doc_id and other texts are judged each.  Extra columns are ignored.
     """
-    best = F.max(F.struct("n_found", (-F.col("n_shingles")).alias("m")))
-    return (license_places(docs, templates, percent).groupBy("doc_id", "row", "license")
-            .agg(F.countDistinct("t", "start").alias("n_places"), best.alias("b"))
+    rivals = _rivals(templates_of(docs.sparkSession, templates, percent), percent)
+    told = F.coalesce(F.forall("apart", lambda a: F.arrays_overlap(a, "held")), F.lit(True))
+    in_text = Window.partitionBy("row").orderBy("start", "end", "t")
+    before = F.max("end").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    chains = (license_places(docs, templates, percent).join(F.broadcast(rivals), "t", "left").withColumn("told", told)
+              .withColumn("new", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
+              .withColumn("chain", F.sum("new").over(in_text)).groupBy("doc_id", "row", "chain")
+              .agg(F.array_sort(F.collect_list(F.struct(
+                  (-F.col("n_found")).alias("less"), F.col("n_shingles").alias("m"), (F.col("end") - F.col("start")).alias("n"),
+                  "start", "end", "license", "told"))).alias("places")))
+    both = "greatest(0, least(k.end, x.end) - greatest(k.start, x.start))"
+    other = "k.license <> x.license and (k.less <> x.less or k.m <> x.m)"
+    kept = F.expr(f"""aggregate(places, slice(places, 1, 0), (kept, x) -> if(
+        exists(kept, k -> k.license = x.license and {both} > 0 or {other} and 2 * {both} >= least(k.n, x.n))
+        or 2 * aggregate(kept, 0, (n, k) -> n + if({other}, {both}, 0)) >= x.n, kept, array_append(kept, x)))""")
+    sure = F.expr(f"x.told and not exists(kept, k -> k.license <> x.license and 2 * {both} >= least(k.n, x.n))")
+    best = F.max(F.struct((-F.col("x.less")).alias("n_found"), (-F.col("x.m")).alias("m")))
+    return (chains.withColumn("kept", kept).select("doc_id", "row", "kept", F.explode("kept").alias("x"))
+            .groupBy("doc_id", "row", F.col("x.license").alias("license"))
+            .agg(F.count("*").alias("n_places"), best.alias("b"), F.max(sure).alias("sure"))
             .select("doc_id", "license", "n_places", F.col("b.n_found").cast("long").alias("n_found"),
-                    (-F.col("b.m")).cast("long").alias("n_shingles")))
+                    (-F.col("b.m")).cast("long").alias("n_shingles"), "sure"))

@@ -15,27 +15,29 @@ def _shingles(text):
 
 
 def brute(docs, templates, percent=80):
-    """(doc_id, t, n_found) of each run of starts that hold ``percent`` of a template."""
+    """(doc_id, t, start, end, n_found) of each start that holds ``percent`` of a template."""
     out = []
     for i, text in docs:
         s = _shingles(text)
         for t, (_, notice) in enumerate(templates):
             seq = _shingles(notice)
-            m, reach, best = set(seq), -(-len(seq) * 100 // percent), 0
-            for at in range(len(s) + 1):
-                n = len(m & set(s[at:at + reach]))
-                if n * 100 >= len(m) * percent:
-                    best = max(best, n)
-                elif best:
-                    out.append((i, t, best))
-                    best = 0
+            m, reach = set(seq), -(-len(seq) * 100 // percent)
+            for at in range(len(s)):
+                first = {}
+                for j in range(at, min(at + reach, len(s)) if s[at] in m else at):
+                    if s[j] in m:
+                        first.setdefault(s[j], j)
+                if first and len(first) * 100 >= len(m) * percent:
+                    out.append((i, t, at, max(first.values()) + 1, len(first)))
     return sorted(out)
 
 
+def rows_of(places):
+    return sorted((r["doc_id"], r["t"], r["start"], r["end"], r["n_found"]) for r in places.collect())
+
+
 def places(spark, docs, templates):
-    got = license_places(spark.createDataFrame(docs, "doc_id long, text string"), templates).collect()
-    assert all(len(r["held"]) == r["n_found"] and r["start"] < r["end"] for r in got)
-    return sorted((r["doc_id"], r["t"], r["n_found"]) for r in got)
+    return rows_of(license_places(spark.createDataFrame(docs, "doc_id long, text string"), templates))
 
 
 def test_every_notice_is_found_at_every_alignment(spark):
@@ -50,8 +52,7 @@ def test_every_notice_is_found_at_every_alignment(spark):
                 docs.append((len(docs), " ".join([*(f"x{j}" for j in range(lead)), *body, "and", "more"])))
     got = places(spark, docs, templates)
     assert got == brute(docs, templates)
-    assert {(i // 12, t) for i, t, _ in got} >= {(t, t) for t in range(len(templates))}
-    copies = {(i, t) for i, t, _ in got}
+    copies = {(i, t) for i, t, *_ in got}
     assert all((12 * t + lead, t) in copies for t in range(len(templates)) for lead in range(6))
     long = [t for t, (_, notice) in enumerate(templates) if len(set(_shingles(notice))) >= 11]
     assert all((12 * t + 6 + lead, t) in copies for t in long for lead in range(6))
@@ -68,8 +69,8 @@ def test_random_places(spark):
 def test_documents(spark):
     docs = spark.read.parquet(f"{SF_TINY}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect() if "licens" in (r["text"] or "").lower()]
-    got = license_places(docs).where("t < 9").collect()
-    assert sorted((r["doc_id"], r["t"], r["n_found"]) for r in got) == brute(rows, list(NOTICES.items()))
+    got = rows_of(license_places(docs).where("t < 9"))
+    assert got == brute(rows, list(NOTICES.items()))
 
 
 def test_equal_rows_and_empty_tables(spark):
@@ -78,3 +79,38 @@ def test_equal_rows_and_empty_tables(spark):
     got = [(r["doc_id"], r["license"], r["n_places"]) for r in license_matches(docs).collect()]
     assert sorted(got, key=str) == [(1, "MIT", 1), (1, "MPL-2.0", 1), (None, "MIT", 1)]
     assert license_matches(docs.limit(0)).collect() == []
+
+
+def matches(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {i: [] for i in range(len(texts))}
+    for r in license_matches(docs).collect():
+        got[r["doc_id"]].append((r["license"], r["n_places"], r["sure"]))
+    return [sorted(got[i]) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("lead", range(3))
+def test_one_license_per_notice(spark, lead):
+    texts = [" ".join([*(f"x{j}" for j in range(lead)), notice, "and more"]) for _, notice in TEMPLATES]
+    assert matches(spark, texts) == [[(license, 1, True)] for license, _ in TEMPLATES]
+
+
+def test_neighbours_and_what_cannot_be_told_apart(spark):
+    one, two, gpl = NOTICES["CC-BY-NC-4.0"], NOTICES["CC-BY-4.0"], NOTICES["GPL-3.0"]
+    got = matches(spark, [f"{one} {two} {two}", gpl.replace("version 3", "or so"), "Licensed under CC BY-ND 4.0.",
+                          gpl.replace("work", "text"), f"{gpl} {NOTICES['MIT']}"])
+    assert got == [[("CC-BY-4.0", 2, True), ("CC-BY-NC-4.0", 1, True)],
+                   [("GPL-2.0", 1, False), ("GPL-3.0", 1, False)], [("CC-BY-4.0", 1, False)], [("GPL-3.0", 1, True)],
+                   [("GPL-3.0", 1, True), ("MIT", 1, True)]]
+
+
+def test_documents_have_the_best_license_only(spark):
+    docs = spark.read.parquet(f"{SF_TINY}/documents.parquet").select("doc_id", "text")
+    got = {}
+    for r in license_matches(docs).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    for i, text in docs.collect():
+        said = " ".join(re.findall(r"[^\W_]+", (text or "").lower()))
+        for license, notice in NOTICES.items():
+            whole = " ".join(re.findall(r"[^\W_]+", notice.lower()))
+            assert (license in got.get(i, ())) == (f" {whole} " in f" {said} ")
