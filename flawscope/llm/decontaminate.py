@@ -47,7 +47,7 @@ def _chunks(batches, columns):
     for batch in batches:
         for row in zip(*(batch.column(c) for c in columns)):
             w = alnum_words(row[0].as_py())
-            rows.append(row[1].as_py())
+            rows.append(row[1].as_py() if len(row) == 2 else [x.as_py() for x in row[1:]])
             words.append(w)
             size += len(w)
             if size >= CHUNK_WORDS:
@@ -80,7 +80,7 @@ def _in_filter(bits: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 def _doc_windows(lengths: list[int], gram: int, bits):
     def windows(batches):
-        for ids, words in _chunks(batches, ["text", "doc_id"]):
+        for ids, words in _chunks(batches, ["text", "doc_id", "text_hash"]):
             s = Stream(words)
             found = []
             for t in lengths:
@@ -97,9 +97,9 @@ def _doc_windows(lengths: list[int], gram: int, bits):
                  *(pa.array(x[order]) for x in (least, h1, h2))], ["start", "t", "print", "h1", "h2"])
             ends = np.cumsum(np.bincount(own, minlength=len(ids)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(s.lens),
+                [*(pa.array(x, pa.int64()) for x in zip(*ids)), pa.array(s.lens),
                  pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), items)],
-                ["doc_id", "n_words", "windows"])
+                ["doc_id", "text_hash", "n_words", "windows"])
     return windows
 
 
@@ -116,9 +116,11 @@ def _filter_bits(prints: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5,
+                  keep_hash: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256,
-    contaminated, spans.
+    contaminated, spans; with ``keep_hash`` text_hash too (``xxhash64`` of the text, which tells
+    rows of one doc_id apart).
 
     Words are lower-cased runs of ASCII letters, digits and non-ASCII characters.  A window is
     ``window`` consecutive words of an item of ``benchmark`` (item_id, text); an item of fewer
@@ -136,8 +138,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     lengths = sorted(r["t"] for r in items.select("t").distinct().collect())
     bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(items.select("print").distinct()))
     found = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .mapInArrow(_doc_windows(lengths, gram, bits), f"doc_id long, n_words long, windows array<struct<{WINDOW}>>")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+        .mapInArrow(_doc_windows(lengths, gram, bits), f"doc_id long, text_hash long, n_words long, windows array<struct<{WINDOW}>>")
         .withColumn("row", F.monotonically_increasing_id()), "table")
     hits = (found.where(F.size("windows") > 0).select("row", F.explode("windows").alias("w")).select("row", "w.*")
             .join(items, ["print", "t", "h1", "h2"])
@@ -146,8 +148,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
                  F.array_sort(F.collect_set("item_id")).alias("items")))
     covered = F.expr("""aggregate(spans, named_struct('to', 0, 'n', 0L), (a, x) -> named_struct(
         'to', greatest(a.to, x.end), 'n', a.n + greatest(0, x.end - greatest(a.to, x.start)))).n""")
-    return (found.select("row", "doc_id", "n_words").join(hits, "row", "left")
-            .select("doc_id", "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"),
+    return (found.select("row", "doc_id", "text_hash", "n_words").join(hits, "row", "left")
+            .select("doc_id", *["text_hash"] * keep_hash, "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
                     F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
                     F.col("spans").isNotNull().alias("contaminated"), "spans"))

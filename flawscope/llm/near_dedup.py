@@ -55,13 +55,13 @@ def minhashes(sets: list[np.ndarray], k: int, bits: int) -> np.ndarray:
     return out
 
 
-def _in_chunks(batches, n_words: int = CHUNK_WORDS):
-    """Ids and word lists of a task's rows, a bounded number of words at a time."""
+def _in_chunks(batches, n_words: int = CHUNK_WORDS, columns=("doc_id", "text_hash")):
+    """Other columns and word lists of a task's rows, a bounded number of words at a time."""
     ids, words, size = [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column("doc_id"), batch.column("text")):
+        for t, *i in zip(batch.column("text"), *(batch.column(c) for c in columns)):
             w = space_words(t.as_py(), fold=True)
-            ids.append(i.as_py())
+            ids.append([x.as_py() for x in i])
             words.append(w)
             size += len(w)
             if size >= n_words:
@@ -71,25 +71,30 @@ def _in_chunks(batches, n_words: int = CHUNK_WORDS):
         yield ids, words
 
 
+def _same(words: list[bytes]) -> bytes | None:
+    """128-bit hash of a text's words."""
+    return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
+
+
 def _sign(n: int, k: int, bits: int):
     def sign(batches):
         for ids, words in _in_chunks(batches):
             sets = [shingles(w, n) for w in words]
             sig = minhashes(sets, k, bits)
-            same = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(same, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())],
-                ["doc_id", "n_shingles", "same", "sig"])
+                [*(pa.array(x, pa.int64()) for x in zip(*ids)), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([_same(w) for w in words], pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "same", "sig"])
     return sign
 
 
 def _sets(n: int):
     def sets(batches):
-        for ids, words in _in_chunks(batches, CHUNK_WORDS // 4):
-            found = [np.sort(shingles(w, n).view(np.int64)) for w in words]
+        for ids, words in _in_chunks(batches, CHUNK_WORDS // 4, ("node", "same")):
+            here = [(node, w) for (node, same), w in zip(ids, words) if _same(w) == same]
+            found = [np.sort(shingles(w, n).view(np.int64)) for _, w in here]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                [pa.array([node for node, _ in here], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
     return sets
 
 
@@ -105,7 +110,7 @@ def _keys(chunks: int, width: int, errors: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                ids = part.column("rep").to_numpy(zero_copy_only=False)
+                ids = part.column("node").to_numpy(zero_copy_only=False)
                 sig = _signatures(part.column("sig").to_pylist(), chunks * width).astype(np.uint64)
                 for c in range(chunks):
                     for way, cols in enumerate(kept):
@@ -156,8 +161,9 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks: int = 20,
-                    width: int = 5, errors: int = 1, bits: int = 16) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+                    width: int = 5, errors: int = 1, bits: int = 16, keep_hash: bool = False) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept; with ``keep_hash``
+    text_hash too (``xxhash64`` of the text, which tells rows of one doc_id apart).
 
     Texts are linked when their sets of ``shingle``-word shingles have a Jaccard similarity of
     ``percent`` or more (exact, on full sets); component_id is the smallest doc_id reachable,
@@ -170,19 +176,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     by its own text.  Extra columns are ignored; an empty table gives an empty result.
     """
     k, distance = chunks * width, chunks * (errors + 1) - 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     signed = materialize(rows.mapInArrow(
-        _sign(shingle, k, bits), "doc_id long, n_shingles long, same binary, sig binary"), "table")
+        _sign(shingle, k, bits), "doc_id long, text_hash long, n_shingles long, same binary, sig binary"), "table")
+    # a text's number is its own, as rows of one doc_id can have several texts
     texts = materialize(signed.where("same is not null and doc_id is not null").groupBy("same")
                         .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"),
-                             F.first("n_shingles").alias("n_shingles")), "table")
+                             F.first("n_shingles").alias("n_shingles"))
+                        .withColumn("node", F.monotonically_increasing_id()), "table")
 
-    entries = texts.select("rep", "sig").mapInArrow(_keys(chunks, width, errors), "key long, doc long")
+    entries = texts.select("node", "sig").mapInArrow(_keys(chunks, width, errors), "key long, doc long")
     shared = entries.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")) \
         .where("pivot < last").select("key", "pivot")
     live = materialize(entries.join(shared, "key"), "table")  # key, doc, pivot: keys of two or more texts
-    sets = materialize(rows.join(live.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-                       .mapInArrow(_sets(shingle), "doc_id long, shingles array<bigint>"), "table")
+    needed = texts.join(live.select(F.col("doc").alias("node")).distinct(), "node", "left_semi")
+    sets = materialize(rows.select("doc_id", "text").join(needed.select(F.col("rep").alias("doc_id"), "node", "same"), "doc_id")
+                       .select("node", "text", "same").mapInArrow(_sets(shingle), "doc_id long, shingles array<bigint>"), "table")
 
     stars = live.where("doc <> pivot").select(F.col("pivot").alias("u"), F.col("doc").alias("v")).distinct()
     links = materialize(similar(stars, sets, percent), "table")
@@ -192,7 +201,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     family = (stars.select(F.col("u").alias("pivot"), F.col("v").alias("doc"))
               .union(stars.select("u", "u").distinct())
               .join(found.withColumnRenamed("node", "doc"), "doc", "left")
-              .join(texts.select(F.col("rep").alias("doc"), "sig", "n_shingles"), "doc")
+              .join(texts.select(F.col("node").alias("doc"), "sig", "n_shingles"), "doc")
               .select("pivot", "doc", F.coalesce("component", "doc").alias("component"), "sig", "n_shingles"))
     mixed = materialize(
         family.groupBy("pivot").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"),
@@ -211,9 +220,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     if not more.isEmpty():
         found = components(links.union(more))
 
-    of_text = (texts.join(found, texts["rep"] == found["node"], "left")
-               .select("same", F.coalesce("component", "rep").alias("component")))
-    return (signed.select("doc_id", "n_shingles", "same").join(of_text, "same", "left")
-            .select("doc_id", "n_shingles",
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    joined = texts.select("same", "rep", "node").join(found, "node", "left") \
+        .withColumn("component", F.coalesce("component", "node"))
+    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_text = joined.join(least, "component").select("same", "component_id")
+    return (signed.select("doc_id", "text_hash", "n_shingles", "same").join(of_text, "same", "left")
+            .select("doc_id", *["text_hash"] * keep_hash, "n_shingles",
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
