@@ -89,31 +89,32 @@ class Bins:
 
 
 def pack_rows(rows, capacity: int) -> list[tuple]:
-    """(row, piece, bin, offset, first token, tokens) of rows (tokens, source, cluster).
+    """(row, piece, bin, offset, first token, tokens) of rows (tokens, source, cluster, ...).
 
-    Rows come in packing order.  A document longer than a bin fills whole bins first; its
+    A row can be in several clusters, each column with its own; one in common is a conflict.  Rows come in packing order.  A document longer than a bin fills whole bins first; its
     rest is packed like any other document.
     """
     bit = {}
     source_bit = lambda s: 0 if s is None else 1 << bit.setdefault(s, len(bit))
     seen: dict = {}
-    for _, _, c in rows:
-        seen[c] = seen.get(c, 0) + 1
-    twice = {c: i for i, c in enumerate(c for c, n in seen.items() if n > 1 and c is not None)}
-    cluster_bit = lambda c: 1 << twice[c] if c in twice else 0
+    for _, _, *cs in rows:
+        for c in enumerate(cs):
+            seen[c] = seen.get(c, 0) + 1
+    twice = {c: i for i, c in enumerate(c for c, n in seen.items() if n > 1 and c[1] is not None)}
+    cluster_bits = lambda cs: sum(1 << twice[c] for c in enumerate(cs) if c in twice)
     bins, pieces = Bins(capacity), []
-    for i, (tokens, source, cluster) in enumerate(rows):
+    for i, (tokens, source, *cs) in enumerate(rows):
         for p in range(tokens // capacity):
-            pieces.append((i, p, *bins.put(capacity, source_bit(source), cluster_bit(cluster)), p * capacity, capacity))
+            pieces.append((i, p, *bins.put(capacity, source_bit(source), cluster_bits(cs)), p * capacity, capacity))
         rest = tokens % capacity
         if rest:
-            pieces.append((i, tokens // capacity, *bins.put(rest, source_bit(source), cluster_bit(cluster)),
+            pieces.append((i, tokens // capacity, *bins.put(rest, source_bit(source), cluster_bits(cs)),
                            tokens - rest, rest))
     return pieces
 
 
 def _measure(batches):
-    """Tokens (words and one end mark) and duplicate cluster of each document."""
+    """Tokens (words and one end mark) and text cluster of each document."""
     for batch in batches:
         n, cluster = [], []
         for t in batch.column("text"):
@@ -121,20 +122,21 @@ def _measure(batches):
             n.append(len(w) + 1)
             cluster.append(xxhash.xxh3_64_intdigest(b" ".join(w)) - (1 << 63) if w else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64()), pa.array(cluster, pa.int64())],
-            ["doc_id", "source", "tokens", "cluster"])
+            [batch.column("doc_id"), batch.column("source"), batch.column("given"), pa.array(n, pa.int64()),
+             pa.array(cluster, pa.int64())], ["doc_id", "source", "given", "tokens", "cluster"])
 
 
 def _pack(capacity: int):
     def pack(key, pdf):
-        pdf = pdf.sort_values(["tokens", "doc_id", "cluster", "source"], ascending=[False, True, True, True],
+        pdf = pdf.sort_values(["tokens", "doc_id", "cluster", "source", "given"], ascending=[False, True, True, True, True],
                               na_position="first", kind="stable").reset_index(drop=True)
         clean = lambda col: [None if pd.isna(x) else x for x in pdf[col]]
-        out = pd.DataFrame(pack_rows(list(zip(pdf["tokens"].tolist(), clean("source"), clean("cluster"))), capacity),
+        out = pd.DataFrame(pack_rows(list(zip(pdf["tokens"].tolist(), clean("source"), clean("cluster"), clean("given"))),
+                                     capacity),
                            columns=["row", "piece", "bin", "offset", "first_token", "tokens"])
         of = pdf.loc[out["row"]].reset_index(drop=True)
         return pd.DataFrame({"doc_id": of["doc_id"].astype("Int64"), "source": of["source"],
-                             "cluster": of["cluster"].astype("Int64"), "piece": out["piece"],
+                             "cluster": of["given"].astype("Int64").fillna(of["cluster"].astype("Int64")), "piece": out["piece"],
                              "shard": int(key[0]), "bin": out["bin"], "offset": out["offset"],
                              "first_token": out["first_token"], "tokens": out["tokens"]})
     return pack
@@ -144,7 +146,8 @@ PACKED = ("doc_id long, source string, cluster long, piece long, shard long, bin
           "first_token long, tokens long")
 
 
-def best_fit(docs: DataFrame, capacity: int = 2048, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def best_fit(docs: DataFrame, capacity: int = 2048, shard_docs: int = SHARD_DOCS,
+             cluster: str | None = None) -> DataFrame:
     """Per piece of each row of ``docs`` (doc_id, text, source): its bin (shard, bin), its offset
     there, and which tokens of the document it holds.
 
@@ -152,11 +155,14 @@ def best_fit(docs: DataFrame, capacity: int = 2048, shard_docs: int = SHARD_DOCS
     empty texts have one token and are packed too.  Documents longer than ``capacity`` fill
     whole bins, their rest is packed as a document.  No bin has two pieces of the same source
     or of the same text (words without regard to A-Z case); a null source and an empty text
-    are in conflict with nothing.  Documents of equal length go by doc_id (null first).
+    are in conflict with nothing.  ``cluster`` names a long column of duplicate clusters (near copies,
+    say): two pieces of one are in no bin either, null is none; the result's cluster is that, or
+    else the hash of the text.  Documents of equal length go by doc_id (null first).
     Repeated rows are packed each; extra columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"),
+                       (F.col(cluster) if cluster else F.lit(None)).cast("long").alias("given"))
     shards = max(1, -(-rows.select("doc_id").count() // shard_docs))
-    return (rows.mapInArrow(_measure, "doc_id long, source string, tokens long, cluster long")
+    return (rows.mapInArrow(_measure, "doc_id long, source string, given long, tokens long, cluster long")
             .withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "source"), F.lit(shards)))
             .groupBy("shard").applyInPandas(_pack(capacity), PACKED))

@@ -127,9 +127,16 @@ def op7_ppm_language_id(spark, sf_dir):
 
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from flawscope.llm.near_dedup import near_duplicates
     from flawscope.llm.packing import best_fit
 
-    return best_fit(table(spark, sf_dir, "documents"), capacity=2048)
+    docs = table(spark, sf_dir, "documents")
+    near = near_duplicates(docs, shingle=3, percent=85, chunks=16, width=6, keep_hash=True) \
+        .select("doc_id", "text_hash", "component_id").distinct()
+    return best_fit(docs.withColumn("text_hash", F.xxhash64("text")).join(near, ["doc_id", "text_hash"], "left"),
+                    capacity=2048, cluster="component_id")
 
 
 # --------------------------------------------------------------------------- op3 LM scoring
