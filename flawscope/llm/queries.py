@@ -262,6 +262,55 @@ def license_matches(spark, sf_dir):
     return license_matches(table(spark, sf_dir, "documents"))
 
 
+# -------------------------------------------------------------------- op11 filter interaction audit
+
+AUDIT_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+firsts AS (SELECT coalesce(text, '') AS t, min(doc_id) AS first_doc FROM documents GROUP BY 1),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS MATERIALIZED (
+  SELECT part, CAST(len(ws) < 100 AS INT) AS a, CAST(100 * len(list_distinct(ws)) < 80 * len(ws) AS INT) AS b,
+         CAST(100 * len(regexp_replace(w.t, '[^A-Z]', '', 'g')) > 10 * length(w.t) AS INT) AS c,
+         CAST(regexp_matches(w.t, '[#$%&*|]') AS INT) AS d,
+         CAST(coalesce(w.doc_id > first_doc, false) AS INT) AS e,
+         coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM w JOIN firsts ON firsts.t = w.t LEFT JOIN marks ON marks.doc_id = w.doc_id),
+cells AS MATERIALIZED (
+  SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM f GROUP BY 1, 2),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS x),
+orders AS (
+  SELECT [p.x, q.x, r.x, s.x, t.x] AS o FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders),
+judged AS (
+  SELECT part, o, step, n, good, toxic, fails[o[step]] = 1 AS fail,
+         list_sum([fails[x] FOR x IN o[1:step - 1]]) AS before, list_sum(fails) AS total
+  FROM cells, steps),
+seen AS (SELECT part, o, step, n, good, toxic, fail, total, coalesce(before, 0) > 0 AS gone FROM judged),
+res AS (
+  SELECT part, o, step, o[step] AS x, CAST(sum(CASE WHEN NOT gone AND NOT fail THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN fail AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN fail AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN fail AND total = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN fail AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN fail AND NOT gone THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM seen GROUP BY ALL)
+SELECT part, array_to_string([substr('ABCDE', i, 1) FOR i IN o], '') AS filter_order, CAST(step AS INTEGER) AS step,
+       substr('ABCDE', x, 1) AS filter, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM res"""
+
+
+@query("op11_filter_audit", sql=AUDIT_SQL)
+def op11_filter_audit(spark, sf_dir):
+    from flawscope.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # --------------------------------------------------------------------------------- pipeline
 
 @query("pipeline")
