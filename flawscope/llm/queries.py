@@ -311,6 +311,18 @@ def op11_filter_audit(spark, sf_dir):
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# ------------------------------------------------------------------- op13 cross-tokenizer alignment
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    from flawscope.llm.token_alignment import Alignment
+
+    return Alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                     public_tokenizers.path("piece_bpe_32k.model")).documents()
+
+
 # --------------------------------------------------------------------------------- pipeline
 
 @query("pipeline")
