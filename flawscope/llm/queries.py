@@ -311,6 +311,19 @@ def op11_filter_audit(spark, sf_dir):
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# ------------------------------------------------------------------------ op12 n-gram Jaccard join
+
+JACCARD_SQL = NEAR_SQL.replace("100 * shared >= 85 *", "100 * shared >= 90 *").replace("""comp.c AS component_id,
+       w.doc_id = comp.c AS kept""", "comp.c AS component_id")
+
+
+@query("op12_ngram_jaccard_join", sql=JACCARD_SQL)
+def op12_ngram_jaccard_join(spark, sf_dir):
+    from flawscope.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 # ------------------------------------------------------------------- op13 cross-tokenizer alignment
 
 @query("op13_token_alignment")
