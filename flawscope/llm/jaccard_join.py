@@ -150,21 +150,31 @@ def boundary(sizes: list[tuple[int, int, int]], percent: int, subset: int) -> in
     return min([0, *sorted(enumerated)], key=cost)
 
 
-def set_keys(n: int, first: np.ndarray, small: int, percent: int, subset: int) -> np.ndarray:
-    """Keys of sets of size n, one column each, from the rows of their first shingles."""
-    t, columns = least_overlap(n, percent), []
-    if n <= small and t >= subset:
-        columns += itertools.combinations(range(min(first.shape[1], n - t + subset)), subset)
-    if n >= least_overlap(small + 1, percent) or least_overlap(t, percent) < subset:
-        columns += [(i,) for i in range(n - t + 1)]
-    cls = size_class(np.array([n]), percent)[0]
-    out = []
-    for columns_of_key in columns:
-        h = np.full(len(first), len(columns_of_key), np.uint64)
-        for i in columns_of_key:
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + first[:, i].view(np.uint64))
-        out += [mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(c)) for c in (cls, cls + 1)]
-    return np.stack(out, axis=1) if out else np.empty((len(first), 0), np.uint64)
+def set_keys(first: list[np.ndarray], size: np.ndarray, small: int, percent: int, subset: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of many sets from their first shingles and sizes, and which set each key is of."""
+    size = np.asarray(size, np.int64)
+    t, cls = least_overlap(size, percent), size_class(size, percent)
+    shingles, owner = [], []  # of keys: (kind, shingles, set)
+    light = np.flatnonzero((size <= small) & (t >= subset))
+    length = np.minimum(size, size - t + subset)
+    for k in np.unique(length[light]):
+        sets = light[length[light] == k]
+        chosen = np.array(list(itertools.combinations(range(k), subset)), np.int64).reshape(-1, subset)
+        shingles.append(np.stack([first[i][:k] for i in sets])[:, chosen].reshape(-1, subset))
+        owner.append(np.repeat(sets, len(chosen)))
+    heavy = np.flatnonzero((size >= least_overlap(small + 1, percent)) | (least_overlap(t, percent) < subset))
+    if len(heavy):
+        lists = [first[i][:k] for i, k in zip(heavy, (size - t + 1)[heavy])]
+        shingles.append(np.concatenate(lists)[:, None])
+        owner.append(np.repeat(heavy, [len(x) for x in lists]))
+    keys = []
+    for group, sets in zip(shingles, owner):
+        h = np.full(len(group), group.shape[1], np.uint64)
+        for column in group.T:
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + np.ascontiguousarray(column, np.int64).view(np.uint64))
+        keys += [mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + c.astype(np.uint64)) for c in (cls[sets], cls[sets] + 1)]
+    return (np.concatenate(keys) if keys else np.empty(0, np.uint64),
+            np.concatenate([np.concatenate([x, x]) for x in owner]) if owner else np.empty(0, np.int64))
 
 
 def _keys(small: int, percent: int, subset: int):
@@ -172,13 +182,9 @@ def _keys(small: int, percent: int, subset: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                node, size = (part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n"))
-                first = part.column("first").to_pylist()
-                for n in np.unique(size):
-                    rows = np.flatnonzero(size == n)
-                    k = set_keys(int(n), np.array([first[i] for i in rows], np.int64), small, percent, subset)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(k.reshape(-1).view(np.int64)), pa.array(np.repeat(node[rows], k.shape[1]))], ["key", "doc"])
+                node, size, first = (part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "first"))
+                key, of = set_keys(list(first), size, small, percent, subset)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[of], pa.int64())], ["key", "doc"])
     return keys
 
 
@@ -203,20 +209,20 @@ def could_link(first: np.ndarray, size: np.ndarray, i: int, others: np.ndarray,
 
 
 def _alive(percent: int):
-    """Sets of a family that could be linked to one of another component."""
+    """Sets of a family that could be linked to another one, pairs that are known already aside (both ``near`` the pivot)."""
     def alive(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (pivot, p, q), g in pdf.groupby(["pivot", "p", "q"], sort=False):
+        for _, g in pdf.groupby(["pivot", "p", "q"], sort=False):
             first, size = _padded(g["first"].tolist()), g["n"].to_numpy()
-            doc, comp, hit = g["doc"].to_numpy(), g["component"].to_numpy(), np.zeros(len(g), bool)
-            for i in range(len(g) - 1):
-                others = np.flatnonzero(comp[i + 1:] != comp[i]) + i + 1
+            near, hit = g["near"].to_numpy(bool), np.zeros(len(g), bool)
+            for i in np.flatnonzero(~near):
+                others = np.flatnonzero(near | (np.arange(len(g)) > i))
                 if len(others):
                     others = others[could_link(first, size, i, others, percent)]
                     hit[others] = True
                     hit[i] |= len(others) > 0
-            out += [(pivot, p, q, d) for d in doc[hit]]
-        return pd.DataFrame(out, columns=["pivot", "p", "q", "doc"]).astype("int64")
+            out.append(g["doc"].to_numpy()[hit])
+        return pd.DataFrame({"node": np.concatenate(out) if out else []}, dtype="int64")
     return alive
 
 
@@ -249,9 +255,11 @@ def _with(pairs: DataFrame, rows: DataFrame, side: str, **columns: str) -> DataF
 
 
 def _shingles(n: int):
+    """Full sets, where the text is the one that was meant; repeated rows give one."""
     def shingles(batches):
+        seen = set()
         for held in _in_chunks(_sets_of(batches, n, ["node", "same"])):
-            held = [(v[0], s) for v, s in held if _same(s) == v[1]]
+            held = [(v[0], s) for v, s in held if _same(s) == v[1] and not (v[0] in seen or seen.add(v[0]))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([v for v, _ in held], pa.int64()), pa.array([np.sort(s.view(np.int64)) for _, s in held], pa.list_(pa.int64()))],
                 ["node", "shingles"])
@@ -303,36 +311,44 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, subset: i
     likely = materialize(known.where((absent("fu", "fv") <= F.col("nu") - need) & (absent("fv", "fu") <= F.col("nv") - need))
                          .select("u", "v"), "table")
 
-    wanted = (sets.join(stars.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
-              .select(F.col("rep").alias("doc_id"), "node", "same"))
+    # sets that may be linked, by their first shingles: those of a star, and others of a pivot's sets
+    near = likely.select(F.col("u").alias("pivot"), F.col("v").alias("doc"), F.lit(True).alias("near"))
+    family = (stars.select(F.col("u").alias("pivot"), F.col("v").alias("doc")).join(near, ["pivot", "doc"], "left")
+              .unionByName(stars.select(F.col("u").alias("pivot"), F.col("u").alias("doc"), F.lit(True).alias("near")).distinct())
+              .select("pivot", "doc", F.coalesce("near", F.lit(False)).alias("near"))
+              .join(first.select(F.col("node").alias("doc"), "n"), "doc"))
+
+    def dealt(family: DataFrame, pivots: DataFrame, *columns: str) -> DataFrame:
+        """The sets of each pivot (pivot, sets, size) in parts, each part with each other one."""
+        parts = F.greatest(F.ceil(F.col("sets") / FAMILY), F.ceil(F.col("size") / FAMILY_SHINGLES)).cast("int")
+        pivots = materialize(pivots.select("pivot", "size", parts.alias("parts")), "table")
+        work = pivots.agg(F.sum(F.col("size") * F.col("parts")).alias("n")).first()["n"] or 0
+        return (family.join(pivots.select("pivot", "parts"), "pivot").withColumn("p", F.pmod(F.hash("doc"), F.col("parts")))
+                .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+                .select("pivot", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "doc", "n", *columns)
+                .withColumn("bucket", F.pmod(F.xxhash64("pivot", "p", "q"), F.lit(4 * work // FAMILY_SHINGLES + 1)))
+                .join(first.select(F.col("node").alias("doc"), "first"), "doc"))
+
+    counted = family.groupBy("pivot").agg(F.count("*").alias("sets"), F.sum("n").alias("size"), F.min("near").alias("known"))
+    alive = (dealt(family, counted.where("sets > 2 and not known"), "near")  # of two sets, the star has compared both
+             .groupBy("bucket").applyInPandas(_alive(percent), "node long"))
+    nodes = materialize(likely.select(F.explode(F.array("u", "v")).alias("node")).union(alive).distinct(), "table")
+    wanted = sets.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node", "same")
     shingles = materialize(rows.join(wanted, "doc_id").select("node", "text", "same")
-                           .mapInArrow(_shingles(shingle), "node long, shingles array<bigint>").dropDuplicates(["node"]), "table")
+                           .mapInArrow(_shingles(shingle), "node long, shingles array<bigint>"), "table")
+
     both = F.size(F.array_intersect("su", "sv"))
     links = materialize(_with(_with(likely, shingles, "v", sv="shingles"), shingles, "u", su="shingles")
-                        .where(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v"), "table")
+                        .where(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v").distinct(), "table")
     found = components(links)
 
-    # pivots whose sets still are in several components: compare across components
-    family = (stars.select(F.col("u").alias("pivot"), F.col("v").alias("doc")).union(stars.select("u", "u").distinct())
-              .join(found.withColumnRenamed("node", "doc"), "doc", "left")
-              .join(first.select(F.col("node").alias("doc"), "n"), "doc")
-              .select("pivot", "doc", F.coalesce("component", "doc").alias("component"), "n"))
-    mixed = materialize(family.groupBy("pivot").agg(
-        F.count("*").alias("sets"), F.sum("n").alias("size"), F.min("component").alias("a"), F.max("component").alias("b"))
-        .where("a < b and sets > 2")  # of two sets, the star has compared both
-        .select("pivot", "size", F.greatest(F.ceil(F.col("sets") / FAMILY), F.ceil(F.col("size") / FAMILY_SHINGLES)).cast("int")
-                .alias("parts")), "table")
-    work = mixed.agg(F.sum(F.col("size") * F.col("parts")).alias("n")).first()["n"] or 0
-    dealt = (family.join(mixed.select("pivot", "parts"), "pivot").withColumn("p", F.pmod(F.hash("doc"), F.col("parts")))
-             .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .select("pivot", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "doc", "component", "n")
-             .join(first.select(F.col("node").alias("doc"), "first"), "doc"))
-    bucket = F.pmod(F.xxhash64("pivot", "p", "q"), F.lit(work // FAMILY_SHINGLES + 1))
-    alive = materialize(dealt.withColumn("bucket", bucket).groupBy("bucket")
-                        .applyInPandas(_alive(percent), "pivot long, p int, q int, doc long"), "table")
-    more = materialize(
-        dealt.join(alive, ["pivot", "p", "q", "doc"]).join(shingles.withColumnRenamed("node", "doc"), "doc")
-        .withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_link(percent), "u long, v long"), "table")
+    # pivots whose sets still are in several components: compare across components, on full sets
+    split = (family.join(nodes.withColumnRenamed("node", "doc"), "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left")
+             .withColumn("component", F.coalesce("component", "doc")))
+    mixed = (split.groupBy("pivot").agg(F.count("*").alias("sets"), F.sum("n").alias("size"), F.min("component").alias("a"),
+                                        F.max("component").alias("b")).where("a < b and sets > 2"))
+    more = materialize(dealt(split, mixed, "component").join(shingles.withColumnRenamed("node", "doc"), "doc")
+                       .groupBy("bucket").applyInPandas(_link(percent), "u long, v long"), "table")
     if not more.isEmpty():
         found = components(links.union(more))
 

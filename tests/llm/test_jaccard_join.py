@@ -99,9 +99,9 @@ def test_linked_sets_share_a_key():
                                 rng.integers(0, 1 << 40, rng.integers(0, len(a) // 8 + 1))])
             both = len(np.intersect1d(a, b))
             if len(b) and 100 * both >= percent * len(np.union1d(a, b)) and not np.array_equal(a, b):
-                keys = [set_keys(len(x), x[None, :len(x) - least_overlap(len(x), percent) + subset], small, percent, subset)
-                        for x in (a, b)]
-                assert np.isin(keys[0], keys[1]).any()
+                keys, of = set_keys([x[:len(x) - least_overlap(len(x), percent) + subset] for x in (a, b)], [len(a), len(b)],
+                                    small, percent, subset)
+                assert np.isin(keys[of == 0], keys[of == 1]).any()
                 first = np.full((2, 90), np.iinfo(np.int64).max)
                 for row, x in zip(first, (a, b)):
                     k = x[:len(x) - least_overlap(len(x), percent) + subset]
