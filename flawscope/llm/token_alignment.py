@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -31,6 +33,11 @@ from flawscope.session import materialize
 
 CHUNK_BYTES = 4_000_000  # of text whose pairs are counted together
 STEP_BYTES = 500_000  # of text that is encoded and merged at once
+PLAIN_CHARS = 500_000  # longer texts have no fast way
+ODD = re.compile("[^\x00-\x7f\xa1-\u024f]")  # not Latin of old
+
+# Fixed value: the pattern that cuts texts for byte-level vocabularies
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 ENCODED = ("chunk long, whole boolean, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
            "groups_sha256 string, pairs binary, times binary")
@@ -47,10 +54,16 @@ def byte_of() -> dict[str, int]:
 
 
 class ByteLevel:
-    """Side A: a byte-level BPE of the tokenizers library; special tokens are plain text."""
+    """Side A: a byte-level BPE of the tokenizers library; special tokens are plain text.
+
+    Where the file's ids are in the order of its merges and nothing but the usual pattern cuts a text, tiktoken
+    merges by the same ids and is three times faster.  Both cut alike where no character is of
+    ``ODD``, as no version of Unicode changes the classes of others; other texts and very long ones go through tokenizers.
+    """
 
     def __init__(self, json_text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json_text)
@@ -61,8 +74,20 @@ class ByteLevel:
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
 
+        file = json.loads(json_text)
+        ids = file["model"]["vocab"]
+        merged = [ids["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in file["model"]["merges"]]
+        cut = file["pre_tokenizer"] or {}
+        usual = (file["normalizer"] is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space")
+                 and cut.get("use_regex", True) and not file["model"].get("ignore_merges") and merged == sorted(merged))
+        added = {t["id"] for t in file["added_tokens"]}
+        self.fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, special_tokens={}, mergeable_ranks={
+            self.bytes[i]: i for i in ids.values() if i not in added}) if usual else None
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        plain = [self.fast is not None and len(t) < PLAIN_CHARS and not ODD.search(t) for t in texts]
+        rest = iter(self.tokenizer.encode_batch([" " + t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
+        return [self.fast.encode_ordinary(" " + t) if p else next(rest).ids for t, p in zip(texts, plain)]
 
 
 class Pieces:

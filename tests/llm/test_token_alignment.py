@@ -74,6 +74,21 @@ def brute(rows):
     return out, {(x, y, n, n == most[x]) for (x, y), n in held.items()}
 
 
+def test_both_ways_to_encode_agree(spark):
+    from tokenizers import Tokenizer
+
+    from flawscope.llm.token_alignment import ODD, ByteLevel
+
+    texts = [t for _, t in TEXTS if t] + ["a'll b'LL  c\u00a0d\u0085e\x1cf\x0b\x0c g", "¹²³¼ º·¿×÷ ŉ ǅ ƻ", "''s 's' 're\n\n x  "]
+    texts += [r["text"] for r in spark.read.parquet(f"{SF_TINY}/documents.parquet").select("text").collect() if r["text"]]
+    side = ByteLevel(open(PATHS[0], encoding="utf-8").read())
+    ta = Tokenizer.from_file(PATHS[0])
+    ta.encode_special_tokens = True
+    assert side.fast is not None and any(ODD.search(t) for t in texts) and not all(ODD.search(t) for t in texts)
+    for got, t in zip(side.encode(texts), texts):
+        assert got == ta.encode(" " + t, add_special_tokens=False).ids, t[:50]
+
+
 def rows_of(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
