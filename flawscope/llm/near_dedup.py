@@ -47,11 +47,12 @@ def minhashes(sets: list[np.ndarray], k: int, bits: int) -> np.ndarray:
         flat = np.concatenate([sets[i] for i in full])
         starts = np.cumsum([0] + [len(sets[i]) for i in full[:-1]])
         seeds = mix(np.arange(1, 2 * k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        v = np.empty_like(flat)
         for j in range(k):
-            v = (flat ^ seeds[j]) * (seeds[k + j] | np.uint64(1))
-            v ^= v >> np.uint64(31)
-            least = mix(np.minimum.reduceat(v, starts))
-            out[full, j] = (least & np.uint64((1 << bits) - 1)).astype(np.uint16)
+            np.bitwise_xor(flat, seeds[j], out=v)
+            np.multiply(v, seeds[k + j] | np.uint64(1), out=v)
+            least = np.minimum.reduceat(v, starts)
+            out[full, j] = (mix(least ^ (least >> np.uint64(31))) & np.uint64((1 << bits) - 1)).astype(np.uint16)
     return out
 
 
@@ -76,15 +77,16 @@ def _same(words: list[bytes]) -> bytes | None:
     return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
 
 
-def _sign(n: int, k: int, bits: int):
+def _sign(n: int, k: int, bits: int, carry):
     def sign(batches):
-        for ids, words in _in_chunks(batches):
+        for ids, words in _in_chunks(batches, columns=("doc_id", "text_hash", *carry)):
             sets = [shingles(w, n) for w in words]
             sig = minhashes(sets, k, bits)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x, pa.int64()) for x in zip(*ids)), pa.array([len(s) for s in sets], pa.int64()),
+                [*(pa.array(x, t) for x, t in zip(zip(*ids), [pa.int64()] * 2 + [pa.string()] * len(carry))),
+                 pa.array([len(w) for w in words], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_same(w) for w in words], pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())],
-                ["doc_id", "text_hash", "n_shingles", "same", "sig"])
+                ["doc_id", "text_hash", *carry, "n_words", "n_shingles", "same", "sig"])
     return sign
 
 
@@ -161,9 +163,12 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks: int = 20,
-                    width: int = 5, errors: int = 1, bits: int = 16, keep_hash: bool = False) -> DataFrame:
+                    width: int = 5, errors: int = 1, bits: int = 16, keep_hash: bool = False,
+                    measure: tuple[str, ...] | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept; with ``keep_hash``
-    text_hash too (``xxhash64`` of the text, which tells rows of one doc_id apart).
+    text_hash too (``xxhash64`` of the text, which tells rows of one doc_id apart).  ``measure`` names string columns
+    that come along with n_words and same (128-bit hash of the words, null without words), for
+    steps that need no more of a text than that.
 
     Texts are linked when their sets of ``shingle``-word shingles have a Jaccard similarity of
     ``percent`` or more (exact, on full sets); component_id is the smallest doc_id reachable,
@@ -176,9 +181,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     by its own text.  Extra columns are ignored; an empty table gives an empty result.
     """
     k, distance = chunks * width, chunks * (errors + 1) - 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    signed = materialize(rows.mapInArrow(
-        _sign(shingle, k, bits), "doc_id long, text_hash long, n_shingles long, same binary, sig binary"), "table")
+    carry = [f"carried_{i}" for i in range(len(measure or ()))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"),
+                       *[F.col(c).cast("string").alias(new) for c, new in zip(measure or (), carry)])
+    signed = materialize(rows.mapInArrow(_sign(shingle, k, bits, carry), ", ".join(
+        ["doc_id long, text_hash long", *[f"{c} string" for c in carry], "n_words long, n_shingles long, same binary, sig binary"])),
+        "table")
     # a text's number is its own, as rows of one doc_id can have several texts
     texts = materialize(signed.where("same is not null and doc_id is not null").groupBy("same")
                         .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"),
@@ -224,7 +232,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
         .withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_text = joined.join(least, "component").select("same", "component_id")
-    return (signed.select("doc_id", "text_hash", "n_shingles", "same").join(of_text, "same", "left")
-            .select("doc_id", *["text_hash"] * keep_hash, "n_shingles",
+    more = [] if measure is None else ["n_words", "same", *[F.col(c).alias(name) for c, name in zip(carry, measure)]]
+    return (signed.drop("sig").join(of_text, "same", "left")
+            .select("doc_id", *["text_hash"] * keep_hash, "n_shingles", *more,
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))

@@ -5,8 +5,8 @@ clusters in it as bitmaps; a document goes to the tightest bin that has room and
 neither its source nor its cluster: bins are ordered by residual, and the search goes on from
 one residual to the next larger one until a compatible bin is found, else a new bin opens.
 
-Packing is done in even shards of documents (by hash, so neither a hot source nor a cluster
-gathers in one); the number of shards grows with the table.
+Packing is done in even shards of documents (by hash and place, so neither a hot source, a cluster nor
+equal rows gather in one); the number of shards grows with the table.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flawscope.llm.text import space_words
+from flawscope.session import materialize
 
 SHARD_DOCS = 4000
 
@@ -162,7 +163,19 @@ def best_fit(docs: DataFrame, capacity: int = 2048, shard_docs: int = SHARD_DOCS
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"),
                        (F.col(cluster) if cluster else F.lit(None)).cast("long").alias("given"))
-    shards = max(1, -(-rows.select("doc_id").count() // shard_docs))
-    return (rows.mapInArrow(_measure, "doc_id long, source string, given long, tokens long, cluster long")
-            .withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "source"), F.lit(shards)))
+    return best_fit_measured(rows.mapInArrow(_measure, "doc_id long, source string, given long, tokens long, cluster long"),
+                             capacity, shard_docs)
+
+
+def best_fit_measured(rows: DataFrame, capacity: int = 2048, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """``best_fit`` of documents whose tokens are counted already: ``rows`` has doc_id, source, given (long), tokens
+    and cluster (long, of the text).
+
+    The numbers are written once; rows are dealt over the shards by their place in that table as well as by
+    what they hold, so equal rows spread like all others.
+    """
+    rows = materialize(rows.select("doc_id", "source", "given", "tokens", "cluster"), "table")
+    shards = max(1, -(-rows.count() // shard_docs))
+    place = F.xxhash64("doc_id", "cluster", "source", F.monotonically_increasing_id())
+    return (rows.withColumn("shard", F.pmod(place, F.lit(shards)))
             .groupBy("shard").applyInPandas(_pack(capacity), PACKED))

@@ -130,13 +130,13 @@ def op9_best_fit_packing(spark, sf_dir):
     from pyspark.sql import functions as F
 
     from flawscope.llm.near_dedup import near_duplicates
-    from flawscope.llm.packing import best_fit
+    from flawscope.llm.packing import best_fit_measured
 
-    docs = table(spark, sf_dir, "documents")
-    near = near_duplicates(docs, shingle=3, percent=85, chunks=16, width=6, keep_hash=True) \
-        .select("doc_id", "text_hash", "component_id").distinct()
-    return best_fit(docs.withColumn("text_hash", F.xxhash64("text")).join(near, ["doc_id", "text_hash"], "left"),
-                    capacity=2048, cluster="component_id")
+    # one pass over the texts: their words are counted where their near copies are looked for
+    near = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85, chunks=16, width=6, measure=("source",))
+    return best_fit_measured(near.select("doc_id", "source", F.col("component_id").alias("given"),
+                                         (F.col("n_words") + 1).alias("tokens"),
+                                         F.when(F.col("same").isNotNull(), F.xxhash64("same")).alias("cluster")), capacity=2048)
 
 
 # --------------------------------------------------------------------------- op3 LM scoring

@@ -24,3 +24,29 @@ def test_op9_keeps_near_copies_apart(spark):
     assert set(got["doc_id"]) == set(near)
     shared = sum(b["doc_id"].map(near).duplicated().sum() for _, b in got.groupby(["shard", "bin"]))
     assert shared == 0
+
+
+def test_equal_rows_fill_all_shards(spark):
+    """20,000 equal rows, and as many without id and text, are dealt over all shards."""
+    rows = [(7, "the same words", "one source")] * 20_000 + [(None, None, None)] * 20_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = best_fit(docs, capacity=2048, shard_docs=4000).groupBy("shard", "doc_id").count().toPandas()
+    assert got["shard"].nunique() == 10 and got["count"].sum() == 40_000
+    assert got["count"].max() < 2600
+
+
+def test_minhash_values_come_from_the_least_hash():
+    import numpy as np
+
+    from flawscope.llm.near_dedup import minhashes
+    from flawscope.llm.text import mix
+
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (1, 5, 400)] + [np.empty(0, np.uint64)]
+    got = minhashes(sets, 6, 16)
+    assert (got[3] == 0).all() and got.shape == (4, 6)
+    seeds = mix(np.arange(1, 13, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for i, s in enumerate(sets[:3]):
+        for j in range(6):
+            least = ((s ^ seeds[j]) * (seeds[6 + j] | np.uint64(1))).min(keepdims=True)
+            assert got[i, j] == int(mix(least ^ (least >> np.uint64(31)))[0]) & 0xFFFF
