@@ -18,6 +18,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 
 from flawscope.operators.features import check_categories
+from flawscope.operators.tree_grid import can_cut_back, grid_by_truncation
 
 
 @dataclass(frozen=True)
@@ -155,10 +156,13 @@ def evaluator(metric: str = "accuracy") -> MulticlassClassificationEvaluator:
 
 
 def fit(chain: Pipeline, train: DataFrame, grid=None, validate: bool = False, folds: int = 3,
-        parallelism: int = 3, seed: int = 42, metric: str = "accuracy"):
-    """H7: a single fit, or k-fold cross-validation over ``grid`` (best model refitted)."""
+        parallelism: int = 3, seed: int = 42, metric: str = "accuracy", by_truncation: bool = False):
+    """H7: a single fit, or k-fold cross-validation over ``grid`` (best model refitted).  With ``by_truncation``
+    the depths of a tree's or forest's grid are read off one fit per fold and leaf size (``tree_grid``)."""
     if not validate:
         return chain.fit(train)
+    if by_truncation and metric == "accuracy" and can_cut_back(chain):
+        return grid_by_truncation(chain, train, grid, folds, seed, parallelism=parallelism)
     cv = CrossValidator(estimator=chain, estimatorParamMaps=grid, evaluator=evaluator(metric),
                         numFolds=folds, parallelism=parallelism, seed=seed)
     return cv.fit(train)

@@ -173,14 +173,14 @@ def measure_pca(df: DataFrame, id_col: str = "id", target: str = "response",
 
 
 def group_stats(df: DataFrame, group: str, columns: Sequence[str]) -> dict:
-    """Per group, the mean of every column that varies in it (nulls and NaN left out).
+    """Per group, the mean of every column that varies in it (null, NaN and infinite values are missing).
 
     All groups and columns in one aggregate over (group, column, value) rows, so the plan does
     not grow with the width; one row per group and varying column reaches the driver."""
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), q(c).cast("double").alias("v"))
                                 for i, c in enumerate(columns)]))
     rows = (df.select(q(group).alias("g"), cells.alias("x")).select("g", "x.*")
-            .where("v IS NOT NULL AND NOT isnan(v)").groupBy("g", "c")
+            .where("abs(v) < double('Infinity')").groupBy("g", "c")
             .agg(F.avg("v").alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"))
             .where("lo < hi").select("g", "c", "mean").collect()) if columns else []
     out: dict = {}
@@ -202,8 +202,8 @@ def _reduce(df: DataFrame, id_col: str, target: str, means: dict[str, float], ma
         raise ValueError("no measurement varies")
     name = lambda c: "`" + c.replace("`", "``") + "`"
     fill = SQLTransformer(statement="SELECT " + ", ".join(
-        [name(id_col), name(target)] + [f"coalesce(nanvl(CAST({name(c)} AS DOUBLE), NULL), {m!r}D) AS {name(c)}"
-                                        for c, m in means.items()]) + " FROM __THIS__")
+        [name(id_col), name(target)] + [f"if(abs(CAST({name(c)} AS DOUBLE)) < double('Infinity'), CAST({name(c)} AS DOUBLE), {m!r}D)"
+                                        f" AS {name(c)}" for c, m in means.items()]) + " FROM __THIS__")
     out, pc, stages = pca(fill.transform(df), max_components, assemble_features=True,
                           standardize_features=True, explained_variance=explained,
                           exclude=[id_col, target])
@@ -222,6 +222,7 @@ class TwoStageModel:
     kmeans: object
     per_cluster: dict = field(default_factory=dict)
     majority: dict = field(default_factory=dict)  # group -> (index, label text)
+    validated: dict = field(default_factory=dict)  # group -> (depth, leaf size, mean fold accuracy), of this fit
 
     def save(self, path: str) -> str:
         """Store the model below ``path`` (any Hadoop file system)."""
@@ -259,7 +260,9 @@ def two_stage(df: DataFrame, id_col: str = "id", target: str = "response", k: in
     The grouped table is written once, by group, so each group's passes read its own folder.
     Statistics of all groups are one aggregate, scores of all groups one plan.  Rows are split by
     the hash of their id.  A group in which no measurement or no label varies is given its
-    majority label; a group without test rows has null scores.  With ``store`` a model found
+    majority label; a group without test rows has null scores.  ``validate`` cross-validates each
+    group's grid, trees and forests by cutting back deep ones (``operators.tree_grid``); the winners
+    are in the model's ``validated``.  With ``store`` a model found
     there is used for k-means, reduction and classifiers; a new one is put there.
     """
     spark = df.sparkSession
@@ -275,9 +278,9 @@ def two_stage(df: DataFrame, id_col: str = "id", target: str = "response", k: in
         model = TwoStageModel(id_col, target, measures, pstages["chain"], G.kmeans_fit(reduced, k, seed=seed))
         with_features = model.kmeans.transform(reduced).withColumnRenamed("prediction", "cluster")
     path = scratch_dir(spark, "groups")
-    with_features.select(id_col, target, "cluster", "features", *[q(c) for c in measures]) \
-        .write.partitionBy("cluster").parquet(path)
-    assigned = spark.read.parquet(path)
+    with_features = with_features.select(id_col, target, "cluster", "features", *[q(c) for c in measures])
+    with_features.write.partitionBy("cluster").parquet(path)
+    assigned = spark.read.schema(with_features.schema).parquet(path)
     inertia = G.inertia_value(assigned, G.centers_of(model.kmeans))
     sil = G.silhouette_value(assigned, "features", "cluster")
     label = q(target).cast("string")
@@ -307,10 +310,12 @@ def two_stage(df: DataFrame, id_col: str = "id", target: str = "response", k: in
             if train.isEmpty():
                 train = table
             grid = C.param_grid(clf, kind, settings) if validate else None
-            fitted = C.fit(pipe, train, grid, validate, parallelism=cv_parallelism, seed=seed)
+            fitted = C.fit(pipe, train, grid, validate, parallelism=cv_parallelism, seed=seed, by_truncation=True)
         finally:
             table.unpersist()
         model.per_cluster[c] = (chain, C.best_pipeline(fitted))
+        if validate:
+            model.validated[c] = (*C.best_params(fitted).values(), float(max(fitted.avgMetrics)))
 
     if not stored:
         with ThreadPoolExecutor(max_workers=cluster_parallelism) as pool:
@@ -411,5 +416,7 @@ def score_new(model: TwoStageModel, df: DataFrame) -> DataFrame:
     union of the per-cluster results.  All branches read the routed rows, so those are written
     once, by group; a streaming input is scored per micro-batch in ``streaming``."""
     path = scratch_dir(df.sparkSession, "routed")
-    route_new(model, df).write.partitionBy("cluster").parquet(path)
-    return score_routed(model, df.sparkSession.read.parquet(path))
+    routed = route_new(model, df)
+    routed.write.partitionBy("cluster").parquet(path)
+    # the schema is given: a table without rows has no file to tell it
+    return score_routed(model, df.sparkSession.read.schema(routed.schema).parquet(path).select(*routed.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from flawscope.operators import features as FE
 from flawscope.operators import metrics as M
 from flawscope.operators.sampling import (BUCKET_ADD, BUCKET_MOD, BUCKET_MULT, split_by_key,
                                           train_test_split)
+from flawscope.operators.tree_grid import grid_by_truncation, predictions_by_depth
 from flawscope.plans import flows as J
 from flawscope.plans.registry import query, r6, sql_r6
 from flawscope.session import materialize, scratch_dir
@@ -360,7 +362,8 @@ t AS (SELECT DISTINCT * FROM (
         AND high_value IS NOT NULL)
 """
 _ROWS_PER_LABEL = X.with_fixture("classify", "," + _PREPARED
-                                 + "SELECT high_value, count(*) AS n_rows, count(*) AS n_consistent FROM t GROUP BY 1")
+                                 + "SELECT high_value, count(*) AS n_rows, count(*) AS n_consistent, "
+                                   "true AS beats_majority FROM t GROUP BY 1")
 
 
 def _consistent(preds, target, labels, rest=None):
@@ -376,12 +379,20 @@ def _consistent(preds, target, labels, rest=None):
     return rows.groupBy(target).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("ok").alias("n_consistent"))
 
 
+def _beats_majority(rows, model, learned):
+    """``rows`` and whether the model knows more of the labels it learned from than their most frequent one."""
+    right = H.predict(model, learned).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a"),
+                                          F.avg((F.col("label") == 0).cast("double")).alias("m"))  # 0: the most frequent
+    return rows.crossJoin(right.select((F.col("a") > F.col("m")).alias("beats_majority")))  # one row
+
+
 def _tree_predictions(spark, sf, kind):
     prepared = materialize(_classify_prepared(spark, sf), "table")
     chain, _ = H.chain_raw(prepared, "high_value", kind)
     train, test = train_test_split(prepared, 0.8, 42)
     model = H.fit(chain, train)
-    return _consistent(H.predict(model, test), "high_value", H.best_pipeline(model).stages[1].labels, train)
+    return _beats_majority(_consistent(H.predict(model, test), "high_value", H.best_pipeline(model).stages[1].labels, train),
+                           model, train)
 
 
 @query("decision_tree", sql=_ROWS_PER_LABEL)
@@ -404,18 +415,19 @@ def classifier_chain_raw_q(spark, sf):
     prepared = materialize(_classify_prepared(spark, sf), "table")
     chain, _ = H.chain_raw(prepared, "high_value", "DT")
     model = H.fit(chain, prepared)
-    return _consistent(H.predict(model, prepared), "high_value", model.stages[1].labels)
+    return _beats_majority(_consistent(H.predict(model, prepared), "high_value", model.stages[1].labels), model, prepared)
 
 
 @query("classifier_chain_vector", sql=X.with_fixture(
-    "wide", "SELECT CAST(response AS VARCHAR) AS response, count(*) AS n_rows, count(*) AS n_consistent FROM wide GROUP BY 1"))
+    "wide", "SELECT CAST(response AS VARCHAR) AS response, count(*) AS n_rows, count(*) AS n_consistent, "
+            "true AS beats_majority FROM wide GROUP BY 1"))
 def classifier_chain_vector_q(spark, sf):
     wide = materialize(X.wide(spark, sf).withColumn("response", F.col("response").cast("string")), "table")
     table, _, _, _ = J.measure_pca(wide)
     chain, _ = H.chain_vector(table, "response", "DT")
     train, _ = split_by_key(table, "id", 0.8)
     model = H.fit(chain, train)
-    return _consistent(H.predict(model, table), "response", model.stages[0].labels)
+    return _beats_majority(_consistent(H.predict(model, table), "response", model.stages[0].labels), model, train)
 
 
 @query("cross_validate", sql=X.with_fixture("classify", "," + _PREPARED + """
@@ -437,21 +449,7 @@ def cross_validate_q(spark, sf):
         F.lit(0 <= acc <= 1).alias("accuracy_in_range"))
 
 
-@query("model_roundtrip_classifier", sql=X.with_fixture("classify", "," + _PREPARED + """
-SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM t"""))
-def model_roundtrip_classifier_q(spark, sf):
-    """Predictions before and after storing the chain, over all rows."""
-    prepared = materialize(_classify_prepared(spark, sf), "table").withColumn("row", F.monotonically_increasing_id())
-    chain, _ = H.chain_raw(prepared.drop("row"), "high_value", "DT")
-    model = H.fit(chain, prepared)
-    loaded = load_classifier(save_classifier(model, scratch_dir(spark, "classifier")))
-    one = model.transform(prepared).select("row", "prediction")
-    two = loaded.transform(prepared).select("row", F.col("prediction").alias("again"))
-    return one.join(two, "row").agg(F.count(F.lit(1)).alias("n_rows"),
-                                    F.count_if(F.col("prediction") != F.col("again")).alias("n_different"))
-
-
-@query("flow_classify_prepare", sql=X.with_fixture("classify", """,
+_PREPARED_BINS = X.with_fixture("classify", """,
 t AS (SELECT DISTINCT * FROM (
         SELECT loss, CAST(age AS INTEGER) AS age, nullif(nullif(trim(priority), '?'), '') AS priority,
                nullif(nullif(trim(segment), '?'), '') AS segment, nullif(nullif(trim(status), '?'), '') AS status,
@@ -468,7 +466,77 @@ SELECT priority, segment, status, nation, high_value, """ + ", ".join([
     "hours < 60 THEN 2 WHEN hours >= 60 AND hours <= 100 THEN 3 END AS DOUBLE) AS hours",
     "CAST(len(list_filter(sp, lambda v: v <= gain)) AS DOUBLE) AS gain",
     "CAST(len(list_filter(sl, lambda v: v <= loss)) AS DOUBLE) AS loss"]) + " FROM t, s").replace(
-    ")\n,\nt AS", ")\n, t AS", 1))
+    ")\n,\nt AS", ")\n, t AS", 1)
+
+_STUMP = """,
+x AS MATERIALIZED (SELECT *, high_value = (SELECT max(high_value) FROM p) AS y FROM p),
+u AS (UNPIVOT (SELECT y, CAST(age AS VARCHAR) AS age, CAST(hours AS VARCHAR) AS hours, CAST(gain AS VARCHAR) AS gain,
+                      CAST(loss AS VARCHAR) AS loss, CAST(priority AS VARCHAR) AS priority, CAST(segment AS VARCHAR) AS segment,
+                      CAST(status AS VARCHAR) AS status, CAST(nation AS VARCHAR) AS nation FROM x)
+      ON age, hours, gain, loss, priority, segment, status, nation INTO NAME feature VALUE v),
+g AS (SELECT feature, v, count(*) AS n, count(*) FILTER (y) AS n1 FROM u GROUP BY 1, 2),
+c AS (SELECT feature, sum(n) OVER w AS nl, sum(n1) OVER w AS l1, sum(n) OVER (PARTITION BY feature) AS nt,
+             sum(n1) OVER (PARTITION BY feature) AS t1 FROM g
+      WINDOW w AS (PARTITION BY feature ORDER BY CAST(n1 AS DOUBLE) / n, v ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT feature, nl, l1, nt - nl AS nr, t1 - l1 AS r1, nt,
+             nl * (-(CASE WHEN l1 IN (0, nl) THEN 0 ELSE l1 / nl * log2(l1 / nl) + (nl - l1) / nl * log2((nl - l1) / nl) END))
+             + (nt - nl) * (-(CASE WHEN t1 - l1 IN (0, nt - nl) THEN 0 ELSE (t1 - l1) / (nt - nl) * log2((t1 - l1) / (nt - nl))
+                + (nt - nl - t1 + l1) / (nt - nl) * log2((nt - nl - t1 + l1) / (nt - nl)) END)) AS rest
+      FROM (SELECT feature, CAST(nl AS DOUBLE) AS nl, CAST(l1 AS DOUBLE) AS l1, CAST(nt AS DOUBLE) AS nt, CAST(t1 AS DOUBLE) AS t1 FROM c)
+      WHERE nl >= 10 AND nt - nl >= 10),
+best AS (SELECT * FROM h ORDER BY rest, feature LIMIT 1)
+SELECT CAST(0 AS INTEGER) AS depth, count(*) AS n_rows, greatest(count(*) FILTER (y), count(*) FILTER (NOT y)) AS n_correct FROM x
+UNION ALL
+SELECT CAST(1 AS INTEGER), CAST(nt AS BIGINT), CAST(greatest(l1, nl - l1) + greatest(r1, nr - r1) AS BIGINT) FROM best"""
+
+
+@query("tree_depth_curve", sql=_PREPARED_BINS.replace("SELECT priority, segment", ", p AS (SELECT priority, segment", 1) + ")" + _STUMP)
+def tree_depth_curve_q(spark, sf):
+    """H1/H6: a deep tree cut back to its root and to its first split, the one of the least entropy."""
+    prepared = materialize(_classify_prepared(spark, sf), "table")
+    chain, clf = H.chain_raw(prepared, "high_value", "DT")
+    model = H.fit(chain, prepared)
+    ready = PipelineModel(stages=model.stages[:-2]).transform(prepared)
+    got = predictions_by_depth(model.stages[-2], ready, [0, 1], ["label"])
+    right = [F.struct(F.lit(d).alias("depth"), (F.element_at("predictions", d + 1) == F.col("label")).alias("ok")) for d in (0, 1)]
+    return (got.select(F.inline(F.array(*right))).groupBy("depth")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("ok").alias("n_correct")))
+
+
+@query("tree_grid_scores")
+def tree_grid_scores_q(spark, sf):
+    """H6/H7: mean fold accuracy of every point of the grid, from one fit per fold and leaf size."""
+    prepared = materialize(_classify_prepared(spark, sf), "table")
+    chain, clf = H.chain_raw(prepared, "high_value", "DT")
+    result = grid_by_truncation(chain, prepared, H.param_grid(clf, "DT"))
+    rows = [(d, leaf, m, (d, leaf) == result.best) for (d, leaf), m in zip(result.points, result.avgMetrics)]
+    return spark.createDataFrame(rows, "max_depth int, min_leaf int, accuracy double, chosen boolean")  # the grid's points
+
+
+@query("two_stage_cv")
+def two_stage_cv_q(spark, sf):
+    """J8 with cross-validation: scores of each group, and the grid point that won there."""
+    scores, _, model = J.two_stage(X.wide(spark, sf), "id", "response", k=6, kind="DT", validate=True)
+    won = [(c, *v) for c, v in sorted(model.validated.items())]
+    won = spark.createDataFrame(won, "cluster int, max_depth int, min_leaf int, fold_accuracy double")  # one row per group
+    return scores.join(won, "cluster", "left")
+
+
+@query("model_roundtrip_classifier", sql=X.with_fixture("classify", "," + _PREPARED + """
+SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM t"""))
+def model_roundtrip_classifier_q(spark, sf):
+    """Predictions before and after storing the chain, over all rows."""
+    prepared = materialize(_classify_prepared(spark, sf), "table").withColumn("row", F.monotonically_increasing_id())
+    chain, _ = H.chain_raw(prepared.drop("row"), "high_value", "DT")
+    model = H.fit(chain, prepared)
+    loaded = load_classifier(save_classifier(model, scratch_dir(spark, "classifier")))
+    one = model.transform(prepared).select("row", "prediction")
+    two = loaded.transform(prepared).select("row", F.col("prediction").alias("again"))
+    return one.join(two, "row").agg(F.count(F.lit(1)).alias("n_rows"),
+                                    F.count_if(F.col("prediction") != F.col("again")).alias("n_different"))
+
+
+@query("flow_classify_prepare", sql=_PREPARED_BINS)
 def flow_classify_prepare_q(spark, sf):
     return _classify_prepared(spark, sf)
 
@@ -498,19 +566,14 @@ def flow_common_prepare_q(spark, sf):
 
 def _component_checks(out, n: int, keep: str):
     """All rows are there; components are centred, ordered by variance, and uncorrelated."""
-    f = [F.col(f"f{i}") for i in range(n)]
-    total = F.lit(0.0)
-    for x in f:
-        total = total + F.var_samp(x)
-    cov = F.lit(0.0)
-    for i in range(n):
-        for j in range(i):
-            cov = F.greatest(cov, F.abs(F.covar_samp(f[i], f[j])))
-    ordered = F.lit(True)
-    for a, b in zip(f, f[1:]):
-        ordered = ordered & (F.var_samp(a) >= F.var_samp(b) - 1e-9)
-    return out.agg(F.count(keep).alias("n_rows"), ordered.alias("ordered"),
-                   (cov <= 1e-6 * F.greatest(total, F.lit(1.0))).alias("uncorrelated"))
+    cov = FE.feature_covariance(out, [f"f{i}" for i in range(n)])  # one pass, any number of components
+    own = F.col("i") == F.col("j")
+    checks = cov.agg(F.sum(F.when(own, F.col("cov"))).alias("total"), F.max(F.when(~own, F.abs("cov"))).alias("most"),
+                     F.array_sort(F.collect_list(F.when(own, F.struct("i", "cov")))).alias("of"))  # n of them
+    falls = F.forall(F.sequence(F.lit(1), F.size("of")), lambda k: (k == F.size("of")) | (
+        F.element_at("of", k)["cov"] >= F.coalesce(F.try_element_at("of", k + 1)["cov"], F.lit(0.0)) - 1e-9))
+    return out.agg(F.count(keep).alias("n_rows")).crossJoin(checks.select(  # one row each
+        falls.alias("ordered"), (F.coalesce("most", F.lit(0.0)) <= 1e-6 * F.greatest("total", F.lit(1.0))).alias("uncorrelated")))
 
 
 _COMPONENTS_OK = "count(*) AS n_rows, true AS ordered, true AS uncorrelated"
