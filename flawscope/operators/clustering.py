@@ -17,8 +17,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flawscope.functions.columns import double_matrix, nearest, q
+from flawscope.functions.columns import double_matrix, nearest, nearest_of_few, q
+from flawscope.operators.batched_kmeans import batched_kmeans, in_blocks
 from flawscope.operators.features import vector_size
+from flawscope.session import materialize
+
+
+PLAIN_TERMS = 500  # numbers of all centres
 
 
 def kmeans_fit(df: DataFrame, k: int, features_col: str = "features",
@@ -50,9 +55,13 @@ def nearest_center(df: DataFrame, centers: Sequence[Sequence[float]], features_c
                    keep: Sequence[str] = (), is_vector: bool = True) -> DataFrame:
     """Index of the nearest centre (first wins ties) and its squared distance.
 
-    The centres are one literal; the plan has the same few expressions for any k and d."""
+    Up to ``PLAIN_TERMS`` numbers the centres are plain sums, which Spark compiles; larger ones are one literal,
+    so that the plan has the same few expressions for any k and d."""
     x = vector_to_array(q(features_col)) if is_vector else q(features_col).cast("array<double>")
-    best = nearest(x, double_matrix(centers))
+    if sum(map(len, centers)) <= PLAIN_TERMS:
+        best = nearest_of_few(x, centers)
+    else:
+        best = nearest(x, double_matrix(centers))
     return (df.select(*[q(c) for c in keep], best.alias("_best"))
               .select(*[q(c) for c in keep], F.col("_best.nearest").alias("nearest"),
                       F.col("_best.cost").alias("cost")))
@@ -98,6 +107,13 @@ def reference_uniform(df: DataFrame, ranges: Sequence[tuple[float, float]], seed
     return df.select(array_to_vector(F.array(*cols)).alias(features_col))
 
 
+def reference_tables(df: DataFrame, ranges: Sequence[tuple[float, float]], num_random: int, seed: int) -> DataFrame:
+    """G7 for the gap search: ``num_random`` uniform tables of as many rows as ``df``, written once, in blocks."""
+    box = [F.rand(seed * 1000 + i) * F.lit(b - a) + F.lit(a) for i, (a, b) in enumerate(ranges)]
+    draws = df.select(F.explode(F.sequence(F.lit(0), F.lit(num_random - 1))).alias("draw"))
+    return materialize(in_blocks(draws.select("draw", F.array(*box).alias("x"))), "table")
+
+
 def log_inertia_of_fit(df: DataFrame, k: int, seed: int, features_col: str = "features") -> float:
     """Log of the inertia of a k-means fitted on ``df`` (against its final centres)."""
     model = kmeans_fit(df, k, features_col, seed=seed)
@@ -138,22 +154,33 @@ def choose_k(gaps: DataFrame, strict: bool = True) -> DataFrame:
 
 def find_num_clusters(df: DataFrame, features_col: str = "features", min_k: int = 2,
                       max_k: int | None = None, num_random: int = 30, seed: int = 42,
-                      strict: bool = True, parallelism: int = 8):
+                      strict: bool = True, parallelism: int = 8, batched: bool = True):
     """J2's search: fit k = min_k, min_k+1, ...; stop at the first k whose gap fails to beat
     the previous one (reference rule).  Returns (k, model, rows of (k, gap, s, log_w)).
 
-    B reference draws are defined once (seed per draw) and reused for every k; the fits of one k
-    run in a small thread pool (each fit is itself distributed).  Spark's k-means keeps a copy of
-    its input while it runs, so at most as many draws run at once as fit half of the executors'
-    storage memory.  An inertia of 0 (k centres on k distinct points) ends the search with that k.
+    The B reference draws are made and written once and used for every k.  All of them are fitted in the same
+    jobs (``batched_kmeans``), so a k costs as many jobs for 30 draws as for one.  With
+    ``batched=False`` each draw is a k-means job of its own, made anew when read, up to ``parallelism`` at once: Spark's
+    k-means keeps a copy of its input while it runs, so at most as many draws run at once as fit half of the
+    executors' storage memory.  An inertia of 0 (k centres on k distinct points) ends the search with that k.
     """
     n = df.count()
     max_k = min(max_k or n, n)
     ranges = feature_ranges(df, features_col)
-    draws = [reference_uniform(df, ranges, seed + b + 1, features_col) for b in range(num_random)]
-    at_once = max(1, min(parallelism, int(_storage_bytes(df.sparkSession) / 2
-                                          / max(1, n * (8 * len(ranges) + 48)))))
     history = []
+    if batched:
+        tables = reference_tables(df, ranges, num_random, seed)
+
+        def reference_fits(k):
+            return [_log(w) for _, (_, w) in sorted(batched_kmeans(tables, k, seed).items())]
+    else:
+        draws = [reference_uniform(df, ranges, seed + b + 1, features_col) for b in range(num_random)]
+        at_once = max(1, min(parallelism, int(_storage_bytes(df.sparkSession) / 2
+                                              / max(1, n * (8 * len(ranges) + 48)))))
+
+        def reference_fits(k):
+            with ThreadPoolExecutor(max_workers=at_once) as pool:
+                return list(pool.map(lambda dr: log_inertia_of_fit(dr, k, seed, features_col), draws))
 
     def gap_at(k):
         model = kmeans_fit(df, k, features_col, seed=seed)
@@ -161,8 +188,7 @@ def find_num_clusters(df: DataFrame, features_col: str = "features", min_k: int
         if lw == -math.inf:
             history.append((k, math.inf, 0.0, lw))
             return model, math.inf, 0.0
-        with ThreadPoolExecutor(max_workers=at_once) as pool:
-            refs = list(pool.map(lambda dr: log_inertia_of_fit(dr, k, seed, features_col), draws))
+        refs = reference_fits(k)
         mean = sum(refs) / len(refs)
         sd = math.sqrt(sum((r - mean) ** 2 for r in refs) / len(refs)) if mean > -math.inf else 0.0
         g, s = mean - lw, gap_deviation(sd, num_random)

@@ -647,6 +647,14 @@ def gap_curve_q(spark, sf):
     return spark.createDataFrame(rows, "first_k int, consecutive boolean, deviations_ok boolean, stops_by_rule boolean")
 
 
+@query("gap_curve_values")
+def gap_curve_values_q(spark, sf):
+    """Per k the gap, its deviation and the log inertia, all draws of a k fitted together."""
+    prepared = materialize(_arrest_like(spark, sf), "table")
+    _, _, history = G.find_num_clusters(prepared, "features", 2, 10, 30, 42)
+    return spark.createDataFrame(history, "k int, gap double, s double, log_w double")  # one row per k
+
+
 _PRESENCE = [f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in X.WIDE_FEATURES]
 _COV_WIDE = "SELECT " + ", ".join(
     f"covar_samp({_PRESENCE[i]}, {_PRESENCE[j]}) AS cov_{i}_{j}"
