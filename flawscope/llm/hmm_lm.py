@@ -35,6 +35,8 @@ from flawscope.session import materialize
 
 STATES, CLASSES, ROUNDS = 6, 4096, 2
 POOL = 64            # documents among which the first tables' documents are chosen
+POOL_CHARS = 20_000  # of each of them; the rounds work on whole texts
+UNLIKE = 0.1         # how far chance moves the first tables apart
 STAY = 0.95          # first chance to stay in a state
 PRIOR = 500.0        # class counts of the whole corpus that every state starts with
 E_STEP_WORDS = 800_000
@@ -126,7 +128,8 @@ def expected(m: Model, lat: Lattice):
 
 
 def _first_model(pool: list[np.ndarray], states: int, classes: int) -> Model:
-    """States that prefer the classes of unlike documents: each next one overlaps least."""
+    """States that prefer the classes of unlike documents: each next one overlaps least.  Seeded chance moves
+    all states a little apart, as Baum-Welch cannot part states that start equal (few or equal documents)."""
     hist = np.array([np.sqrt(np.bincount(p, minlength=classes + 1)) for p in pool])
     hist /= np.linalg.norm(hist, axis=1, keepdims=True)
     chosen = [0]
@@ -136,9 +139,10 @@ def _first_model(pool: list[np.ndarray], states: int, classes: int) -> Model:
     for j in range(states):
         own = np.bincount(pool[chosen[j % len(chosen)]], minlength=classes + 1).astype(float)
         emit[:, j] = 0.5 * emit[:, j] + 0.5 * own / own.sum()
+    emit *= 1 + UNLIKE * np.random.default_rng(states).uniform(-1, 1, emit.shape)
     move = np.full((states, states), (1 - STAY) / max(1, states - 1))
     np.fill_diagonal(move, STAY if states > 1 else 1.0)
-    return Model(np.full(states, 1 / states), move, emit)
+    return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
 def _next_model(m: Model, starts, moves, emits) -> Model:
@@ -179,10 +183,14 @@ def _e_step(model, classes: int):
 
 
 def train(texts: DataFrame, states: int = STATES, classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all rows of ``texts`` (doc_id, text); a null text is empty."""
+    """Baum-Welch over all rows of ``texts`` (doc_id, text); a null text is empty.
+
+    The first tables come from ``POOL`` documents of any length, chosen by a hash (of long ones the
+    first ``POOL_CHARS`` characters); they only start the rounds, which go over all whole texts."""
     texts = texts.select("doc_id", "text")
-    pool = [r["text"] for r in texts.where("text is not null").withColumn("h", F.xxhash64("doc_id"))
-            .where(F.length("text").between(200, 20_000)).orderBy("h", "text").limit(POOL).collect()]
+    pool = [r["text"] for r in texts.where("text is not null").select(F.xxhash64("doc_id", "text").alias("h"),
+                                                                      F.left("text", F.lit(POOL_CHARS)).alias("text"))
+            .orderBy("h", "text").limit(POOL).collect()]
     seqs = [classes_of(tokens(t), classes) for t in pool] or [np.array([classes])]
     m = _first_model(seqs, states, classes)
     sc = texts.sparkSession.sparkContext

@@ -63,18 +63,19 @@ def _contexts(order: int):
 
 
 def _chosen(train: DataFrame, per_language: int) -> DataFrame:
-    """Of each language the documents with the smallest hashes; one number a language is collected."""
-    h = F.xxhash64("doc_id")
+    """Of each language the documents with the smallest hashes of doc_id and text, equal ones once; one number
+    a language is collected."""
+    h = F.xxhash64("doc_id", "text")
     salt = F.pmod(F.hash("h"), F.lit(SALTS))  # a language may hold most rows: the first of each part, then of all
     first = Window.partitionBy("lang", "salt").orderBy("h")
-    part = (train.select("lang", h.alias("h")).withColumn("salt", salt).withColumn("i", F.row_number().over(first))
+    part = (train.select("lang", h.alias("h")).distinct().withColumn("salt", salt).withColumn("i", F.row_number().over(first))
             .where(F.col("i") <= per_language))
     cuts = (part.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
             .where(F.col("i") <= per_language).groupBy("lang").agg(F.max("h").alias("cut")).collect())
     if not cuts:
         return train.limit(0)
     cut_of = F.create_map(*(F.lit(x) for r in cuts for x in (r["lang"], r["cut"])))
-    return train.where(h <= F.element_at(cut_of, F.col("lang")))
+    return train.where(h <= F.element_at(cut_of, F.col("lang"))).withColumn("h", h).dropDuplicates(["lang", "h"]).drop("h")
 
 
 def fit(train: DataFrame, order: int = ORDER, docs_per_language: int = DOCS_PER_LANGUAGE) -> Tree | None:
