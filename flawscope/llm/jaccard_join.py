@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flawscope.llm.components import components
-from flawscope.llm.text import hash_words, mix, rolling, space_words
+from flawscope.llm.text import distinct, hash_words, mix, rolling, space_words
 from flawscope.session import materialize
 
 MIN_COUNTERS, MAX_COUNTERS = 1 << 12, 1 << 24  # a byte each is broadcast: 16 MB at most
@@ -46,7 +46,7 @@ CHUNK_WORDS = 200_000  # words that a task has in hand at once
 def shingle_set(words: list[bytes], n: int) -> np.ndarray:
     """Distinct hashed shingles of n words; a shorter sequence is one shingle, no words have none."""
     hashes = hash_words(words)
-    return np.unique(rolling(hashes, min(n, len(words)))) if words else hashes
+    return distinct(rolling(hashes, min(n, len(words)))) if words else hashes
 
 
 def least_overlap(n, percent: int):

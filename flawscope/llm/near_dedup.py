@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flawscope.llm.components import components
-from flawscope.llm.text import hash_words, mix, rolling, space_words
+from flawscope.llm.text import distinct, hash_words, mix, rolling, space_words
 from flawscope.session import materialize
 
 PART = 1000  # documents of one pivot that a task compares with as many others
@@ -36,7 +36,7 @@ CHUNK_WORDS = 300_000  # words that a task hashes at once
 def shingles(words: list[bytes], n: int) -> np.ndarray:
     """Distinct hashed shingles of n words; a shorter sequence is one shingle."""
     wh = hash_words(words)
-    return np.unique(rolling(wh, min(n, len(wh)))) if len(wh) else wh
+    return distinct(rolling(wh, min(n, len(wh)))) if len(wh) else wh
 
 
 def minhashes(sets: list[np.ndarray], k: int, bits: int) -> np.ndarray:

@@ -54,6 +54,12 @@ def rolling(wh: np.ndarray, k: int, mult: np.uint64 = M1) -> np.ndarray:
     return mix(out)
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Distinct values, sorted (``np.unique`` without its overhead, which counts for a short text)."""
+    h = np.sort(h)
+    return h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h
+
+
 class Stream:
     """The words of many texts laid end to end, with each word's text and place in it."""
 
