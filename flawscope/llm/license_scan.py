@@ -1,23 +1,27 @@
 """License scan: MinHash bands over overlapping text windows, then exact containment.
 
-Windows of 2 * ``step`` two-word shingles start at every multiple of ``step`` of a text, so they
-overlap by half. Each of a window's ``bands`` MinHash values is a band of its own: a window
-retrieves every template with an equal value.  A notice of m shingles that lies in a window of
-2 * step has a similarity of m / (2 * step) or more to it and is missed with a probability of
-(1 - m / (2 * step)) ** bands: 2e-6 for 4 shingles, 3e-8 for 5 with the default of 32 bands
-and a step of 6.  What is retrieved is verified exactly: the share of the template's shingles
-in the window must be ``percent`` or more.
-
-Equal MinHash values come from equal shingles, so only windows with some shingle of some
-template can share a band with it; MinHash values are computed for those, where the text is.
-No text is shuffled.
-
-``license_places`` judges the containment at every start position, for templates of any length:
-see there.  All work is done in DataFrame expressions.
+Templates are of any length.  One that takes n shingles can lie in ``reach`` = n * 100 / ``percent``
+shingles of a text; templates of about the same reach are a length class, and the class's windows
+are twice as long and start at every multiple of half their length.  So whatever lies within
+``reach`` shingles of any start position lies whole in one window of its class.
+
+Each of a window's MinHash values is a band of its own: a window retrieves every template of its
+class with an equal value.  A place that holds need = m * ``percent`` / 100 of a template's m shingles
+makes the similarity of its window and the template at least s = need / (window + m - need); the
+class has as many bands as make the chance (1 - s) ** bands to miss it ``MISS`` or less.
+
+Equal MinHash values come from equal shingles, and a place lacks at most m - need of a template's
+shingles, so it holds one of any m - need + 1; only windows with one of those get MinHash values.  What
+is retrieved is verified exactly, at every start position of the window: the share of the template's
+shingles in the next ``reach`` ones.  Of places that overlap only the best counts.  No text is shuffled.
+
+``license_places`` judges every start position without windows: see there.  All work is done
+in DataFrame expressions.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,9 +29,8 @@ from pyspark.sql import functions as F
 
 from flawscope.session import materialize
 
-STEP = 6
-BANDS = 32
 PERCENT = 80
+MISS = 1e-6  # chance that a window with a place of just ``percent`` is not retrieved
 
 # Short public license notices, by SPDX identifier
 NOTICES = {
@@ -42,7 +45,7 @@ NOTICES = {
     "MPL-2.0": "This file is subject to the Mozilla Public License, version 2.0.",
 }
 
-# Whole texts and file headers of the same licenses
+# Whole texts and file headers of the same licenses
 TEXTS = {
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file
         except in compliance with the License. You may obtain a copy of the License at
@@ -99,63 +102,18 @@ def shingles(w) -> Column:
     return F.when(n >= 2, two).when(n == 1, F.transform(w, lambda a: F.hash(a))).otherwise(F.array().cast("array<int>"))
 
 
-def template_rows(spark: SparkSession, notices: dict[str, str]) -> DataFrame:
-    rows = [F.struct(F.lit(k).alias("license"), F.lit(v).alias("notice")) for k, v in notices.items()]
-    return spark.range(1).select(F.inline(F.array(*rows)))
-
-
-def license_scan(docs: DataFrame, notices: dict[str, str] = NOTICES, step: int = STEP, bands: int = BANDS,
-                 percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text) and license found: doc_id, license, n_windows (windows
-    that hold it), n_found (most of its shingles in one window), n_shingles (of its notice).
-
-    Words are lower-cased runs of letters and digits, a shingle is two neighbouring words, and
-    a window holds 2 * ``step`` shingles, starting at every multiple of ``step`` (a shorter text
-    is one window).  A license is found in a window that holds ``percent`` of the notice's
-    distinct shingles.  The notices are a parameter of the scan and travel as literals.
-
-    Null and empty texts have no words and give no row.  Equal rows are one document; rows with
-    equal or null doc_id and other texts are judged each.  Extra columns are ignored.
-    """
-    templates = template_rows(docs.sparkSession, notices).select(
-        "license", F.array_distinct(shingles(words(F.col("notice")))).alias("template")).where(F.size("template") > 0)
-    known = sorted({h for r in templates.collect() for h in r["template"]})  # as many as the notices have
-
-    def minhashes(s):
-        """The bands of an array of shingles: (band, value) rows."""
-        value = lambda j: F.array_min(F.transform(s, lambda h: F.hash(h, F.lit(j))))
-        return F.explode(F.array(*[F.struct(F.lit(j).alias("band"), value(j).alias("value")) for j in range(bands)]))
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"),
-                        shingles(words(F.col("text"))).alias("s"))
-    seeds = (texts.select("doc_id", "row", "s", F.posexplode("s").alias("at", "h")).where(F.col("h").isin(known))
-             .select("doc_id", "row", "s", F.expr(f"at div {step}").alias("last")))
-    windows = (seeds.select("doc_id", "row", "s", F.explode(F.array("last", F.col("last") - 1)).alias("window"))
-               .where("window >= 0")
-               .select("doc_id", "row", "window", F.slice("s", (F.col("window") * step + 1).cast("int"), F.lit(2 * step))
-                       .alias("part")).distinct())
-    retrieved = (windows.select("doc_id", "row", "window", "part", minhashes(F.col("part")).alias("b"))
-                 .select("doc_id", "row", "window", "part", "b.*")
-                 .join(F.broadcast(templates.select("license", "template", minhashes(F.col("template")).alias("b"))
-                                   .select("license", "template", "b.*")), ["band", "value"])
-                 .select("doc_id", "row", "window", "part", "license", "template").distinct())
-    found = F.size(F.array_intersect("part", "template"))
-    return (retrieved.withColumn("found", found).where(F.col("found") * 100 >= F.size("template") * percent)
-            .groupBy("doc_id", "row", "license")
-            .agg(F.countDistinct("window").alias("n_windows"), F.max("found").cast("long").alias("n_found"),
-                 F.max(F.size("template")).cast("long").alias("n_shingles"))
-            .drop("row"))
-
-
 def templates_of(spark: SparkSession, templates: list[tuple[str, str]], percent: int) -> DataFrame:
     """t (number), license, template (distinct shingles), n_shingles, reach (shingles of text that are
-    judged at once: the length of the template and as much more as percent leaves open)."""
+    judged at once: the length of the template and as much more as percent leaves open), letters (of
+    each of the distinct shingles, where it first stands)."""
     rows = [F.struct(F.lit(t).alias("t"), F.lit(k).alias("license"), F.lit(v).alias("notice"))
             for t, (k, v) in enumerate(templates)]
     return (spark.range(1).select(F.inline(F.array(*rows)))
-            .select("t", "license", shingles(words(F.col("notice"))).alias("s")).where(F.size("s") > 0)
+            .select("t", "license", words(F.col("notice")).alias("w")).withColumn("s", shingles(F.col("w"))).where(F.size("s") > 0)
             .select("t", "license", F.array_distinct("s").alias("template"),
                     F.size(F.array_distinct("s")).alias("n_shingles"),
+                    F.expr("transform(array_distinct(s), h -> length(array_join(slice(w, cast(array_position(s, h) as int), 2), '')))")
+                    .alias("letters"),
                     F.expr(f"cast((size(s) * 100 + {percent - 1}) div {percent} as int)").alias("reach")))
 
 
@@ -190,7 +148,7 @@ def license_places(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     seeds = sorted({h for x in listed for h in sorted(x, key=lambda h: (often[h], h))
                     [:len(x) - -(-len(x) * percent // 100) + 1]})
     marks = _rivals(known, percent).select("t", F.explode(F.flatten("apart")).alias("h")).distinct().withColumn("mark", F.lit(True))
-    postings = known.withColumn("h", F.explode("template")).drop("template").join(F.broadcast(marks), ["t", "h"], "left")
+    postings = known.withColumn("h", F.explode("template")).drop("template", "letters").join(F.broadcast(marks), ["t", "h"], "left")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"),
                         shingles(words(F.col("text"))).alias("s")).where(F.arrays_overlap("s", F.lit(seeds)))
     of_shingle = Window.partitionBy("row", "t", "h").orderBy("at")
@@ -212,26 +170,13 @@ def license_places(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
             .agg((F.max("at") + 1).alias("end"), F.collect_set(F.when(F.col("mark"), F.col("h"))).alias("held")))
 
 
-def license_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
-                    percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text) and license found: doc_id, license, n_places, n_found (most
-    shingles of a template at one place), n_shingles (of that template), sure.
-
-    See ``license_places``.  Of places that overlap, the one that holds the most shingles counts, among
-    equals that of the template with the fewest, then the shortest: a place goes when it overlaps one of
-    its own license that counts, or lies by half (of the shorter one) in others.  What is still equal
-    (a GPL notice without its version) comes back for each license, not ``sure``; nor is a place
-    ``sure`` that has no shingle by which the template differs from one that is nearly the same ('CC BY-ND
-    4.0', of which there is no template, holds four of the five shingles of CC-BY-4.0).
-
-    Null and empty texts have no words and give no row.  Equal rows are one document; rows with
-    equal or null doc_id and other texts are judged each.  Extra columns are ignored.
-    """
-    rivals = _rivals(templates_of(docs.sparkSession, templates, percent), percent)
+def best_places(places: DataFrame, rivals: DataFrame) -> DataFrame:
+    """Of ``places`` (doc_id, row, t, license, start, end, n_found, n_shingles, held) those that count, per
+    document row and license: doc_id, license, n_places, n_found, n_shingles, sure; see ``license_matches``."""
     told = F.coalesce(F.forall("apart", lambda a: F.arrays_overlap(a, "held")), F.lit(True))
     in_text = Window.partitionBy("row").orderBy("start", "end", "t")
     before = F.max("end").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
-    chains = (license_places(docs, templates, percent).join(F.broadcast(rivals), "t", "left").withColumn("told", told)
+    chains = (places.join(F.broadcast(rivals), "t", "left").withColumn("told", told)
               .withColumn("new", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
               .withColumn("chain", F.sum("new").over(in_text)).groupBy("doc_id", "row", "chain")
               .agg(F.array_sort(F.collect_list(F.struct(
@@ -249,3 +194,110 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
             .agg(F.count("*").alias("n_places"), best.alias("b"), F.max(sure).alias("sure"))
             .select("doc_id", "license", "n_places", F.col("b.n_found").cast("long").alias("n_found"),
                     (-F.col("b.m")).cast("long").alias("n_shingles"), "sure"))
+
+
+def license_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
+                    percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text) and license found: doc_id, license, n_places, n_found (most
+    shingles of a template at one place), n_shingles (of that template), sure.
+
+    See ``license_places``.  Of places that overlap, the one that holds the most shingles counts, among
+    equals that of the template with the fewest, then the shortest: a place goes when it overlaps one of
+    its own license that counts, or lies by half (of the shorter one) in others.  What is still equal
+    (a GPL notice without its version) comes back for each license, not ``sure``; nor is a place
+    ``sure`` that has no shingle by which the template differs from one that is nearly the same ('CC BY-ND
+    4.0', of which there is no template, holds four of the five shingles of CC-BY-4.0).
+
+    Null and empty texts have no words and give no row.  Equal rows are one document; rows with
+    equal or null doc_id and other texts are judged each.  Extra columns are ignored.
+    """
+    rivals = _rivals(templates_of(docs.sparkSession, templates, percent), percent)
+    return best_places(license_places(docs, templates, percent), rivals)
+
+
+def length_classes(rows: list, percent: int, miss: float) -> dict[int, tuple[int, int]]:
+    """t -> (half, bands) of the templates' ``rows`` (t, template, reach): half a window is the reach,
+    rounded up by at most a quarter; bands are those of the class's least similar template."""
+    half = {}
+    for r in rows:
+        h = 2
+        while h < r["reach"]:
+            h = -(-h * 5 // 4)
+        half[r["t"]] = h
+    bands = Counter()
+    for r in rows:
+        m, h = len(r["template"]), half[r["t"]]
+        need = -(-m * percent // 100)
+        bands[h] = max(bands[h], math.ceil(math.log(miss) / math.log1p(-need / (2 * h + m - need))))
+    return {t: (h, bands[h]) for t, h in half.items()}
+
+
+def window_places(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent: int = PERCENT,
+                  miss: float = MISS) -> DataFrame:
+    """As ``license_places``, for the windows that MinHash bands retrieve; held are all shingles found.
+
+    A place belongs to the window in whose first half it starts.
+    """
+    known = templates_of(docs.sparkSession, templates, percent)
+    rows = known.collect()  # as many as the templates
+    classes = length_classes(rows, percent, miss)
+    often = Counter(h for r in rows for h in r["template"])
+    first = {}  # (half, bands) -> shingles, one of which every place of the class holds
+    for r in rows:
+        m, letters = len(r["template"]), dict(zip(r["template"], r["letters"]))
+        rare = sorted(letters, key=lambda h: (-letters[h], often[h], h))  # long words are rare ones
+        first.setdefault(classes[r["t"]], set()).update(rare[:m - -(-m * percent // 100) + 1])
+    spark = docs.sparkSession
+    one = spark.range(1)
+    seeds = one.select(F.inline(F.array(*[
+        F.struct(F.lit(h).alias("half"), F.lit(b).alias("bands"), F.lit(sorted(x)).cast("array<int>").alias("hs"))
+        for (h, b), x in first.items()]))).select("half", "bands", F.explode("hs").alias("h")) if rows else \
+        one.where("false").selectExpr("0 AS half", "0 AS bands", "0 AS h")
+    sized = known.join(F.broadcast(one.select(F.inline(F.array(*[
+        F.struct(F.lit(t).alias("t"), F.lit(h).alias("half"), F.lit(b).alias("bands")) for t, (h, b) in classes.items()])))), "t") \
+        if rows else known.withColumns({"half": F.lit(0), "bands": F.lit(0)})
+
+    def minhashes(s: str) -> Column:
+        """(band, value) rows of an array of shingles."""
+        value = lambda j: F.array_min(F.transform(s, lambda h: F.hash(h, j)))
+        return F.explode(F.transform(F.sequence(F.lit(1), F.col("bands")), lambda j: F.struct(j.alias("band"), value(j).alias("value"))))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"),
+                        shingles(words(F.col("text"))).alias("s"))
+    key = ["doc_id", "row", "half", "window", "part"]
+    windows = (texts.select("doc_id", "row", "s", F.posexplode("s").alias("at", "h")).join(F.broadcast(seeds), "h")
+               .select("doc_id", "row", "s", "half", "bands", F.expr("explode(array(at div half, at div half - 1))").alias("window"))
+               .where("window >= 0").select("doc_id", "row", "half", "bands", "window", F.slice(
+                   "s", (F.col("window") * F.col("half") + 1).cast("int"), F.col("half") * 2).alias("part")).distinct())
+    bands = sized.select("t", "half", minhashes("template").alias("b")).select("t", "half", "b.*")
+    retrieved = (windows.select(*key, minhashes("part").alias("b")).select(*key, "b.*")
+                 .join(F.broadcast(bands), ["half", "band", "value"]).select(*key, "t").distinct())
+    ahead = F.slice("part", F.col("p") + 1, F.col("reach"))
+    return (retrieved.join(F.broadcast(known), "t")
+            .select(*key, "t", "license", "template", "n_shingles", "reach",
+                    F.posexplode(F.slice("part", F.lit(1), F.col("half"))).alias("p", "h"))
+            .where(F.array_contains("template", F.col("h"))).withColumn("ahead", ahead)
+            .withColumn("held", F.array_intersect("template", "ahead")).withColumn("n_found", F.size("held").cast("long"))
+            .where(F.col("n_found") * 100 >= F.col("n_shingles") * percent)
+            .withColumn("start", (F.col("window") * F.col("half") + F.col("p")).cast("int"))
+            .withColumn("last", F.array_max(F.transform("held", lambda h: F.array_position("ahead", h))))
+            .select("doc_id", "row", "t", "license", "start", (F.col("start") + F.col("last")).cast("int").alias("end"),
+                    "n_found", "n_shingles", "held"))
+
+
+def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent: int = PERCENT,
+                 miss: float = MISS) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text) and license found: doc_id, license, n_places, n_found (most
+    shingles of a template at one place), n_shingles (of that template), sure.
+
+    Words are lower-cased runs of letters and digits, a shingle is two neighbouring words (one word
+    alone is one).  A template is at a place that holds ``percent`` of its distinct shingles; windows
+    are retrieved by MinHash bands and verified at every start position.  Which of overlapping places
+    count, and what is ``sure``, is said at ``license_matches``.  The templates are a parameter of the
+    scan and travel as literals; those without words are at no place.
+
+    Null and empty texts have no words and give no row.  Equal rows are one document; rows with
+    equal or null doc_id and other texts are judged each.  Extra columns are ignored.
+    """
+    rivals = _rivals(templates_of(docs.sparkSession, templates, percent), percent)
+    return best_places(window_places(docs, templates, percent, miss), rivals)

@@ -225,30 +225,69 @@ _PAIRS = ("CASE WHEN len(ws) >= 2 THEN [ws[i] || ' ' || ws[i + 1] FOR i IN range
           "WHEN len(ws) = 1 THEN ws ELSE [] END")
 
 
-def _license_sql(notices: dict[str, str]) -> str:
-    values = ", ".join(f"('{k}', '{v}')" for k, v in notices.items())
+def _license_sql(templates: list[tuple[str, str]]) -> str:
+    """Every start position counted, then the places of a chain of overlapping ones taken best first."""
+    values = ", ".join("({}, '{}', '{}')".format(t, k, v.replace("'", "''")) for t, (k, v) in enumerate(templates))
+    both = "greatest(0, least(q.e, o.e) - greatest(q.a, o.a))"
+    other = "(q.license <> o.license AND (q.n <> o.n_found OR q.m <> o.m))"
     return f"""
-WITH t AS MATERIALIZED (
-  SELECT license, list_distinct({_PAIRS}) AS template
-  FROM (SELECT license, {_WORDS.format(t="notice")} AS ws FROM (VALUES {values}) v(license, notice))),
-d AS MATERIALIZED (SELECT DISTINCT doc_id, text, {_PAIRS} AS s
-                   FROM (SELECT doc_id, text, {_WORDS.format(t="text")} AS ws FROM documents)),
-w AS MATERIALIZED (
-  SELECT doc_id, text, i, s[i * 6 + 1:i * 6 + 12] AS part
-  FROM (SELECT doc_id, text, s, unnest(range(0, (len(s) + 5) // 6)) AS i FROM d)),
-f AS (SELECT doc_id, text, license, i, len(list_distinct(list_intersect(part, template))) AS found, len(template) AS m
-      FROM w, t)
-SELECT doc_id, license, count(*) AS n_windows, CAST(max(found) AS BIGINT) AS n_found, CAST(max(m) AS BIGINT) AS n_shingles
-FROM f WHERE found * 100 >= m * 80 GROUP BY doc_id, text, license"""
-
-
-def _notices():
-    from flawscope.llm.license_scan import NOTICES
-
-    return NOTICES
-
-
-@query("op4_license_scan", sql=_license_sql(_notices()))
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT t, license, list_distinct(s) AS template, len(list_distinct(s)) AS m, (len(s) * 100 + 79) // 80 AS reach
+  FROM (SELECT t, license, {_PAIRS} AS s
+        FROM (SELECT t, license, {_WORDS.format(t="notice")} AS ws FROM (VALUES {values}) v(t, license, notice)))),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, s
+  FROM (SELECT DISTINCT doc_id, text, {_PAIRS} AS s
+        FROM (SELECT doc_id, text, {_WORDS.format(t="text")} AS ws FROM documents))),
+th AS (SELECT t, reach, unnest(template) AS h FROM t),
+hits AS MATERIALIZED (
+  SELECT r, p, h, t, reach FROM (SELECT r, unnest(s) AS h, unnest(range(0, len(s))) AS p FROM d) JOIN th USING (h)),
+firsts AS (
+  SELECT x.r, x.t, x.p AS a, y.h, min(y.p) AS p
+  FROM (SELECT DISTINCT r, t, p, reach FROM hits) x JOIN hits y ON x.r = y.r AND x.t = y.t AND y.p >= x.p AND y.p < x.p + x.reach
+  GROUP BY ALL),
+places AS MATERIALIZED (
+  SELECT f.r, f.t, t.license, t.m, f.a, max(f.p) + 1 AS e, count(*) AS n_found, list(f.h) AS held
+  FROM firsts f JOIN t USING (t) GROUP BY ALL HAVING count(*) * 100 >= t.m * 80),
+rivals AS (
+  SELECT x.t, list([h FOR h IN x.template IF NOT list_contains(y.template, h)]) AS apart
+  FROM t x JOIN t y ON x.license <> y.license
+  WHERE len(list_intersect(x.template, y.template)) * 100 >= x.m * 80
+    AND len(list_intersect(x.template, y.template)) < x.m GROUP BY x.t),
+told AS (
+  SELECT p.*, len([u FOR u IN coalesce(apart, []) IF NOT list_has_any(u, held)]) = 0 AS told
+  FROM places p LEFT JOIN rivals USING (t)),
+chained AS (
+  SELECT *, sum(CASE WHEN a < before THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY a, e, t) AS chain
+  FROM (SELECT *, max(e) OVER (PARTITION BY r ORDER BY a, e, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM told)),
+o AS MATERIALIZED (
+  SELECT r, chain, license, a, e, n_found, m, told,
+         row_number() OVER (PARTITION BY r, chain ORDER BY n_found DESC, m, e - a, a, e, license, told) AS i FROM chained),
+k AS (
+  SELECT r, chain, 1 AS i, [{{'license': license, 'a': a, 'e': e, 'n': n_found, 'm': m, 'told': told}}] AS kept FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.r, o.chain, k.i + 1, CASE
+    WHEN len([1 FOR q IN k.kept IF (q.license = o.license AND {both} > 0)
+              OR ({other} AND 2 * {both} >= least(q.e - q.a, o.e - o.a))]) > 0
+      OR 2 * coalesce(list_sum([{both} FOR q IN k.kept IF {other}]), 0) >= o.e - o.a THEN k.kept
+    ELSE list_append(k.kept, {{'license': o.license, 'a': o.a, 'e': o.e, 'n': o.n_found, 'm': o.m, 'told': o.told}}) END
+  FROM k JOIN o ON o.r = k.r AND o.chain = k.chain AND o.i = k.i + 1),
+best AS (SELECT r, kept, unnest(kept) AS x FROM (SELECT r, chain, max_by(kept, i) AS kept FROM k GROUP BY r, chain)),
+ends AS (
+  SELECT r, x.license AS license, x.n AS n, x.m AS m, x.told AND len([1 FOR q IN kept IF q.license <> x.license
+    AND 2 * greatest(0, least(q.e, x.e) - greatest(q.a, x.a)) >= least(q.e - q.a, x.e - x.a)]) = 0 AS sure FROM best)
+SELECT doc_id, license, count(*) AS n_places, CAST(max(n) AS BIGINT) AS n_found,
+       CAST(arg_min(m, (-n, m)) AS BIGINT) AS n_shingles, bool_or(sure) AS sure
+FROM ends JOIN d USING (r) GROUP BY r, doc_id, license"""
+
+
+def _templates():
+    from flawscope.llm.license_scan import TEMPLATES
+
+    return TEMPLATES
+
+
+@query("op4_license_scan", sql=_license_sql(_templates()))
 def op4_license_scan(spark, sf_dir):
     from flawscope.llm.license_scan import license_scan
 
