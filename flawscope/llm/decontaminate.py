@@ -4,8 +4,11 @@ A span of t words holds t - k + 1 word k-grams; its fingerprint is the smallest
 hashes (the rightmost of equals).  Equal spans have equal fingerprints, so every document
 window equal to an item window shares its fingerprint: joining fingerprints misses no window.
 Neighbouring windows mostly share one fingerprint, and a document sends only windows whose
-fingerprint passes a fixed-size bit filter of the benchmark's fingerprints; those are joined
-with the item windows on the fingerprint and extended to the whole window (128 bits).
+fingerprint passes a bit filter of the benchmark's fingerprints; those are joined with the item
+windows on the fingerprint and extended to the whole window (128 bits).  The filter has
+``BITS_PER_PRINT`` bits for each of the counted fingerprints (1 window in 32 passes by chance) up to
+2^``MAX_BITS``: that bounds what is broadcast; beyond 4 million fingerprints more windows pass (1 in 8 at
+16 million) and nothing is lost.
 
 Items of fewer than ``window`` words are one window of their own length t; documents are
 winnowed once for each such length (there are at most ``window`` of them).
@@ -21,7 +24,8 @@ from pyspark.sql import functions as F
 from flawscope.llm.text import M2, Stream, alnum_words, rolling
 from flawscope.session import materialize
 
-FILTER_BITS = 23  # the filter has 2^23 bits (1 MB), however large the benchmark is
+BITS_PER_PRINT = 32
+MAX_BITS = 27  # the filter has 2^27 bits (16 MB) at most
 CHUNK_WORDS = 300_000
 
 WINDOW = "start int, t int, print long, h1 long, h2 long"
@@ -72,8 +76,13 @@ def _item_windows(window: int, gram: int):
     return windows
 
 
+def filter_bits(n_prints: int) -> int:
+    """Binary logarithm of the filter's bits for so many fingerprints; a word at least."""
+    return min(MAX_BITS, max(6, (n_prints * BITS_PER_PRINT - 1).bit_length()))
+
+
 def _in_filter(bits: np.ndarray, least: np.ndarray) -> np.ndarray:
-    slot = least >> np.uint64(64 - FILTER_BITS)
+    slot = least >> np.uint64(64 - filter_bits(len(bits) * 64 // BITS_PER_PRINT))
     word = bits[(slot >> np.uint64(6)).astype(np.int64)]
     return (word >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
@@ -104,15 +113,15 @@ def _doc_windows(lengths: list[int], gram: int, bits):
 
 
 def _filter_bits(prints: DataFrame) -> np.ndarray:
-    """The bit filter of all fingerprints: at most 2^(FILTER_BITS - 6) words, or-ed in Spark."""
-    slot = F.shiftrightunsigned("print", 64 - FILTER_BITS)
+    """The bit filter of all fingerprints: at most 2^(MAX_BITS - 6) words, or-ed in Spark."""
+    size = filter_bits(prints.count())
+    slot = F.shiftrightunsigned("print", 64 - size)
     words = (prints.select(F.shiftrightunsigned(slot, 6).alias("at"),
-                           F.expr(f"shiftleft(1L, cast((shiftrightunsigned(print, {64 - FILTER_BITS}) & 63) as int))")
+                           F.expr(f"shiftleft(1L, cast((shiftrightunsigned(print, {64 - size}) & 63) as int))")
                            .alias("bit"))
-             .groupBy("at").agg(F.bit_or("bit").alias("bits")).collect())
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words:
-        out[r["at"]] = r["bits"]
+             .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow())
+    out = np.zeros(1 << (size - 6), np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint64)
 
 
