@@ -152,12 +152,15 @@ def quartile_digests(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many
     (or all) of the next document by ascending doc_id; the last document is followed by the
     first, a single one by itself.  Null texts are empty; an empty text's digest has all
-    buckets in the lowest quartile.  Null doc_ids come first; rows with equal doc_id go by their
-    text.  Extra columns are ignored; an empty table gives an empty result.
+    buckets in the lowest quartile.  Null doc_ids come first; rows with equal doc_id go by the
+    hash of their text, so that they fill several ranges too.  Digests of texts with fewer than about 32
+    different triplets hold mostly empty buckets and are alike whatever the texts say.  Extra columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = block_count(rows)
-    done = materialize(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "hash", "place"]  # rows that are equal are told apart by their place
+    done = materialize(rows.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+                       .repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
                        .mapInArrow(_in_order, DDL), "table")
     first = done.where("edge = 'first'").select("part", F.col("text").alias("follower"))
     # one row per partition, without texts
