@@ -177,16 +177,22 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: i
 
     The payload is the html in UTF-8, nothing for a null; a null url has no target URI.  Pages
     without page_id are responses and nothing refers to them.  Rows that share the largest
-    page_id of a payload are all responses.  An empty table writes no archive.
+    page_id of a payload are all responses.  An empty table writes no archive.  Rows are dealt to
+    the archives by page_id and payload, each archive being a task of its own.
     """
     rows = _rows(pages)
     n = block_count(rows, "html", archive_bytes)
-    deal = lambda df: df.withColumn("archive", F.pmod(F.xxhash64("page_id"), F.lit(n)))
-    # pages without an id are dealt by their url
-    rows = rows.withColumn("archive", F.pmod(F.when(F.col("page_id").isNull(), F.xxhash64("url", "html"))
-                                             .otherwise(F.xxhash64("page_id")), F.lit(n)))
-    files = rows.groupBy("archive").cogroup(deal(revisits(pages, min_bytes)).groupBy("archive")) \
-        .applyInPandas(_write, "data binary, archive long")
+    sha1 = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
+
+    def deal(df, payload, url):
+        # pages without an id are dealt by their url too: no verdict is looked up for them
+        url = F.when(F.col("page_id").isNull(), url)
+        return (df.withColumn("archive", F.pmod(F.xxhash64("page_id", payload, url), F.lit(n)))
+                .repartition(n, "archive").groupBy("archive"))
+
+    files = (deal(rows, sha1, F.col("url"))
+             .cogroup(deal(revisits(pages, min_bytes), F.col("sha1"), F.lit(None).cast("string")))
+             .applyInPandas(_write, "data binary, archive long"))
     (files.select(F.col("data").cast("string").alias("value"), "archive")
      .write.partitionBy("archive").option("lineSep", EMPTY_FRAME).text(path))
 

@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from flawscope.llm.blocks import block_count
 from flawscope.llm.decontaminate import contamination
 from flawscope.llm.hmm_lm import score_documents
 from flawscope.llm.language_id import language_id
@@ -13,7 +14,7 @@ from flawscope.llm.near_dedup import near_duplicates
 from flawscope.llm.packing import best_fit
 from flawscope.llm.quartile_digest import quartile_digests
 from flawscope.llm.substring_dedup import substring_dedup
-from flawscope.llm.url_filter import filter_urls, rule_rows
+from flawscope.llm.url_filter import block_number, filter_urls, passing, rule_rows
 from flawscope.llm.warc import read_warc, write_warc
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -108,6 +109,11 @@ def test_quartile_digests(spark, docs, none):
     assert got[6][0]["n_chars"] == len(ROWS[8][1])
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for rs in got.values() for r in rs)
     assert quartile_digests(none).collect() == []
+    same = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("equal words " * 800).alias("text"))
+    n = block_count(same)
+    assert n > 2 and {r["near_next"] for r in quartile_digests(same).collect()} == {1.0}
+    ranged = same.select("*", F.monotonically_increasing_id().alias("place")).repartitionByRange(n, "doc_id", "place")
+    assert ranged.select(F.spark_partition_id()).distinct().count() == n
     alone = quartile_digests(docs.where("doc_id = 6")).first()
     assert alone["near_next"] == 1.0
 
@@ -143,6 +149,20 @@ def test_warc(spark, docs, none, tmp_out):
     assert bytes(of[8][0]["payload"]).decode() == LONG and of[8][0]["url"] == "http://x.org/a%0D%0Ab%20en"
     write_warc(pages, tmp_out + "/large", min_bytes=1)
     assert {r["record_type"] for r in read_warc(spark, tmp_out + "/large").where("payload_bytes = 0").collect()} == {"response"}
+    empty = none.select(F.lit(1).cast("long").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))
+    write_warc(empty, tmp_out + "/none")
+    assert read_warc(spark, tmp_out + "/none").collect() == []
+
+
+@pytest.mark.parametrize("page_id", [None, 5])
+def test_warc_of_one_page_id(spark, tmp_out, page_id):
+    """Pages that share an id, or have none, fill all archives."""
+    pages = spark.range(400).select(F.lit(page_id).cast("long").alias("page_id"), F.lit("http://x").alias("url"),
+                                    F.concat(F.lit("x" * 300), F.col("id").cast("string")).alias("html"))
+    write_warc(pages, tmp_out + f"/{page_id}", archive_bytes=20_000)
+    archives = spark.read.text(tmp_out + f"/{page_id}").select("archive").distinct().count()
+    got = read_warc(spark, tmp_out + f"/{page_id}").collect()
+    assert archives >= 4 and len(got) == 400 and {r["record_type"] for r in got} == {"response"}
 
 
 def test_url_filter(spark, docs):
@@ -160,4 +180,13 @@ def test_url_filter(spark, docs):
     assert got[3]["host"] == "a.example.net" and got[10]["verdict"] == "block" and got[7]["verdict"] == "allow"
     assert got[14]["host"] == "b:" and got[14]["path"] == "//net/\n/x"
     assert filter_urls(pages.limit(0), rules, listed).collect() == []
+    long = spark.range(40_000).select(F.concat(F.lit("http://h"), "id", F.lit(".com/x")).alias("url"))
+    mixed = spark.range(0, 80_000, 2).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.h"), "id", F.lit(".com/x/?q")).alias("url"))
+    of_list = filter_urls(mixed, rules, long).where("listed").agg(F.count("*"), F.max("page_id")).first()
+    assert tuple(of_list) == (20_000, 39_998)
+    strange = spark.range(100_000).select(F.concat(F.lit("s"), "id").alias("key"))
+    keys = spark.range(40_000).select(F.col("id").cast("string").alias("key"))
+    assert block_number(0) == block_number(8) == 1 and block_number(40_000) == 8192 and block_number(10**9) == 1 << 20
+    assert passing(strange, keys, block_number(40_000)).count() < 100
+    assert passing(keys, keys, 4).count() == 40_000
     assert {r["verdict"] for r in filter_urls(pages, rules.limit(0), listed.limit(0)).collect()} == {"allow"}
