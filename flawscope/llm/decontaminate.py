@@ -6,8 +6,8 @@ window equal to an item window shares its fingerprint: joining fingerprints miss
 Neighbouring windows mostly share one fingerprint, and a document sends only windows whose
 fingerprint passes a bit filter of the benchmark's fingerprints; those are joined with the item
 windows on the fingerprint and extended to the whole window (128 bits).  The filter has
-``BITS_PER_PRINT`` bits for each of the counted fingerprints (1 window in 32 passes by chance) up to
-2^``MAX_BITS``: that bounds what is broadcast; beyond 4 million fingerprints more windows pass (1 in 8 at
+2^``MIN_BITS`` bits, and ``BITS_PER_PRINT`` for each of more fingerprints (1 window in 32 passes by chance)
+up to 2^``MAX_BITS``: that bounds what is broadcast; beyond 4 million fingerprints more windows pass (1 in 8 at
 16 million) and nothing is lost.
 
 Items of fewer than ``window`` words are one window of their own length t; documents are
@@ -25,7 +25,8 @@ from flawscope.llm.text import M2, Stream, alnum_words, rolling
 from flawscope.session import materialize
 
 BITS_PER_PRINT = 32
-MAX_BITS = 27  # the filter has 2^27 bits (16 MB) at most
+MIN_BITS = 23  # the filter has 2^23 bits (1 MB) at least
+MAX_BITS = 27  # and 2^27 bits (16 MB) at most
 CHUNK_WORDS = 300_000
 
 WINDOW = "start int, t int, print long, h1 long, h2 long"
@@ -77,12 +78,12 @@ def _item_windows(window: int, gram: int):
 
 
 def filter_bits(n_prints: int) -> int:
-    """Binary logarithm of the filter's bits for so many fingerprints; a word at least."""
-    return min(MAX_BITS, max(6, (n_prints * BITS_PER_PRINT - 1).bit_length()))
+    """Binary logarithm of the filter's bits for so many fingerprints."""
+    return min(MAX_BITS, max(MIN_BITS, (n_prints * BITS_PER_PRINT - 1).bit_length()))
 
 
 def _in_filter(bits: np.ndarray, least: np.ndarray) -> np.ndarray:
-    slot = least >> np.uint64(64 - filter_bits(len(bits) * 64 // BITS_PER_PRINT))
+    slot = least >> np.uint64(64 - (len(bits) * 64).bit_length() + 1)
     word = bits[(slot >> np.uint64(6)).astype(np.int64)]
     return (word >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
