@@ -1,7 +1,8 @@
 """Connected components of a link table, by alternating large and small stars.
 
-Every round is two joins on (u, v) rows; each round's links are written to the shared folder,
-so a lost executor costs one round.  Only two numbers per round reach the driver.
+Every round tells each link the smallest neighbour of its end, twice; each round's links are written to
+the shared folder, so a lost executor costs one round.  Only two numbers per round reach the driver.
+A node that a third of all links share is spread over ``SALTS`` keys (``told``).
 """
 
 from __future__ import annotations
@@ -11,21 +12,36 @@ from pyspark.sql import functions as F
 
 from flawscope.session import materialize
 
+SALTS = 256  # keys that the rows of one value are spread over, at most
+
+
+def told(rows: DataFrame, key: str, *salted_by: str, **totals) -> DataFrame:
+    """``rows`` with totals over the rows of the same ``key``: name=(function, column) each, of a function like
+    ``min`` or ``sum`` that can be applied to its own results.
+
+    The rows of a key are dealt by the columns ``salted_by`` over up to ``SALTS`` (key, salt) groups; these are added
+    up for the key, and the totals go back to each of its groups.  So no task holds all rows of a
+    hot key: it holds a group's rows, or one row per group.  Rows with a null key get lost.
+    """
+    salted = rows.where(F.col(key).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(*salted_by), F.lit(SALTS)).cast("int"))
+    groups = salted.groupBy(key, "_salt").agg(*[f(c).alias(name) for name, (f, c) in totals.items()])
+    whole = groups.groupBy(key).agg(F.collect_list("_salt").alias("_salts"), *[f(name).alias(name) for name, (f, _) in totals.items()])
+    back = whole.select(key, F.explode("_salts").alias("_salt"), *totals)
+    return salted.join(back, [key, "_salt"]).select(*rows.columns, *totals)
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Link every larger neighbour of u to the smallest of u and its neighbours."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return (both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct())
+    return (told(both, "u", "v", m=(F.min, "v")).where("v > u")
+            .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Link u and its smaller neighbours to the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    to_least = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return to_least.union(least.select("u", F.col("m").alias("v"))).distinct()
+    return (told(down, "u", "v", m=(F.min, "v"))
+            .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
 
 
 def components(links: DataFrame) -> DataFrame:

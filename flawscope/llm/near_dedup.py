@@ -24,12 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flawscope.llm.components import components
+from flawscope.llm.components import components, told
 from flawscope.llm.text import distinct, hash_words, mix, rolling, space_words
 from flawscope.session import materialize
 
 PART = 1000  # documents of one pivot that a task compares with as many others
 PART_SHINGLES = 1_000_000  # and their shingles
+STAR = 500  # pairs of one document that a task compares: more go to several
 CHUNK_WORDS = 300_000  # words that a task hashes at once
 
 
@@ -154,11 +155,17 @@ def _compare(k: int, distance: int, percent: int):
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have 100 * intersection >= percent * union."""
-    one = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su"))
+    """The pairs (u, v) whose shingle sets have 100 * intersection >= percent * union.  The set of a u in many
+    pairs goes to several tasks, with up to about ``STAR`` pairs each."""
+    parts = F.ceil(F.col("n") / STAR).cast("int").alias("parts")
+    one = (pairs.groupBy("u").agg(F.count("*").alias("n"))
+           .select("u", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+           .join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su")), "u"))
+    pairs = told(pairs.withColumn("one", F.lit(1)), "u", "v", n=(F.sum, "one")).select("u", "v", parts)
     two = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))
-    return (pairs.join(two, "v").join(one, "u")
+    return (pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).drop("parts")
+            .join(two, "v").join(one, ["u", "part"])
             .where(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v").distinct())
 
 
@@ -201,7 +208,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     sets = materialize(rows.select("doc_id", "text").join(needed.select(F.col("rep").alias("doc_id"), "node", "same"), "doc_id")
                        .select("node", "text", "same").mapInArrow(_sets(shingle), "doc_id long, shingles array<bigint>"), "table")
 
-    stars = live.where("doc <> pivot").select(F.col("pivot").alias("u"), F.col("doc").alias("v")).distinct()
+    stars = materialize(live.where("doc <> pivot").select(F.col("pivot").alias("u"), F.col("doc").alias("v")).distinct(), "table")
     links = materialize(similar(stars, sets, percent), "table")
     found = components(links)
 
@@ -211,13 +218,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
               .join(found.withColumnRenamed("node", "doc"), "doc", "left")
               .join(texts.select(F.col("node").alias("doc"), "sig", "n_shingles"), "doc")
               .select("pivot", "doc", F.coalesce("component", "doc").alias("component"), "sig", "n_shingles"))
+    parts = F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("size") / PART_SHINGLES)).cast("int")
     mixed = materialize(
-        family.groupBy("pivot").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"),
-                                    F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-        .select("pivot", "size", F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("size") / PART_SHINGLES))
-                .cast("int").alias("parts")), "table")
-    total = mixed.agg(F.sum(F.col("size") * F.col("parts")).alias("n")).first()["n"] or 0
-    compared = (family.drop("n_shingles").join(mixed.select("pivot", "parts"), "pivot")
+        told(family.withColumn("one", F.lit(1)), "pivot", "doc", n=(F.sum, "one"), size=(F.sum, "n_shingles"),
+             a=(F.min, "component"), b=(F.max, "component")).where("a < b")
+        .select("pivot", "doc", "component", "sig", "n_shingles", parts.alias("parts")), "table")
+    total = mixed.agg(F.sum(F.col("n_shingles") * F.col("parts")).alias("n")).first()["n"] or 0
+    compared = (mixed
                 .withColumn("p", F.pmod(F.hash("doc"), F.col("parts")))
                 .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
                 .select("pivot", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "doc", "component", "sig")
@@ -230,8 +237,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
 
     joined = texts.select("same", "rep", "node").join(found, "node", "left") \
         .withColumn("component", F.coalesce("component", "node"))
-    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_text = joined.join(least, "component").select("same", "component_id")
+    of_text = told(joined, "component", "node", component_id=(F.min, "rep")).select("same", "component_id")
     more = [] if measure is None else ["n_words", "same", *[F.col(c).alias(name) for c, name in zip(carry, measure)]]
     return (signed.drop("sig").join(of_text, "same", "left")
             .select("doc_id", *["text_hash"] * keep_hash, "n_shingles", *more,

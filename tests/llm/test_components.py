@@ -1,0 +1,62 @@
+"""Connected components and the totals of hot keys, against plain Python."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from flawscope.llm import components as C
+from flawscope.llm.components import components, told
+
+
+def smallest_reachable(links):
+    least = {}
+    for u, v in links:
+        if u is not None and v is not None and u != v:
+            least.setdefault(u, u), least.setdefault(v, v)
+    while True:
+        before = dict(least)
+        for u, v in links:
+            if u in least and v in least and u != v:
+                least[u] = least[v] = min(least[u], least[v])
+        if least == before:
+            return least
+
+
+def of(spark, links):
+    found = components(spark.createDataFrame(links, "u long, v long")).collect()
+    assert len({r["node"] for r in found}) == len(found)
+    return {r["node"]: r["component"] for r in found}
+
+
+@pytest.mark.parametrize("links", [
+    [],
+    [(None, 1), (2, None), (3, 3), (4, 5), (5, 4), (4, 5)],
+    [(i, i + 1) for i in range(60)],  # a path
+    [(0, i) for i in range(1, 1500)],  # a star round its smallest node
+    [(9999, i) for i in range(1500)],  # and round its largest
+    [(700, i) for i in range(700)] + [(5000, i) for i in range(400, 1500)] + [(8000, 8001)],
+], ids=["none", "nulls and repeats", "path", "star", "star of the largest", "two stars"])
+def test_components(spark, links):
+    assert of(spark, links) == smallest_reachable(links)
+
+
+def test_components_of_random_links(spark):
+    draw = random.Random(7)
+    links = [(draw.randrange(400), draw.randrange(400)) for _ in range(300)]
+    assert of(spark, links) == smallest_reachable(links)
+
+
+def test_told_gives_each_row_the_totals_of_its_key(spark):
+    rows = [(0, i) for i in range(3000)] + [(1, 5), (1, 5), (2, None), (None, 3)]
+    got = told(spark.createDataFrame(rows, "k long, x long"), "k", "x",
+               n=(F.sum, F.lit(1)), least=(F.min, "x"), most=(F.max, "x")).collect()
+    want = {0: (3000, 0, 2999), 1: (2, 5, 5), 2: (1, None, None)}
+    assert sorted((r["k"], r["x"] or 0) for r in got) == sorted((k, x or 0) for k, x in rows if k is not None)
+    assert all((r["n"], r["least"], r["most"]) == want[r["k"]] for r in got)
+
+
+def test_a_hot_key_is_in_many_groups(spark):
+    hot = spark.range(5000).select(F.lit(1).alias("k"), F.col("id").alias("x"))
+    groups = hot.select(F.pmod(F.xxhash64("x"), F.lit(C.SALTS)).alias("g")).groupBy("g").count().toPandas()["count"]
+    assert len(groups) == C.SALTS and groups.max() < 5 * 5000 / C.SALTS
