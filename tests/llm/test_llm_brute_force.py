@@ -199,7 +199,6 @@ def test_near_duplicates_of_many_copies(spark, monkeypatch):
     """One large group whose members are like its centre but not all like each other, chains,
     and pairs just above and below the threshold; keys are compared in several parts."""
     monkeypatch.setattr(near_dedup, "PART", 20)
-    monkeypatch.setattr(near_dedup, "STAR", 10)
     rnd = random.Random(11)
     base = [f"b{i}" for i in range(120)]
     texts = []
