@@ -25,9 +25,10 @@ def join_members(df: DataFrame, members: DataFrame, key: str, semi: bool = False
 
     ``semi=False`` is the reference's inner join on the key only (duplicate member keys
     multiply rows); ``semi=True`` is a left-semi join (no duplication, no columns added).
-    Strategy (broadcast / shuffle) is left to AQE.
+    The members grow with the table, and their stored size tells little of their size as a hash table
+    in every task's memory, so both sides are sorted by the key: no task holds all of them.
     """
-    ids = members.select(q(key))
+    ids = members.select(q(key)).hint("merge")
     return df.join(ids, on=key, how="left_semi" if semi else "inner")
 
 
