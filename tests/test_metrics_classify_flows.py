@@ -162,3 +162,12 @@ def test_two_stage_with_a_constant_target_cluster(spark):
     rows = scores.collect()
     assert sum(r.n_rows for r in rows) == skewed.count()
     assert all(r.accuracy is None or 0.0 <= r.accuracy <= 1.0 for r in rows)
+
+
+def test_chain_vector_query_predicts_once(spark, monkeypatch):
+    from flawscope.plans import queries_models as Q
+
+    calls, predict = [], Q.H.predict
+    monkeypatch.setattr(Q.H, "predict", lambda model, df: calls.append(1) or predict(model, df))
+    got = Q.classifier_chain_vector_q(spark, "/root/testdata/sf0.001").collect()
+    assert len(calls) == 1 and all(r["n_rows"] == r["n_consistent"] for r in got)

@@ -63,3 +63,14 @@ def test_numbers_and_forests_get_all_rows(spark, rows):
 def test_boosted_trees_cut_their_lineage_after_each_tree():
     clf = C.make_classifier("GBT")
     assert clf.getCheckpointInterval() == 1 and not clf.getCacheNodeIds()
+
+
+def test_many_partitions_are_put_together(spark):
+    """Every partition sends the statistics of all open nodes, so there are no more than cores (16 files go to one at most)."""
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(0, 1000, 1, 5 * cores).selectExpr("id", "id % 7 as x")
+    few = T.spread(many)
+    assert few.rdd.getNumPartitions() == cores
+    assert few.agg({"id": "sum"}).first() == many.agg({"id": "sum"}).first() and few.count() == 1000
+    assert T.spread(spark.range(0, 1000, 1, 40 * cores)).rdd.getNumPartitions() <= 3 * cores
+    assert T.spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == cores
