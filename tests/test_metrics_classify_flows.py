@@ -171,3 +171,14 @@ def test_chain_vector_query_predicts_once(spark, monkeypatch):
     monkeypatch.setattr(Q.H, "predict", lambda model, df: calls.append(1) or predict(model, df))
     got = Q.classifier_chain_vector_q(spark, "/root/testdata/sf0.001").collect()
     assert len(calls) == 1 and all(r["n_rows"] == r["n_consistent"] for r in got)
+
+
+def test_totals_query_joins_its_table_together_once(spark, monkeypatch):
+    """Fits and both scorings read the stored table, not the line items again."""
+    from flawscope.plans import queries_models as Q
+
+    read, score = [], Q.J.score_new
+    monkeypatch.setattr(Q.J, "score_new", lambda model, df: read.extend(df.inputFiles()) or score(model, df))
+    got = Q.two_stage_totals_q(spark, "/root/testdata/sf0.001").first()
+    assert read and not any("lineitem" in f for f in read)
+    assert got["n_different"] == 0 and got["n_rows"] == got["n_failures"] + got["n_others"]
