@@ -182,3 +182,13 @@ def test_totals_query_joins_its_table_together_once(spark, monkeypatch):
     got = Q.two_stage_totals_q(spark, "/root/testdata/sf0.001").first()
     assert read and not any("lineitem" in f for f in read)
     assert got["n_different"] == 0 and got["n_rows"] == got["n_failures"] + got["n_others"]
+
+
+def test_large_groups_are_not_kept_twice(spark):
+    """A group of many partitions is kept by its fit alone, a small one is dealt and kept."""
+    cores = spark.sparkContext.defaultParallelism
+    large, kept = J._spread(spark.range(0, 100, 1, cores + 1), "id")
+    assert not kept and not large.storageLevel.useMemory
+    small, kept = J._spread(spark.range(0, 100, 1, 1), "id")
+    assert kept and small.rdd.getNumPartitions() == cores
+    small.unpersist()
