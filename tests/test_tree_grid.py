@@ -117,3 +117,14 @@ def test_component_check_of_many_components(spark):
     assert tuple(_component_checks(out, pc.numCols, "id").first()) == (300, True, True)
     mixed = out.withColumn("f1", F.col("f0") + F.col("f1"))
     assert not _component_checks(mixed, pc.numCols, "id").first()["uncorrelated"]
+
+
+def test_a_cross_validated_grid_predicts_and_is_stored(spark, rows, tmp_out):
+    from flawscope.sources.models import load_classifier, save_classifier
+
+    chain, clf = chain_of(rows, "DT")
+    grid = ParamGridBuilder().addGrid(clf.maxDepth, [1, 4]).addGrid(clf.minInstancesPerNode, [5]).build()
+    model = H.fit(chain, rows, grid, validate=True, by_truncation=True)
+    got = H.predict(model, rows).select("id", "prediction")
+    again = load_classifier(save_classifier(model, tmp_out)).transform(rows).select("id", F.col("prediction").alias("again"))
+    assert got.join(again, "id").where("prediction = again").count() == rows.count()
